@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from cuelattice.llm import media
+from cuelattice.llm import media, pii, quality
 
-QUERIES = {"op1_media": media.op1_media}
+QUERIES = {
+    "op1_media": media.op1_media,
+    "op7_pii": pii.op7_pii,
+    "op10_quality": quality.op10_quality,
+}
 
 ORACLES: dict[str, str] = {}
