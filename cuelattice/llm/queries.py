@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cuelattice.llm import media, pii, quality
+from cuelattice.llm import media, pii, quality, simhash
 
 QUERIES = {
     "op1_media": media.op1_media,
+    "op5_simhash": simhash.op5_simhash,
     "op7_pii": pii.op7_pii,
     "op10_quality": quality.op10_quality,
 }
