@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cuelattice.llm import bpe, media, packing, pii, quality, simhash
+from cuelattice.llm import bpe, media, packing, pii, quality, simhash, spotsigs
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op2_packing": packing.op2_packing,
+    "op3_spotsigs": spotsigs.op3_spotsigs,
     "op4_bpe": bpe.op4_bpe,
     "op5_simhash": simhash.op5_simhash,
     "op7_pii": pii.op7_pii,
