@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelattice.llm import bpe, media, packing, pii, quality, simhash, spotsigs
+from cuelattice.llm import bpe, licences, media, packing, pii, quality, simhash, spotsigs, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_spotsigs": spotsigs.op3_spotsigs,
     "op4_bpe": bpe.op4_bpe,
     "op5_simhash": simhash.op5_simhash,
+    "op6_licences": licences.op6_licences,
     "op7_pii": pii.op7_pii,
+    "op9_fixity": warc.op9_fixity,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_licences": licences.oracle(), "op9_fixity": warc.oracle()}
