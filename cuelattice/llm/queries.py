@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelattice.llm import bpe, licences, media, packing, pii, quality, simhash, spotsigs, warc
+from cuelattice.llm import bpe, licences, media, packing, pii, quality, secretscan, simhash, spotsigs, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_licences": licences.op6_licences,
     "op7_pii": pii.op7_pii,
+    "op8_secrets": secretscan.op8_secrets,
     "op9_fixity": warc.op9_fixity,
     "op10_quality": quality.op10_quality,
 }
