@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuelattice.plans.session import ship_code
+
 #: Rows handed to a row function at once; bounds the Python-side memory of a batch of long texts.
 CHUNK_BYTES = 8 << 20
 
@@ -47,6 +49,7 @@ def map_columns(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str)
                 got = fn(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in kind], schema=kind)
 
+    ship_code(df.sparkSession)
     return df.mapInArrow(run, out)
 
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import map_columns, saved, table, text_or_empty
+from cuelattice.llm.common import map_columns, saved, ship_code, table, text_or_empty
 
 CAPACITY, PIECE, BLOCK, END_ID = 2048, 512, 4096, 1
 #: Code points for which both tokenizer libraries have the same classes; a text with others takes the slower one.
@@ -150,6 +150,7 @@ def windows_of(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 def pack_pieces(parts: DataFrame) -> DataFrame:
     """``parts`` (as of ``pieces``) with sequence_id and offset; the rows are written out once before they are dealt."""
+    ship_code(parts.sparkSession)
     held = saved(parts).withColumn("row", F.monotonically_increasing_id())
     blocks = max(1, -(-held.count() // BLOCK))
     dealt = held.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))

@@ -15,10 +15,11 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import map_columns, table, text_or_empty
+from cuelattice.llm.common import map_columns, ship_code, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base kinds.
@@ -239,7 +240,7 @@ def pii_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def mask_pii(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``df`` with masked texts (null stays null), and with their lengths in ``length_col`` if it is there."""
-    import pandas as pd
+    ship_code(df.sparkSession)
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:

@@ -20,10 +20,11 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import map_columns, table, text_or_empty
+from cuelattice.llm.common import map_columns, ship_code, table, text_or_empty
 
 #: Fixed parameters: labelled rows used at most, decision level, folds of the hold-out, and the two shrinkages.
 MAX_LABELLED = 20_000
@@ -128,6 +129,7 @@ def training_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str =
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
     """Learns the model; what reaches the driver is each task's count, sum and products by class."""
+    ship_code(docs.sparkSession)
     known = F.broadcast(training_labels(labels))  # at most MAX_LABELLED rows of two numbers
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(known, "id").select("label", "text")
     d = len(FEATURES)
@@ -170,7 +172,7 @@ def quality_scores(docs: DataFrame, model: Discriminant, id_col: str = "doc_id",
 
 def quality_filter(docs: DataFrame, model: Discriminant, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model accepts, with all their columns, in one pass and without a shuffle."""
-    import pandas as pd
+    ship_code(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def accepted(texts: pd.Series) -> pd.Series:

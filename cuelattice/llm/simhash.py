@@ -21,10 +21,11 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import map_columns, saved, table, text_or_empty
+from cuelattice.llm.common import map_columns, saved, ship_code, table, text_or_empty
 from cuelattice.llm.components import components
 
 SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
@@ -227,6 +228,7 @@ def _forest(key: np.ndarray, side: np.ndarray, fps: np.ndarray) -> tuple[np.ndar
 
 def links(nodes: DataFrame) -> DataFrame:
     """(u, v) links of distinct fingerprints ``nodes`` (fp): a spanning forest for each bucket, so all groups are whole."""
+    ship_code(nodes.sparkSession)
     keyed = nodes.select("fp", F.explode(bucket_keys()).alias("key"))
     large = saved(keyed.groupBy("key").agg(F.count("fp").alias("n")).filter(F.col("n") > BUCKET))
     n_large = large.count()
@@ -293,8 +295,6 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     if prints.filter("id is null").limit(1).count():
         alone = judged.filter("id is null and component_id is null").select("fp").distinct()
         unnamed = df.filter(F.col(id_col).isNull())
-        import pandas as pd
-
         @F.pandas_udf("long")
         def mark(texts: pd.Series) -> pd.Series:
             return pd.Series([signed(fingerprint(t or "")) for t in texts], dtype="int64")
