@@ -38,3 +38,11 @@ def ship_code(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(str(target))
     context._cuelattice_shipped = True
+
+
+def written(df):
+    """``df`` written to spark.checkpoint.dir: lineage ends there, and a lost executor costs a read."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    return df.checkpoint(eager=True)
