@@ -11,7 +11,7 @@ Decoding keeps all token strings in one buffer with an offset table; a text is g
 Defined results: a null text counts as empty and has no ids; repeated rows give repeated results; an empty table gives an
 empty result; ids outside the vocabulary are a ValueError. Code points
 that this Python's Unicode data lacks are split as signs, also where newer data has letters. Words are met again and again, so each worker keeps up to
-``KEPT_WORDS`` encoded words; a full store is emptied, which costs time only. Nothing shuffles.
+``KEPT_WORDS`` encoded stretches, and those of the time before; forgetting costs time only. Nothing shuffles.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.common import map_columns, table, text_or_empty
 
-KEPT_WORDS, KEPT_PAIRS = 400_000, 2_000_000
+KEPT_WORDS, KEPT_PAIRS = 250_000, 2_000_000
 #: Characters that str.split and the pattern's white space may see differently.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\u180e\u200b]")
 
@@ -83,6 +83,7 @@ class Vocabulary:
         for s, k in self.by_string.items():
             self.automaton.add_word(s, k)
         self.automaton.make_automaton()
+        self.sizes = list(map(len, self.strings))
         self.shorter = [-1] * len(self.strings)
         for s, k in self.by_string.items():
             for cut in range(len(s) - 1, 0, -1):
@@ -93,18 +94,14 @@ class Vocabulary:
     def longest(self, word: str) -> list[int]:
         """For each place of ``word`` the longest token that starts there, or -1: all matches end-to-end in one pass."""
         out = [-1] * len(word)
-        size = [0] * len(word)
-        strings = self.strings
-        for end, k in self.automaton.iter(word):
-            n = len(strings[k])
-            at = end - n + 1
-            if n > size[at]:
-                out[at], size[at] = k, n
+        sizes = self.sizes
+        for end, k in self.automaton.iter(word):  # ends ascend, so a later match from a place is the longer one
+            out[end + 1 - sizes[k]] = k
         return out
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the symbols of token a followed by those of token b keeps the two apart."""
-        key = a << 32 | b
+        key = a << 20 | b
         got = self._compatible.get(key)
         if got is None:
             if len(self._compatible) >= KEPT_PAIRS:
@@ -139,29 +136,33 @@ class Vocabulary:
         if not word:
             return []
         text = word + self.END if self.suffix else word
-        longest = self.longest(text)
-        n, at, out, places = len(text), 0, [], []
-        reach = bytearray(b"\x01") * (n + 1)  # 0: given up, no way leads on from here
+        longest, known = self.longest(text), self._compatible
+        n, at, before, out = len(text), 0, -1, []
+        closed = bytearray(n + 1)  # 1: given up, no way leads on from here
         token = longest[0]
-        strings, shorter, compatible = self.strings, self.shorter, self.compatible
+        sizes, shorter = self.sizes, self.shorter
         while True:
             while token >= 0:
-                end = at + len(strings[token])
-                if reach[end] and (not out or compatible(out[-1], token)):
-                    break
+                end = at + sizes[token]
+                if not closed[end]:
+                    if before < 0:
+                        break
+                    fits = known.get(before << 20 | token)
+                    if fits or (fits is None and self.compatible(before, token)):
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                places.append(at)
-                at = end
-                if at == n:
+                if end == n:
                     return out
-                token = longest[at]
+                at, before, token = end, token, longest[end]
+            elif not out:
+                raise ValueError("a symbol of the word is not in the vocabulary")
             else:
-                if not out:
-                    raise ValueError("a symbol of the word is not in the vocabulary")
-                reach[at] = 0
-                at, token = places.pop(), shorter[out.pop()]
+                closed[at] = 1
+                last = out.pop()
+                at -= sizes[last]
+                before, token = out[-1] if out else -1, shorter[last]
 
 
 class WordBpe:
@@ -179,7 +180,8 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.letters = {i: c for i, c in enumerate(byte_letters())}
-        self.kept: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.kept, self.older = {}, {}
+        self.words_kept: dict[str, list[int]] = {}
         names = {i: t for t, i in [*model["vocab"].items(), *self.added.items()]}
         pieces = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
         self.known = np.array([i in names for i in range(max(names) + 1)])
@@ -203,10 +205,15 @@ class WordBpe:
 
     def run(self, chunk: str) -> tuple[tuple[int, ...], str]:
         """The ids of a text without added tokens, and these in decimals."""
-        ids = []
+        ids: list[int] = []
         for word in self.split(chunk):
-            letters = word.encode().decode("latin-1").translate(self.letters)
-            ids += map(self.vocabulary.ids.__getitem__, self.vocabulary.encode(letters))
+            got = self.words_kept.get(word)
+            if got is None:
+                if len(self.words_kept) >= KEPT_WORDS:
+                    self.words_kept.clear()
+                letters = word.encode().decode("latin-1").translate(self.letters)
+                got = self.words_kept[word] = list(map(self.vocabulary.ids.__getitem__, self.vocabulary.encode(letters)))
+            ids += got
         return tuple(ids), " ".join(map(str, ids))
 
     def runs(self, text: str) -> list[tuple[tuple[int, ...], str]]:
@@ -219,15 +226,13 @@ class WordBpe:
             return out
         if ODD_SPACE.search(text):
             return [self.run(text)]
-        kept, chunks = self.kept, text.split()
-        new = [c for c in set(chunks) if c not in kept]
-        if len(kept) + len(new) > KEPT_WORDS:
-            kept.clear()
-            new = set(chunks)
-        own = kept if len(new) <= KEPT_WORDS else {}
-        for c in new:
-            own[c] = self.run(c)
-        return [x for c in chunks if (x := own[c])[0]]
+        if len(self.kept) > KEPT_WORDS:  # what was met since the last time stays for as long again
+            self.kept, self.older = {}, self.kept
+        kept, older, chunks = self.kept, self.older, text.split()
+        for c in set(chunks):
+            if c not in kept:
+                kept[c] = older.get(c) or self.run(c)
+        return [x for c in chunks if (x := kept[c])[0]]
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text; the strings of added tokens in it give their ids."""
