@@ -88,7 +88,7 @@ def norm_scores(rows: DataFrame, keys: list[str], preset: str = "compare", least
     alphas, schema = ALPHAS[preset], rows.select(keys).schema
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rep", "fold", "word"])
         n = int(len(pdf) / max(1, pdf["rep"].nunique()))
         if n < least:
@@ -111,7 +111,7 @@ def sweep(rows: DataFrame, keys: list[str], dims: tuple[int, ...] = SWEEP_DIMS,
     ship_code(rows.sparkSession)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(keys).schema.fields)
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rep", "fold", "word"])
         n, k = int(len(pdf) / max(1, pdf["rep"].nunique())), int(pdf["fold"].max()) + 1
         width = len(pdf["vec"].iloc[0])
