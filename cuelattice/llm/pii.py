@@ -77,9 +77,9 @@ GLYPHS = _Glyphs()
 STRANGE = re.compile("[\u00ad\u0370-\u0600\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u200b-\u200d\u2010-\u2013\u2024\u2060\u2460-\u24ff\u3002\ufe62\ufe6b\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
 SPELLED = re.compile(r"(?i:\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[\x20,.-]{1,2}(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)){%d,}\b)" % (SPELLED_RUN - 1))
 ONE_SPELLED = re.compile(r"[A-Za-z]+")
-#: at and dot in brackets, or bare between address parts where a dot follows the at.
+#: at and dot in brackets, or bare between address parts where a dot follows the at and no article stands for the host.
 BRACKETED = re.compile(r"\x20?[\[({<]\x20?(?i:(at)|(dot))\x20?[\])}>]\x20?")
-SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{2,})(\x20[aA][tT]\x20)([A-Za-z0-9-]+)((?:\x20[dD][oO][tT]\x20[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
+SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{2,})(\x20[aA][tT]\x20)(?!(?i:the|a|an|this|that|these|those|my|our|your|his|her|its|their|all|any|each|every|some|no)\x20)([A-Za-z0-9-]+)((?:\x20[dD][oO][tT]\x20[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
 DOT = re.compile(r"\x20[dD][oO][tT]\x20")
 HINT = re.compile(r"[\[({<]\x20?(?:at|dot)\x20?[\])}>]")
 
