@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelattice.functions.vectors import finite
@@ -153,11 +153,13 @@ def gram(vectors: DataFrame, dim: int, vec: str = "vec") -> DataFrame:
 
 def line_scores(rows: DataFrame, keys: list[str], x: str = "x", alpha: float = 1.0) -> DataFrame:
     """(keys, weight, intercept, r2): ridge on one standardised column in closed form, fitted and scored on all rows."""
-    w = Window.partitionBy(*keys)
-    z = rows.withColumn("__sd", F.stddev_pop(x).over(w)).withColumn("__z", F.when(F.col("__sd") > 0, (F.col(x) - F.avg(x).over(w)) / F.col("__sd")).otherwise(0.0))
-    sums = z.groupBy(*keys).agg(F.sum(F.col("__z") * F.col("y")).alias("zy"), F.sum(F.col("__z") * F.col("__z")).alias("zz"), F.avg("y").alias("my"), F.var_pop("y").alias("vy"), F.count(F.lit(1)).alias("n"))
-    weight = F.col("zy") / (F.col("zz") + alpha)
-    sse = F.col("n") * F.col("vy") - 2 * weight * F.col("zy") + weight * weight * F.col("zz")
+    # with z = (x - mean) / deviation: sum z*z = n and sum z*y = n * cov(x, y) / deviation, so sums by group are enough
+    sums = rows.groupBy(*keys).agg(F.covar_pop(x, "y").alias("cov"), F.stddev_pop(x).alias("sd"), F.avg("y").alias("my"), F.var_pop("y").alias("vy"), F.count(F.lit(1)).alias("n"))
+    varies = F.col("sd") > 0
+    zy = F.when(varies, F.col("n") * F.col("cov") / F.col("sd")).otherwise(0.0)
+    zz = F.when(varies, F.col("n").cast("double")).otherwise(0.0)
+    weight = zy / (zz + alpha)
+    sse = F.col("n") * F.col("vy") - 2 * weight * zy + weight * weight * zz
     return sums.select(*keys, weight.alias("weight"), F.col("my").alias("intercept"), (1 - F.try_divide(sse, F.col("n") * F.col("vy"))).alias("r2"))
 
 

@@ -57,12 +57,16 @@ def saturation(scores: DataFrame, value: str = "r2", flat: float = 0.005, slow:
     return summed.withColumn("gain", gain).withColumn("status", status)
 
 
-def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """By key: median, quartiles, mean, its interval, least and most."""
+def distribution(rows: DataFrame, by: list[str], value: str, accuracy: int | None = None) -> DataFrame:
+    """By key: median, quartiles, mean, its interval, least and most.
+
+    Exact quantiles keep a group's distinct values while they are counted; with ``accuracy`` they come from a sketch of
+    bounded size instead, off by at most n / accuracy ranks.
+    """
     low, high = interval(F.col(value))
-    q = lambda p: F.percentile(F.col(value), F.lit(p))
+    q = lambda p: F.percentile(F.col(value), F.lit(p)) if accuracy is None else F.percentile_approx(value, p, accuracy)
     return rows.groupBy(*by).agg(
-        F.median(value).alias("median"), q(0.25).alias("lower_quartile"), q(0.75).alias("upper_quartile"),
+        q(0.5).alias("median"), q(0.25).alias("lower_quartile"), q(0.75).alias("upper_quartile"),
         F.avg(value).alias("mean"), low.alias("ci_low"), high.alias("ci_high"), F.min(value).alias("least"), F.max(value).alias("most"),
     )
 

@@ -185,12 +185,8 @@ def _distribution_sql(source: str) -> str:
 def q11(spark, sf):
     dist = lambda shift: assoc.row_distribution(fx.log_probs(spark, sf, shift), ["model", "cue"], "response")
     cells = assoc.side_by_side(dist(0), dist(17))
-    rows = cells.groupBy("model", "cue").agg(F.sum("prob").alias("r"))
-    cols = cells.groupBy("model", "block", "response").agg(F.sum("prob").alias("c"))
-    total = cells.groupBy("model").agg(F.sum("prob").alias("t"))
-    joined = cells.join(rows, ["model", "cue"]).join(cols, ["model", "block", "response"]).join(total, "model")
-    score = F.greatest(F.lit(0.0), F.log2(F.col("prob") * F.col("t") / (F.col("r") * F.col("c") + 1e-10)))
-    return joined.select("model", "cue", "response", "block", r6("prob").alias("prob"), r6(score).alias("ppmi"))
+    scored = assoc.ppmi(cells, ["cue"], ["block", "response"], "prob", by=("model",))
+    return scored.select("model", "cue", "response", "block", r6("prob").alias("prob"), r6("ppmi").alias("ppmi"))
 
 
 _LOW = r"regexp_replace(lower(text), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
