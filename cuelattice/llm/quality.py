@@ -9,8 +9,8 @@ Learning takes at most ``MAX_LABELLED`` labelled rows, chosen by a hash of their
 scoring covers every row. Labels, language, source and ids are no inputs of a score.
 
 Defined results: a null text counts as empty and an empty text has a score as any other; ties and repeated rows score
-alike; a label of null or other than 0 and 1 is ignored; with a class without labelled rows every score is 0.5; an empty
-table gives an empty result. Other columns, whatever their names, are kept by ``quality_filter`` and unused.
+alike; a label of null or other than 0 and 1 is ignored; with a class without labelled rows every score is 0.5 and the filter
+keeps all; an empty table gives an empty result. Other columns, whatever their names, are kept by ``quality_filter`` and unused.
 """
 
 from __future__ import annotations
@@ -171,7 +171,12 @@ def quality_scores(docs: DataFrame, model: Discriminant, id_col: str = "doc_id",
 
 
 def quality_filter(docs: DataFrame, model: Discriminant, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model accepts, with all their columns, in one pass and without a shuffle."""
+    """The rows of ``docs`` that the model accepts, with all their columns, in one pass and without a shuffle.
+
+    A model without labelled rows of both classes knows nothing against a document: all stay.
+    """
+    if not len(model.means):
+        return docs
     ship_code(docs.sparkSession)
 
     @F.pandas_udf("boolean")
