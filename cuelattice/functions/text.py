@@ -147,3 +147,14 @@ def key_type(c: Column) -> Column:
     variant = F.when(c.contains("_contrast"), "Behavior_Contrastive").when(c.contains("_shuffled"), "Behavior_Shuffled").otherwise("Behavior_Standard")
     behavior = F.concat(variant, F.when(c.contains("_300d"), "_300d").otherwise(""))
     return F.when(c == "human_matrix", "Baseline").when(c.startswith("activation_"), "Activation").when(c.startswith("passive_"), behavior).otherwise("Unknown")
+
+
+def tuned(c: Column, hub: Column | None = None) -> Column:
+    """Whether a model is instruction-tuned, by its key or its hub name; for orders that put tuned models first."""
+    own = F.lower(c).contains("instruct")
+    return own if hub is None else own | F.coalesce(F.lower(hub).contains("instruct"), F.lit(False))
+
+
+def allowed(c: Column, names: list[str] | None) -> Column:
+    """Whether a model is to be worked on: all are without a list."""
+    return F.lit(True) if names is None else c.isin(names)

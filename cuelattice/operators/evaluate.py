@@ -47,6 +47,12 @@ def strict_overlap(keys: DataFrame, activation: DataFrame) -> DataFrame:
     return keys.join(known, "canonical", "left").filter("__met or canonical = 'Human'").drop("__met")
 
 
+def by_mapping(keys: DataFrame, files: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """(embedding_key, norm_file) of a fixed mapping, for keys and files that are both there."""
+    pairs = keys.sparkSession.range(1).select(F.explode(F.create_map(*(F.lit(x) for kv in sorted(mapping.items()) for x in kv))).alias("embedding_key", "norm_file"))
+    return pairs.join(keys.select("embedding_key").distinct(), "embedding_key", "left_semi").join(files.select("norm_file").distinct(), "norm_file", "left_semi").select("embedding_key", "norm_file")
+
+
 # --- models ------------------------------------------------------------------------------------------------------------
 
 

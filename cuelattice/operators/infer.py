@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelattice.functions.text import answers, filled, without_separators
+from cuelattice.functions.vectors import pooled, spans_overlap
 from cuelattice.plans.session import ship_code
 
 
@@ -60,6 +61,26 @@ def generate(cues: DataFrame, make: Callable[[], Callable[[list[str]], list[str]
     return many.mapInPandas(run, f"{schema}, text string").withColumn("responses", answers(F.col("text")))
 
 
+def embed(words: DataFrame, make: Callable[[], Callable[[list[str]], list[list[tuple[int, int, list[float]]]]]], template: str = "{word}", how: str = "mean", word: str = "word") -> DataFrame:
+    """(word, vec): token vectors of the word within its sentence, pooled over the tokens that meet the word's span.
+
+    A model gives (start, end, vector) of each token of a sentence; tokens of no width are special ones and left out. A word
+    that the template does not show has no tokens and a null vector.
+    """
+    ship_code(words.sparkSession)
+    asked = words.select(F.col(word).alias("word"), filled(F.lit(template), F.col(word)).alias("sentence")).withColumn("at", F.locate(F.lit("\u0001"), filled(F.lit(template), F.lit("\u0001"))) - 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for pdf in batches:
+            tokens = [[{"a": int(a), "b": int(b), "v": [float(x) for x in v]} for a, b, v in found] for found in model(pdf["sentence"].tolist())]
+            yield pd.DataFrame({"word": pdf["word"], "at": pdf["at"], "tokens": tokens})
+
+    out = asked.mapInPandas(run, "word string, at int, tokens array<struct<a:int,b:int,v:array<double>>>")
+    met = F.filter("tokens", lambda t: (t["b"] > t["a"]) & (F.col("at") >= 0) & spans_overlap(t["a"], t["b"], F.col("at"), F.col("at") + F.length("word")))
+    return out.select("word", pooled(F.transform(met, lambda t: t["v"]), how).alias("vec"))
+
+
 def yield_rate(generated: DataFrame, by: list[str], responses: str = "responses") -> DataFrame:
     """By key the share of generations with three answers, and PASS or FAIL at one half."""
     rate = F.avg((F.size(responses) == 3).cast("double"))
@@ -87,14 +108,22 @@ def same_text(scored: Column, intended: Column) -> Column:
     return without_separators(scored).eqNullSafe(without_separators(intended))
 
 
-#: Rating prompts in our own words; a caller puts in the wording of the study.
-TEMPLATES = {
-    norm: f"On a scale from {low} to {high}, how {quality} is the word '{{word}}'? Answer with one number."
-    for norm, low, high, quality in (
-        ("arousal", 1, 9, "exciting"), ("valence", 1, 9, "pleasant"), ("dominance", 1, 9, "in control"),
-        ("concreteness", 1, 5, "concrete"), ("imageability", 1, 7, "easy to picture"), ("familiarity", 1, 7, "familiar"),
-        ("age_of_acquisition", 1, 20, "late learnt, in years of age,"), ("gender", 1, 7, "feminine"), ("humor", 1, 5, "funny"),
-        ("morality", 1, 7, "moral"), ("socialness", 1, 7, "social"), ("haptic", 0, 5, "touchable"),
-        ("auditory", 0, 5, "audible"), ("visual", 0, 5, "visible"), ("olfactory", 0, 5, "smellable"),
-    )
-}
+#: Names of the rating norms, each with its scale. The wording is ours; a caller puts in that of a study.
+SCALES = {
+    "arousal_warriner": "from 1 (excited) to 9 (calm), how you feel when you read",
+    "concreteness_brysbaert": "from 1 (abstract) to 5 (concrete), how much its meaning can be met by the senses for",
+    "valence_mohammad_positive": "from 0 (not positive) to 3 (strongly positive), how positive the meaning is of",
+    "valence_mohammad_negative": "from 0 (not negative) to 3 (strongly negative), how negative the meaning is of",
+    "visual_lancaster": "from 0 (not at all) to 5 (greatly), how much you experience by seeing",
+    "auditory_lancaster": "from 0 (not at all) to 5 (greatly), how much you experience by hearing",
+    "gustatory_lancaster": "from 0 (not at all) to 5 (greatly), how much you experience by tasting",
+    "olfactory_lancaster": "from 0 (not at all) to 5 (greatly), how much you experience by smelling",
+    "haptic_lancaster": "from 0 (not at all) to 5 (greatly), how much you experience by touching",
+    "aoa_kuperman": "in years of age, when you learnt",
+    "aoa_brysbaert": "in years of age, when people mostly learn",
+    "morality_troche": "how moral or immoral the meaning is of",
+    "gender_association_glasgow": "from 1 (very feminine) to 7 (very masculine), which gender goes with",
+    "humor_engelthaler": "from 1 (humorless) to 5 (humorous), how funny you find",
+    "socialness_diveica": "from 1 (not social) to 7 (very social), how social the meaning is of",
+}
+TEMPLATES = {norm: f"Please rate, {scale} the word below. Answer with a number and nothing else.\nWord: \"{{word}}\"\nRating:" for norm, scale in SCALES.items()}

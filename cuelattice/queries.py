@@ -288,6 +288,22 @@ def q17_strict(spark, sf):
     return evaluate.strict_overlap(customers.select("c_custkey", F.col("c_mktsegment").alias("canonical")), rich).select("c_custkey", "canonical")
 
 
+#: Fixed mapping of embedding keys to files of model ratings.
+MAPPING = {f"passive_{k}{v}": f for k, f in (("gemma-3-27-b-instruct", "gemma-3-27b-instruct"), ("qwen-3-32-b-instruct", "qwen-3-32b-instruct")) for v in ("", "_shuffled", "_contrast", "_contrast_300d")}
+
+
+@query("q17_mapping", "SELECT k AS embedding_key, f AS norm_file FROM (VALUES " + ", ".join(f"('{k}', '{f}')" for k, f in MAPPING.items()) + ") AS m(k, f) WHERE k IN (" + ", ".join(f"'{k}'" for k in NAMES) + ") AND f = 'gemma-3-27b-instruct'")
+def q17_mapping(spark, sf):
+    keys = spark.range(1).select(F.explode(F.lit(NAMES)).alias("embedding_key"))
+    return evaluate.by_mapping(keys, spark.range(1).select(F.lit("gemma-3-27b-instruct").alias("norm_file")), MAPPING)
+
+
+@query("q09_model_order", f"WITH names AS ({_NAMES_SQL}) SELECT raw, row_number() OVER (ORDER BY CASE WHEN contains(lower(raw), 'instruct') THEN 0 ELSE 1 END, raw) - 1 AS place FROM names WHERE raw NOT IN ('x')")
+def q09_order(spark, sf):
+    rows = spark.range(1).select(F.explode(F.lit(NAMES)).alias("raw")).filter(tx.allowed(F.col("raw"), [n for n in NAMES if n != "x"]))
+    return assoc.dense_index(rows.withColumn("later", F.when(tx.tuned(F.col("raw")), 0).otherwise(1)), "later", "raw", name="place").select("raw", "place")
+
+
 @query(
     "q18_task_alignment",
     fx.over("rated", t="SELECT norm, word, avg(rating) AS y_mean, arg_max(rating, {'a': row_id, 'b': rating}) AS y_last FROM rated GROUP BY ALL")

@@ -169,7 +169,7 @@ def test_reports(spark):
 def test_plug_ins(spark):
     words = spark.createDataFrame([("sun",), ("sea",)], "word string")
     asked = infer.prompts(words, infer.TEMPLATES)
-    assert asked.count() == 30 and asked.filter(F.col("prompt").contains("'sun'")).count() == 15
+    assert asked.count() == 30 and asked.filter(F.col("prompt").contains('"sun"')).count() == 15
 
     def make():
         return lambda prompts, responses: [[-1.0] * len(r.split(", ")) for r in responses]
@@ -180,3 +180,16 @@ def test_plug_ins(spark):
     assert made.count() == 6 and made.first()["responses"][1:] == ["one", "two"]
     assert infer.yield_rate(made, ["word"]).first()["yield_rate"] == 1
     assert spark.range(1).select(infer.same_text(F.lit("a,b c"), F.lit("abc")).alias("x"), infer.separator(F.lit(" ,")).alias("s")).first()[:] == (True, True)
+
+
+def test_word_vectors_are_pooled_over_their_span(spark):
+    def make():
+        def model(sentences):
+            return [[(0, 0, [9.0]), *((k, k + 1, [float(k)]) for k in range(len(s)))] for s in sentences]
+
+        return model
+
+    words = spark.createDataFrame([("sun",), ("sea",)], "word string")
+    take = lambda **k: {r["word"]: r["vec"] for r in infer.embed(words, make, **k).collect()}
+    assert take(template="a {word}.") == {"sun": [3.0], "sea": [3.0]}
+    assert take(template="a {word}.", how="last")["sun"] == [4.0] and take(template="none")["sun"] is None
