@@ -68,7 +68,7 @@ def embed(words: DataFrame, make: Callable[[], Callable[[list[str]], list[list[t
     that the template does not show has no tokens and a null vector.
     """
     ship_code(words.sparkSession)
-    asked = words.select(F.col(word).alias("word"), filled(F.lit(template), F.col(word)).alias("sentence")).withColumn("at", F.locate(F.lit("\u0001"), filled(F.lit(template), F.lit("\u0001"))) - 1)
+    asked = words.select(F.col(word).alias("word"), filled(F.lit(template), F.col(word)).alias("sentence")).withColumn("at", F.locate("\u0001", filled(F.lit(template), F.lit("\u0001"))) - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
