@@ -11,10 +11,11 @@ from cuelattice.llm.common import saved
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round over (u, v) rows: each node's neighbours are tied to the smallest of them and the node.
 
-    The minima are aggregated before the shuffle and joined back, so that no node's neighbours are ever held together.
+    The minima are aggregated before the shuffle, written out and joined back: the join then has plain exchanges below it,
+    which the planner can split where a node has very many neighbours.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
+    least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m")))
     tied = both.join(least, F.col("u") == F.col("at"))
     if large:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -270,7 +270,7 @@ def near_groups(prints: DataFrame) -> DataFrame:
     nodes = saved(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that the join below can be split where a group is large
     return rooted.join(ids, "root").select("fp", "component_id")
 
 
@@ -293,13 +293,13 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     if prints.filter("id is not null").groupBy("id").count().filter("count > 1").limit(1).count():
         out = out.dropDuplicates([id_col])
     if prints.filter("id is null").limit(1).count():
-        alone = judged.filter("id is null and component_id is null").select("fp").distinct()
+        alone = judged.filter("id is null and component_id is null").select(F.col("fp").alias("__alone")).distinct()
         unnamed = df.filter(F.col(id_col).isNull())
         @F.pandas_udf("long")
         def mark(texts: pd.Series) -> pd.Series:
             return pd.Series([signed(fingerprint(t or "")) for t in texts], dtype="int64")
 
-        out = out.unionByName(unnamed.withColumn("__fp", mark(F.col(text_col))).join(alone, F.col("__fp") == F.col("fp"), "left_semi").select(df.columns))
+        out = out.unionByName(unnamed.withColumn("__fp", mark(F.col(text_col))).join(alone, F.col("__fp") == F.col("__alone"), "left_semi").select(df.columns))
     return out
 
 
