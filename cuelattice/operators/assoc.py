@@ -60,10 +60,11 @@ def ppmi(cells: DataFrame, rows: list[str], cols: list[str], value: str = "n", s
     """``cells`` with positive pointwise mutual information; cells that are not above zero are left out.
 
     max(0, log2(v * total / (row total * column total + smooth))), for each matrix that ``by`` tells apart. Cells whose
-    score is 0 stay. Row, column and matrix totals are summed before they are shuffled and joined back.
+    score is 0 stay. Row, column and matrix totals are summed before they are shuffled and joined back. The cells are needed
+    for each total and once more, so they are written out first: counting them is dearer than reading them.
     """
     v, by = F.col(value), list(by)
-    cells = cells.filter(v > 0)
+    cells = written(cells.filter(v > 0))
     by_row = cells.groupBy(*by, *rows).agg(F.sum(v).alias("__r"))
     by_col = cells.groupBy(*by, *cols).agg(F.sum(v).alias("__c"))
     total = cells.groupBy(*by).agg(F.sum(v).alias("__t"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.functions import text as names
 from cuelattice.operators import assoc, embed, evaluate, sampling
+from cuelattice.plans.session import written
 from cuelattice.sources import readers, sinks
 
 
@@ -24,9 +25,9 @@ def activations(spark: SparkSession, files: dict[str, str], cues: DataFrame, out
 
 def behavior_cells(pairs: DataFrame, least: int = 5) -> tuple[DataFrame, DataFrame]:
     """(cells, vocabulary) of human (cue, response) pairs: both words must be frequent responses."""
-    vocabulary = assoc.frequent(pairs, "response", least)
-    known = assoc.in_vocabulary(pairs, vocabulary, "cue", "response")
-    return assoc.ppmi(assoc.pair_counts(known), ["cue"], ["response"]), vocabulary
+    counts = written(assoc.pair_counts(pairs))
+    vocabulary = counts.groupBy(F.col("response").alias("word")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return assoc.ppmi(assoc.in_vocabulary(counts, vocabulary, "cue", "response"), ["cue"], ["response"]), vocabulary
 
 
 def log_prob_cells(scores: DataFrame, vocabulary: DataFrame, shuffled: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuelattice.functions import text as tx
 from cuelattice.functions import vectors as vx
 from cuelattice.operators import assoc, embed, evaluate, infer, ratings, reports, sampling
+from cuelattice.plans.session import written
 from cuelattice.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,8 +77,10 @@ _COUNTS = "SELECT cue, response, count(*) AS n FROM pairs WHERE cue IN (SELECT w
 
 
 def counts_view(spark, sf) -> DataFrame:
-    pairs = fx.pairs(spark, sf)
-    return assoc.pair_counts(assoc.in_vocabulary(pairs, assoc.frequent(pairs, "response"), "cue", "response"))
+    # pairs are counted first: the vocabulary and the filter then work on counts, which are fewer
+    counts = written(assoc.pair_counts(fx.pairs(spark, sf)))
+    vocabulary = counts.groupBy(F.col("response").alias("word")).agg(F.sum("n").alias("n")).filter("n >= 5")
+    return assoc.in_vocabulary(counts, vocabulary, "cue", "response")
 
 
 @query("q05_vocab_semi_filter", fx.over("pairs", vocabulary=_VOCABULARY) + _COUNTS)
