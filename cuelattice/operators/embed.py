@@ -71,8 +71,8 @@ def truncated_svd(cells: DataFrame, k: int, row: str = "cue", col: str = "respon
     if rank < 2:
         return rows.select(row, zeros(k).alias("vec")), []
     ship_code(cells.sparkSession)
-    placed = cells.join(rows, row).join(cols, col).groupBy("__i").agg(F.sort_array(F.collect_list(F.struct("__j", F.col(value).alias("x")))).alias("cells"))
-    sparse = placed.rdd.map(lambda r: IndexedRow(r["__i"], Vectors.sparse(m, [c["__j"] for c in r["cells"]], [c["x"] for c in r["cells"]])))
+    placed = written(cells.join(rows, row).join(cols, col).groupBy("__i").agg(F.sort_array(F.collect_list(F.struct("__j", F.col(value).alias("x")))).alias("cells")))
+    sparse = placed.rdd.map(lambda r: IndexedRow(r["__i"], Vectors.sparse(m, [c["__j"] for c in r["cells"]], [c["x"] for c in r["cells"]]))).persist()  # the solver goes over it many times
     svd = IndexedRowMatrix(sparse).computeSVD(rank, computeU=True)
     s = [float(x) for x in svd.s.toArray()]
     u = written(svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()])).toDF("__i long, u array<double>"))
