@@ -1,0 +1,204 @@
+"""Near copies by exact Jaccard similarity of word shingles: prefix filter, check on the texts, groups.
+
+Two texts are linked if their sets of ``SHINGLE``-word shingles reach ``LEAST`` (a fraction). No link is lost: two such
+sets share one of the ``n - ceil(LEAST * n) + 1`` first shingles of either in any common order. The order is by rarity in
+a sample, so that passages shared by many documents come last; the sample changes the cost only, never the result.
+
+Texts of equal words are one node, named by 64 bits of their XXH64, and are compared once. Nodes with a key in common are
+a bucket. First the pairs of small buckets and stars and chains of large ones are checked; then, in large buckets, all pairs
+of nodes that are not yet in one group. A bucket over ``BUCKET`` is dealt out as pairs of sub-blocks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cuelattice.llm.common import map_columns, saved, ship_code, text_or_empty
+from cuelattice.llm.components import components
+
+SHINGLE, SEED = 5, 42
+#: Least similarity as (numerator, denominator).
+LEAST = (4, 5)
+#: Nodes of a bucket of which all pairs are checked at once, and nodes that one group may hold.
+SMALL, BUCKET = 8, 2048
+#: Documents whose shingles are counted for the order, and the most counts that are broadcast.
+SAMPLE, COMMON = 20_000, 100_000
+
+
+def shingles(text: str) -> np.ndarray:
+    """Sorted distinct XXH64 of a text's shingles; a text of fewer words is one shingle, one without words has none."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= SHINGLE:
+        return np.array([digest(b" ".join(words), SEED)], np.uint64).view(np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: 1 - SHINGLE]
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64).view(np.int64))
+
+
+def node_of(text: str) -> int:
+    import xxhash
+
+    x = xxhash.xxh64_intdigest(b" ".join(text.encode().lower().split()), SEED)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets reach LEAST."""
+    top, bottom = LEAST
+    if not len(a) or not len(b) or bottom * min(len(a), len(b)) < top * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return bottom * both >= top * (len(a) + len(b) - both)
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) of the commonest shingles of a sample of ``texts`` (text), by shingle."""
+    part = max(1, texts.count() // SAMPLE)
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
+    found = map_columns(some, lambda t: {"s": [shingles(x) for x in t]}, "s array<long>").select(F.explode("s").alias("s"))
+    rows = found.groupBy("s").count().filter("count > 4").orderBy(F.desc("count"), "s").limit(COMMON).collect()
+    rows.sort()
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+
+
+def prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, hash, fp, n, keys): hash of the text, node, size of its set and the first shingles of it by rarity."""
+    rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    known = df.sparkSession.sparkContext.broadcast(common_shingles(rows.select("text")))
+    top, bottom = LEAST
+
+    def run(ids, texts, hashes):
+        common, counts = known.value
+        out: dict[str, list] = {"id": ids, "hash": hashes, "fp": [node_of(t) for t in texts], "n": [], "keys": []}
+        for t in texts:
+            own = shingles(t)
+            first = len(own) - -(-top * len(own) // bottom) + 1 if len(own) else 0
+            if len(common) and len(own):
+                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                own = own[np.lexsort((own, np.where(common[at] == own, counts[at], 0)))]
+            out["n"].append(len(own))
+            out["keys"].append(own[:first])
+        return out
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return map_columns(rows, run, f"id {kind}, hash long, fp long, n int, keys array<long>")
+
+
+def in_buckets(rows: DataFrame, columns: list[str], pairs: Callable) -> DataFrame:
+    """Distinct (a, b), a < b, of ``pairs(columns of a bucket)`` for each (key, x, y) of ``rows``; arrays of indices."""
+    ship_code(rows.sparkSession)
+    dealt = rows.select("key", "x", "y", *columns).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n", "fp")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def out(held):
+            change = np.flatnonzero((held[:3, 1:] != held[:3, :-1]).any(axis=0)) + 1
+            starts, ends = np.concatenate([[0], change]), np.concatenate([change, [held.shape[1]]])
+            some = ends - starts > 1
+            found = [np.zeros((2, 0), np.int64)]
+            for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
+                own = dict(zip(columns, held[3:, a:b], strict=True))
+                for i, j in pairs(own):
+                    fits = LEAST[1] * np.minimum(own["n"][i], own["n"][j]) >= LEAST[0] * np.maximum(own["n"][i], own["n"][j])
+                    u, v = own["fp"][i[fits]], own["fp"][j[fits]]
+                    found.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
+            u, v = np.concatenate(found, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+
+        held = np.zeros((3 + len(columns), 0), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
+            differs = np.flatnonzero((held[:3] != held[:3, -1:]).any(axis=0)) if held.shape[1] else []
+            cut = int(differs[-1]) + 1 if len(differs) else 0  # the last bucket may go on in the next batch
+            if cut:
+                yield out(held[:, :cut])
+                held = held[:, cut:]
+        if held.shape[1]:
+            yield out(held)
+
+    return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
+def first_pairs(own: dict[str, np.ndarray]):
+    """All pairs of a small bucket; of a large one, which is in order of size, a star about its middle and a chain."""
+    n = np.arange(len(own["fp"]))
+    if len(n) <= SMALL:
+        yield np.triu_indices(len(n), 1)
+    else:
+        yield np.full(len(n), len(n) // 2), n
+        yield n[:-1], n[1:]
+
+
+def other_pairs(own: dict[str, np.ndarray]):
+    """All pairs of different groups; of two sub-blocks, those across."""
+    side, root = own["side"], own["root"]
+    across = side.any()
+    for i in range(len(root)):
+        j = np.flatnonzero((side == 1) & (root != root[i])) if across else i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        if len(j) and not (across and side[i]):
+            yield np.full(len(j), i), j
+
+
+def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v) of those ``pairs`` (a, b) whose texts in ``texts`` (fp, text) are near."""
+    pairs = saved(pairs)
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    held = saved(texts.join(wanted, "fp", "left_semi"))
+    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("text").alias("s")), "a").join(held.select(F.col("fp").alias("b"), F.col("text").alias("t")), "b")
+
+    def run(a, b, s, t):
+        kept = lru_cache(maxsize=256)(shingles)
+        fine = [near(kept(x), kept(y)) for x, y in zip(s, t, strict=True)]
+        return {"u": [x for x, ok in zip(a, fine, strict=True) if ok], "v": [x for x, ok in zip(b, fine, strict=True) if ok]}
+
+    return saved(map_columns(both.select("a", "b", "s", "t"), run, "u long, v long"))
+
+
+def links(df: DataFrame, held: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(u, v) of nodes of ``held`` (prints of ``df``) whose components are those of all near pairs."""
+    ship_code(df.sparkSession)
+    nodes = held.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("hash").alias("hash"), F.min("id").alias("id"))
+    nodes = saved(nodes)
+    # one row stands for the words of each node: any of its rows, found by id and hash of its text
+    chosen = held.groupBy("fp").agg(F.min(F.struct("hash", "id")).alias("r")).select("fp", F.col("r.hash").alias("h"), F.col("r.id").alias("i"))
+    rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    texts = lambda some: rows.join(chosen.join(some, "fp", "left_semi"), F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))).select("fp", "text").dropDuplicates(["fp"])
+    keyed = nodes.select("fp", "n", F.explode("keys").alias("key"))
+    sub = F.lit(0)
+    first = saved(in_buckets(keyed.withColumn("x", sub).withColumn("y", sub), ["fp", "n"], first_pairs))
+    ends = lambda p: p.select(F.col("a").alias("fp")).unionByName(p.select(F.col("b").alias("fp"))).distinct()
+    found = checked(first, texts(ends(first)))
+    large = saved(keyed.groupBy("key").agg(F.count("fp").alias("size")).filter(F.col("size") > SMALL))
+    if large.limit(1).count():
+        roots = components(found)
+        rooted = keyed.join(large, "key").join(roots, F.col("fp") == F.col("node"), "left").select("key", "size", "fp", "n", F.coalesce("root", "fp").alias("root"))
+        rooted = saved(rooted)
+        open_keys = rooted.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("key")
+        parts = F.ceil(F.col("size") / BUCKET).cast("int")
+        split = rooted.join(open_keys, "key", "left_semi").withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int"))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        split = split.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp", "n", "root")
+        more = saved(in_buckets(split, ["fp", "n", "root", "side"], other_pairs).join(first, ["a", "b"], "left_anti"))
+        found = found.unionByName(checked(more, texts(ends(more))))
+    return found
+
+
+def near_groups(df: DataFrame, held: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(fp, root, component_id) of each node of ``held``: root is the same in a group, component_id its smallest id."""
+    roots = components(links(df, held, id_col, text_col))
+    nodes = held.groupBy("fp").agg(F.min("id").alias("least"))
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    return rooted.join(ids, "root").select("fp", "root", "component_id")

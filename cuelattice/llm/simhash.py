@@ -21,10 +21,10 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelattice.llm import jaccard
 from cuelattice.llm.common import map_columns, saved, ship_code, table, text_or_empty
 from cuelattice.llm.components import components
 
@@ -284,22 +284,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their group, with all columns; each such id once.
 
+    Groups are those of ``jaccard``: five-word shingles, exact similarity of 0.8; the query's four bits are not used here.
     Rows without an id cannot stand for a group: they stay only if their whole group has no id.
     """
-    prints = saved(fingerprints(df, id_col, text_col))
-    judged = prints.join(near_groups(prints), "fp")
+    prints = saved(jaccard.prints(df, id_col, text_col))
+    judged = saved(prints.select("id", "fp", "hash").join(jaccard.near_groups(df, prints, id_col, text_col), "fp"))
     kept = judged.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
     out = df.join(kept, id_col, "left_semi").select(df.columns)
     if prints.filter("id is not null").groupBy("id").count().filter("count > 1").limit(1).count():
         out = out.dropDuplicates([id_col])
     if prints.filter("id is null").limit(1).count():
-        alone = judged.filter("id is null and component_id is null").select(F.col("fp").alias("__alone")).distinct()
-        unnamed = df.filter(F.col(id_col).isNull())
-        @F.pandas_udf("long")
-        def mark(texts: pd.Series) -> pd.Series:
-            return pd.Series([signed(fingerprint(t or "")) for t in texts], dtype="int64")
-
-        out = out.unionByName(unnamed.withColumn("__fp", mark(F.col(text_col))).join(alone, F.col("__fp") == F.col("__alone"), "left_semi").select(df.columns))
+        alone = judged.filter("id is null and component_id is null").select(F.col("hash").alias("__alone")).distinct()
+        out = out.unionByName(df.filter(F.col(id_col).isNull()).join(alone, F.xxhash64(text_or_empty(text_col)) == F.col("__alone"), "left_semi").select(df.columns))
     return out
 
 

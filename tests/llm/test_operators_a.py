@@ -329,6 +329,40 @@ def test_one_document_of_a_group_stays(docs, empty, spark):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize(("bucket", "small"), [(2048, 8), (5, 2)])
+def test_dropped_copies_against_brute_force_jaccard(spark, monkeypatch, bucket, small):
+    from cuelattice.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    chance = random.Random(8)
+    make = lambda n: [f"w{chance.randrange(4000)}" for _ in range(n)]
+    line, texts = make(12), []
+    for _ in range(12):
+        base = make(chance.randint(6, 200)) + line
+        for _ in range(chance.randint(1, 14)):
+            copy = list(base)
+            for _ in range(chance.randint(0, 1 + len(base) // 40)):
+                copy[chance.randrange(len(copy))] = "odd"
+            texts.append(" ".join(copy))
+    texts += ["", "a b", "A  b", "a b c d e", "a b c d e f"]
+
+    def plain(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [plain(t) for t in texts], list(range(len(texts)))
+    far = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                far += (plain_fingerprint(texts[a]) ^ plain_fingerprint(texts[b])).bit_count() > 4
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert far and sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == sorted(set(root))
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(200)] + [(500, 400), (400, 450), (7, 7), (None, 3), (500, 400)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
