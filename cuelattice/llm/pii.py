@@ -3,8 +3,8 @@
 Four base patterns (e-mail, IPv4, card with Luhn check, phone) run on the text itself. Where a text holds a disguise, a
 chain of transducers rewrites it: look-alike letters and other scripts' digits become ASCII, runs of spelled digits become
 digits, and bracketed or spelled at/dot become signs. Every rewritten character keeps the source span it came from, so a
-span found in the rewritten text maps back to whole source characters. A mapped span is added to its kind unless it meets
-a span that is there already; base spans always stay.
+span found in the rewritten text maps back to whole source characters. A mapped span is added to its kind unless it lies
+within a span that is there already; base spans always stay, also within an added one, and masks cover the union.
 
 Defined results: a null text counts as empty and has no span; offsets are code points with exclusive ends; repeated rows
 give repeated results; an empty table gives an empty result. Nothing shuffles, and a text is never cut.
@@ -176,7 +176,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
-    """The spans that only show after rewriting, by kind; none meets a base span of any kind."""
+    """The spans that only show after rewriting, by kind; none lies within a base span of its kind, though it may contain one."""
     strange = not text.isascii() and STRANGE.search(text)
     if not strange and not hinted(text):
         return {}
@@ -188,12 +188,12 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str,
         new.at_dot()
     if new.text == text:
         return {}
-    taken = sorted(s for spans in base.values() for s in spans)
     added: dict[str, list[tuple[int, int]]] = {}
     for kind, spans in base_spans(new.text).items():
+        taken = list(base[kind])
         for a, b in spans:
             span = (new.starts[a], new.ends[b - 1])
-            if text[span[0] : span[1]] != new.text[a:b] and all(span[1] <= s or e <= span[0] for s, e in taken):
+            if text[span[0] : span[1]] != new.text[a:b] and not any(s <= span[0] and span[1] <= e for s, e in taken):
                 added.setdefault(kind, []).append(span)
                 taken.append(span)
     return added

@@ -91,6 +91,18 @@ def test_disguises_map_back(spark):
         assert not any(pii.find(clean)[1].values()), clean
 
 
+def test_look_alikes_anywhere_in_an_address():
+    swap = {"a": "а", "o": "о", "e": "е", "c": "с", "p": "р", "x": "х", "s": "ѕ", "j": "ј", "h": "һ", "i": "і", "m": "м", "t": "т"}
+    address = "john.smith@example.com"
+    for k, c in enumerate(address):
+        if c in swap:
+            disguised = address[:k] + swap[c] + address[k + 1 :]
+            text = f"to {disguised} now"
+            base, spans = pii.find(text)
+            assert (3, 3 + len(address)) in spans["email"] and set(base["email"]) <= set(spans["email"]), text
+            assert pii.mask(text) == "to <email> now", text
+
+
 def test_pii_rows(spark):
     texts = ["a@b.cc 1.2.3.4 +1 555 010 9999", None, "", "é" * 9 + "x@y.zz", "9" * 20000 + " q@w.ee", "jane [at] site [dot] com or j@s.co"]
     got = {r["doc_id"]: r for r in pii.pii_spans(docs_of(spark, texts)).collect()}
