@@ -73,8 +73,13 @@ class _Glyphs(dict):
 
 
 GLYPHS = _Glyphs()
-#: What may need the first transducer: Greek, Cyrillic, Armenian, digits of any script, compatibility forms, invisible characters.
-STRANGE = re.compile("[\u00ad\u0370-\u0600\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u200b-\u200d\u2010-\u2013\u2024\u2060\u2460-\u24ff\u3002\ufe62\ufe6b\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
+
+
+def strange(text: str) -> bool:
+    """Whether the first transducer changes anything, asked of its own tables."""
+    return not text.isascii() and any(GLYPHS[ord(c)] != c for c in set(text) if c > "\x7f")
+
+
 SPELLED = re.compile(r"(?i:\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[\x20,.-]{1,2}(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)){%d,}\b)" % (SPELLED_RUN - 1))
 ONE_SPELLED = re.compile(r"[A-Za-z]+")
 #: at and dot in brackets, or bare between address parts where a dot follows the at and no article stands for the host.
@@ -177,11 +182,11 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
     """The spans that only show after rewriting, by kind; none lies within a base span of its kind, though it may contain one."""
-    strange = not text.isascii() and STRANGE.search(text)
-    if not strange and not hinted(text):
+    other = strange(text)
+    if not other and not hinted(text):
         return {}
     new = Rewritten(text)
-    if strange:
+    if other:
         new.glyphs()
     if hinted(new.text):
         new.spelled()

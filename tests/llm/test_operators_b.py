@@ -103,6 +103,17 @@ def test_look_alikes_anywhere_in_an_address():
             assert pii.mask(text) == "to <email> now", text
 
 
+@pytest.mark.parametrize("zero", "٠۰०০๐௦០０𝟎")
+def test_digits_of_any_script(zero):
+    text = "at 192.168.0.1 or".translate({48 + k: ord(zero) + k for k in range(10)})
+    assert [text[a:b] for a, b in pii.find(text)[1]["ip"]] == [text[3:14]], text
+
+
+def test_letterlike_and_raised_letters():
+    for text in ("ann@exampℓe.com", "annⁿ@example.com", "anⅼ@example.com"):
+        assert (0, len(text)) in pii.find(text)[1]["email"] and pii.mask(text) == "<email>", text
+
+
 def test_pii_rows(spark):
     texts = ["a@b.cc 1.2.3.4 +1 555 010 9999", None, "", "é" * 9 + "x@y.zz", "9" * 20000 + " q@w.ee", "jane [at] site [dot] com or j@s.co"]
     got = {r["doc_id"]: r for r in pii.pii_spans(docs_of(spark, texts)).collect()}
