@@ -42,8 +42,9 @@ SIGNS = {"＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "‐": "-",
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 #: Fixed list: digits as words.
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-#: Spelled digits count as a number only in runs of at least so many.
-SPELLED_RUN = 7
+#: Fixed lists: numbers of two digits as words; a ten may be followed by a digit ("twenty one", "sixty-eight").
+TEENS = {w: str(10 + k) for k, w in enumerate("ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+TENS = {w: str(2 + k) for k, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
 
 
 def _decimal(c: str) -> str | None:
@@ -80,11 +81,17 @@ def strange(text: str) -> bool:
     return not text.isascii() and any(GLYPHS[ord(c)] != c for c in set(text) if c > "\x7f")
 
 
-SPELLED = re.compile(r"(?i:\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[\x20,.-]{1,2}(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)){%d,}\b)" % (SPELLED_RUN - 1))
-ONE_SPELLED = re.compile(r"[A-Za-z]+")
+_WORD = "|".join([*DIGIT_WORDS, *TEENS]) + "|(?:%s)(?:[\\x20-](?:%s))?" % ("|".join(TENS), "|".join(w for w in DIGIT_WORDS if w not in ("zero", "oh")))
+#: A number in words, in digits, or a spelled dot; and what may stand between two of them.
+TOKEN = re.compile(r"(?ai:(?<![a-z0-9])(?:(%s)|(dot|point))(?![a-z0-9])|([0-9]+)(?![a-z]))" % _WORD)
+GAP = re.compile(r"[\x20,.()+-]{1,4}")
 #: at and dot in brackets, or bare between address parts where a dot follows the at and no article stands for the host.
 BRACKETED = re.compile(r"\x20?[\[({<]\x20?(?i:(at)|(dot))\x20?[\])}>]\x20?")
-SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{2,})(\x20[aA][tT]\x20)(?!(?i:the|a|an|this|that|these|those|my|our|your|his|her|its|their|all|any|each|every|some|no)\x20)([A-Za-z0-9-]+)((?:\x20[dD][oO][tT]\x20[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
+SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{2,}+|[A-Za-z0-9_](?=\x20[dD][oO][tT]\x20))((?:\x20[dD][oO][tT]\x20[A-Za-z0-9._%+-]++)*+)(\x20[aA][tT]\x20|@)(?!(?i:the|a|an|this|that|these|those|my|our|your|his|her|its|their|all|any|each|every|some|no)\x20)([A-Za-z0-9-]+)((?:\x20[dD][oO][tT]\x20[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
+#: Fixed list: words before "at example.com" that tell where something is and are no local part.
+PLACED = frozenset("""is are was were be been am us me him her them it you we they look looks looked looking see seen find found visit visited
+available online site website page pages home hosted live located sold published read more here there posted posts listed shop apply
+register sign join contact email mail write only also now today works worked working work bought buy order free out up back and or""".split())
 DOT = re.compile(r"\x20[dD][oO][tT]\x20")
 HINT = re.compile(r"[\[({<]\x20?(?:at|dot)\x20?[\])}>]")
 
@@ -92,7 +99,7 @@ HINT = re.compile(r"[\[({<]\x20?(?:at|dot)\x20?[\])}>]")
 def hinted(text: str) -> bool:
     """A cheap necessary condition for the second and third transducer to change anything."""
     low = text.lower()
-    return " dot " in low or HINT.search(low) is not None or sum(map(low.count, DIGIT_WORDS)) >= SPELLED_RUN
+    return " dot " in low or " point " in low or (" at " in low and "." in low) or HINT.search(low) is not None or any(w in low for w in (*DIGIT_WORDS, *TEENS, *TENS))
 
 
 class Rewritten:
@@ -122,20 +129,60 @@ class Rewritten:
         self.starts, self.ends = [*starts, *self.starts[at:]], [*ends, *self.ends[at:]]
 
     def spelled(self) -> None:
-        found = []
-        for m in SPELLED.finditer(self.text):
-            words = list(ONE_SPELLED.finditer(m[0]))
-            for k, w in enumerate(words):  # each word takes the separator before it, so the digits are gapless
-                a = m.start() + (words[k - 1].end() if k else 0)
-                found.append((a, m.start() + w.end(), DIGIT_WORDS[w[0].lower()]))
-        self.replace(found)
+        """Numbers in words become digits, and spelled dots signs, beside other numbers or a plus; the patterns decide what they are."""
+        text, found, run = self.text, [], []
+        for m in TOKEN.finditer(text):
+            if run and not GAP.fullmatch(text, run[-1].end(), m.start()):
+                found += self._run(run)
+                run = []
+            run.append(m)
+        self.replace(found + self._run(run))
+
+    def _run(self, run: list[re.Match]) -> list[tuple[int, int, str]]:
+        while run and run[0][2]:
+            run = run[1:]
+        while run and run[-1][2]:
+            run = run[:-1]
+        text = self.text
+        if not run or all(m[3] for m in run) or (len(run) == 1 and "+" not in text[max(0, run[0].start() - 2) : run[0].start()]):
+            return []
+        gaps = [text[a.end() : b.start()] for a, b in zip(run, run[1:], strict=False)]
+        dotted = gaps.count(".") == 3  # the signs of an IP address; else a dot between words only divides them
+        found, at = [], run[0].start()
+        for k, m in enumerate(run):
+            gap, last = (gaps[k - 1], run[k - 1]) if k else ("", None)
+            spelled = m[1] or m[2]
+            if last and not (m[3] and last[3]):
+                if m[2] or last[2] or (m[1] and last[1] and "+" not in gap and not (dotted and gap == ".")):
+                    at = last.end()  # a word takes what is before it, so that the digits are gapless
+                    if m[3]:
+                        found[-1] = (found[-1][0], m.start(), found[-1][2])
+                else:
+                    at = m.start()
+                    if len(gap) > 1 and "+" not in gap and not set(gap) & set("()"):
+                        found.append((last.end(), m.start(), " "))
+            else:
+                at = m.start()
+            if spelled:
+                found.append((at, m.end(), "." if m[2] else self._digits(m[1])))
+        return found
+
+    @staticmethod
+    def _digits(words: str) -> str:
+        ten, *unit = re.split(r"[\x20-]", words.lower())
+        return DIGIT_WORDS.get(ten) or TEENS.get(ten) or TENS[ten] + (DIGIT_WORDS[unit[0]] if unit else "0")
 
     def at_dot(self) -> None:
         self.replace([(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(self.text)])
         found = []
         for m in SPOKEN.finditer(self.text):
-            found.append((m.start(2), m.end(2), "@"))
-            found += [(m.start(4) + d.start(), m.start(4) + d.end(), ".") for d in DOT.finditer(m[4])]
+            plain = not DOT.search(m[0])
+            if plain and (m[3] == "@" or m[1].lower() in PLACED or not re.fullmatch(r"(?:\.[a-z0-9-]+)*\.[a-z]{2,}", m[5])):
+                continue
+            found += [(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in DOT.finditer(m[2])]
+            if m[3] != "@":
+                found.append((m.start(3), m.end(3), "@"))
+            found += [(m.start(5) + d.start(), m.start(5) + d.end(), ".") for d in DOT.finditer(m[5])]
         self.replace(found)
 
 

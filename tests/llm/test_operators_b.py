@@ -114,6 +114,30 @@ def test_letterlike_and_raised_letters():
         assert (0, len(text)) in pii.find(text)[1]["email"] and pii.mask(text) == "<email>", text
 
 
+def test_spelled_and_mixed_identifiers():
+    cases = (
+        ("ip", "one nine two dot one six eight dot one dot ten"),
+        ("ip", "192 dot 168 dot 0 dot 1"),
+        ("ip", "one nine two.one six eight.one.one"),
+        ("ip", "one ninety two dot 168 dot twenty-one dot four"),
+        ("phone", "+1 five five five 010 9999"),
+        ("phone", "+1 five five five - zero one zero - nine nine nine nine"),
+        ("phone", "+one 555 - zero one zero 9999"),
+        ("card", "four one one one 1111 1111 1111"),
+        ("email", "ann at example.com"),
+        ("email", "john dot smith at example dot com"),
+        ("email", "j dot smith at mail.example dot com"),
+        ("email", "john dot smith@example.com"),
+    )
+    for kind, part in cases:
+        text = f"so: {part} , end"
+        spans = pii.find(text)[1]
+        assert part in [text[a:b] for a, b in spans[kind]], (text, spans)
+        assert pii.mask(text) == f"so: <{kind}> , end", pii.mask(text)
+    for clean in ("find us at example.com today", "we met at noon.Then one two three", "version one point two", "one. two. three 4 dot 5", "5 dot 6 dot 7"):
+        assert not any(pii.find(clean)[1].values()), clean
+
+
 def test_pii_rows(spark):
     texts = ["a@b.cc 1.2.3.4 +1 555 010 9999", None, "", "é" * 9 + "x@y.zz", "9" * 20000 + " q@w.ee", "jane [at] site [dot] com or j@s.co"]
     got = {r["doc_id"]: r for r in pii.pii_spans(docs_of(spark, texts)).collect()}
