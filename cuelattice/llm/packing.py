@@ -74,23 +74,22 @@ def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int
     return out + [(k, min(piece, n - k)) for k in range(at, n, piece)] if rest else out
 
 
-def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks_path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): the pieces of every document."""
+def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    """(doc_id, start, length, doc_tokens, ids): the pieces of every document."""
 
     def run(keys, texts):
         bpe = loaded(path, ranks_path)
-        out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "ids")}
         for key, text in zip(keys, texts, strict=True):
-            ids = np.array([*bpe.encode(text), END_ID], "<u4")
+            ids = np.array([*bpe.encode(text), END_ID], np.int32)
             for start, length in cuts(len(ids)):
-                part = ids[start : start + length]
-                values = (key, start, length, zlib.crc32(part.tobytes()), len(ids), part.astype(np.int32) if keep_ids else None)
+                values = (key, start, length, len(ids), ids[start : start + length])
                 for column, value in zip(out.values(), values, strict=True):
                     column.append(value)
         return out
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
+    schema = f"doc_id {kind}, start long, length long, doc_tokens long, ids array<int>"
     return map_columns(df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), run, schema)
 
 
@@ -149,7 +148,7 @@ def windows_of(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def pack_pieces(parts: DataFrame) -> DataFrame:
-    """``parts`` (as of ``pieces``) with sequence_id and offset; the rows are written out once before they are dealt."""
+    """``parts`` (as of ``pieces``) with sequence_id, offset and ids_crc32 of the ids as packed; the rows are written out once before they are dealt."""
     ship_code(parts.sparkSession)
     held = saved(parts).withColumn("row", F.monotonically_increasing_id())
     blocks = max(1, -(-held.count() // BLOCK))
@@ -165,14 +164,16 @@ def pack_pieces(parts: DataFrame) -> DataFrame:
         for n, members in enumerate(groups):
             sequence[members] = int(key[0]) << 20 | n
             offset[members] = np.cumsum(lengths[members]) - lengths[members]
-        return pdf.drop(columns=["row", "block"]).assign(sequence_id=sequence, offset=offset)
+        digests = [zlib.crc32(np.asarray(ids, "<u4").tobytes()) for ids in pdf["ids"]]
+        return pdf.drop(columns=["row", "block"]).assign(sequence_id=sequence, offset=offset, ids_crc32=digests)
 
-    return dealt.groupBy("block").applyInPandas(run, f"{schema}, sequence_id long, `offset` long")
+    return dealt.groupBy("block").applyInPandas(run, f"{schema}, sequence_id long, `offset` long, ids_crc32 long")
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **tokenizer) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece."""
-    return pack_pieces(pieces(df, id_col, text_col, **tokenizer))
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, **tokenizer) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece; the ids are packed either way."""
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    return pack_pieces(pieces(df, id_col, text_col, **tokenizer)).select(*columns, *["ids"] * keep_ids)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:

@@ -308,3 +308,16 @@ def test_pipeline_stages(spark, tmp_path):
         docs = after
     whole = corpus_pipeline.run(spark, sf)
     assert whole.select("doc_id", "start", "ids_crc32").exceptAll(docs.select("doc_id", "start", "ids_crc32")).count() == 0
+
+
+def test_packed_sequences_can_be_built_from_the_rows(spark):
+    import corpus_pipeline
+    from cuelattice.llm import packing
+
+    texts = ["one two three " * 300, "é", None, "", "sun " * 5000]
+    rows = corpus_pipeline.pack(spark, docs_of(spark, texts), "").collect()
+    tokens = packing.loaded(None, None).whole
+    for k, t in enumerate(texts):
+        got = [i for r in sorted((r for r in rows if r["doc_id"] == k), key=lambda r: r["start"]) for i in r["ids"]]
+        assert got == [*tokens.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
+    assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and len(r["ids"]) == r["length"] for r in rows)
