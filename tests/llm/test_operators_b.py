@@ -321,3 +321,47 @@ def test_packed_sequences_can_be_built_from_the_rows(spark):
         got = [i for r in sorted((r for r in rows if r["doc_id"] == k), key=lambda r: r["start"]) for i in r["ids"]]
         assert got == [*tokens.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
     assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and len(r["ids"]) == r["length"] for r in rows)
+
+
+def test_unaltered_licence_files(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 A. Name\n\n" + MIT.replace("conditions.\n", "conditions:\n\n").replace("Software.\nTHE", "Software.\n\nTHE") + " IN NO EVENT SHALL"
+    gpl = """    <one line to give the program's name>
+    Copyright (C) <year>  <name of author>
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+    bsd = """Copyright (c) 2020, A Name
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+{0} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+{1} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+{2} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    apache = """Copyright 2020 A Name
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law"""
+    texts = [mit, gpl, bsd.format("1.", "2.", "3."), bsd.format("*", "*", "*"), apache, mit.replace("\n", "\r\n")]
+    got = {r["doc_id"]: r for r in licences.licence_scan(docs_of(spark, texts)).collect()}
+    assert [got[k]["licences"] for k in range(len(texts))] == ["mit", "gpl-3.0-or-later", "bsd-3-clause", "bsd-3-clause", "apache-2.0", "mit"]
+    assert got[4]["wrapped_sentences"] == "9,10,11"
