@@ -365,3 +365,19 @@ Unless required by applicable law"""
     got = {r["doc_id"]: r for r in licences.licence_scan(docs_of(spark, texts)).collect()}
     assert [got[k]["licences"] for k in range(len(texts))] == ["mit", "gpl-3.0-or-later", "bsd-3-clause", "bsd-3-clause", "apache-2.0", "mit"]
     assert got[4]["wrapped_sentences"] == "9,10,11"
+
+
+def test_secrets_inside_runs():
+    known, chance = secretscan.models(), random.Random(12)
+    hits = n = 0
+    for name in ("github", "google", "stripe", "npm", "gitlab", "slack", "base64_40"):
+        for before, after in (("NAME_KEY=", ""), ("https://host/?key=", "&x=1"), ("https://", "@github.com"), ("x/", "/y"), ("a-b:", "."), ("", "")):
+            secret = secretscan.example(secretscan.FORMATS[name], chance)
+            text = f"see {before}{secret}{after} ok"
+            at = text.index(secret)
+            found = secretscan.added_spans(text, secretscan.base_spans(text), known)
+            n += 1
+            hits += any(s <= at + 1 and e >= at + len(secret.rstrip("-_/+")) for s, e, *_ in found)
+    assert hits >= 0.85 * n, (hits, n)
+    plain = ["some/path/to/file_name-2020.html", "https://example.com/a-long-page-title/2020/10/11/index.html", "x=1234567890123456/abc", "department_of_words=long_name_here"]
+    assert not any(secretscan.added_spans(t, secretscan.base_spans(t), known) for t in plain)
