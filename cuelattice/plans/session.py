@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -40,9 +41,21 @@ def ship_code(spark: SparkSession) -> None:
     context._cuelattice_shipped = True
 
 
-def written(df):
-    """``df`` written to spark.checkpoint.dir: lineage ends there, and a lost executor costs a read."""
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate data, from spark.checkpoint.dir; only a local master may do without the setting."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cuelattice"))
+    return context.getCheckpointDir()
+
+
+def written(df):
+    """``df`` written to spark.checkpoint.dir: lineage ends there, and a lost executor costs a read.
+
+    Under SETTINGS the files go once nothing refers to them.
+    """
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
