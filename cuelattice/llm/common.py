@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelattice.plans.session import ship_code
+from cuelattice.plans.session import checkpoint_dir, ship_code, written
 
 #: Rows handed to a row function at once; bounds the Python-side memory of a batch of long texts.
 CHUNK_BYTES = 8 << 20
@@ -53,12 +54,40 @@ def map_columns(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str)
     return df.mapInArrow(run, out)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir, so that a lost executor costs a read and not a recomputation."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint(eager=True)
+saved = written
+
+
+class Scratch:
+    """Parquet tables below spark.checkpoint.dir for loops: they are removed on leaving, or sooner by ``keep_only``.
+
+    A checkpoint hands on its plan's estimated size, a product over joins that grows exponentially from round to round; a
+    written table has its true size.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+        self.folder = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.made)}"
+        df.write.parquet(path)
+        self.made.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def keep_only(self, last: int = 1) -> None:
+        """Removes all but the ``last`` tables put."""
+        for path in self.made[:-last]:
+            self._delete(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.folder)
 
 
 def text_or_empty(name: str = "text"):

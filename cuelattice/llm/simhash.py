@@ -24,12 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelattice.llm import jaccard
 from cuelattice.llm.common import map_columns, saved, ship_code, table, text_or_empty
 from cuelattice.llm.components import components
 
 SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
-BLOCKS = 6
+#: Blocks of bits: more of them, and so longer keys in more tables, once a key would have over KEY_LOAD fingerprints on average.
+BLOCKS, MOST_BLOCKS, KEY_LOAD = 6, 8, 64
 #: Distinct fingerprints of a bucket that one group may hold; larger buckets are dealt out.
 BUCKET = 4096
 #: Buckets up to this size are compared pair by pair, larger ones row by plane.
@@ -76,13 +76,17 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 # --- bit-sliced comparison ------------------------------------------------------------------------------------------
 
 
+def bits_of(fps: np.ndarray) -> np.ndarray:
+    """(n, bits) of n fingerprints, each one uint64 or a row of them."""
+    return np.unpackbits(np.ascontiguousarray(fps).reshape(len(fps), -1).view(np.uint8), axis=1, bitorder="little")
+
+
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """(64, words) uint64: bit planes of uint64 fingerprints, padded with zeros to whole words."""
-    n = -(-len(fps) // 64) * 64
-    padded = np.zeros(n, np.uint64)
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
+    """(bits, words) uint64: bit planes of fingerprints, padded with zeros to whole words."""
+    bits = bits_of(fps)
+    padded = np.zeros((bits.shape[1], -(-len(fps) // 64) * 64), np.uint8)
+    padded[:, : len(fps)] = bits.T
+    return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
 
 
 class Counters:
@@ -115,53 +119,58 @@ class Counters:
                 equal = equal & ~self.digits[k]
         return more | self.over
 
+    def values(self, rows: np.ndarray, words: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """The counts of single lanes that are not over."""
+        bit = lanes.astype(np.uint64)
+        return sum(((d[rows, words] >> bit & np.uint64(1)).astype(np.int64) << k for k, d in enumerate(self.digits)), np.zeros(len(rows), np.int64))
+
     def keep(self, rows: np.ndarray) -> None:
         self.digits, self.over = [d[rows] for d in self.digits], self.over[rows]
 
 
-def within(difference: Callable[[int, np.ndarray], np.ndarray], rows: int, words: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, lanes near) of ``rows`` blocks of ``words`` words; ``difference(b, rows)`` is plane b of the differences.
+def within(difference: Callable[[int, np.ndarray], np.ndarray], rows: int, words: int, radius: int = RADIUS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, Counters]:
+    """(row numbers, lanes near, their counters) of ``rows`` blocks of ``words`` words; ``difference(b, rows)`` is plane b of the differences.
 
-    After every eighth plane the blocks in which all lanes exceed the radius are abandoned.
+    After every eighth plane, once there are more planes than the radius, the blocks in which all lanes exceed it are abandoned.
     """
     left, counted = np.arange(rows), Counters((rows, words), radius)
     full = ~np.uint64(0)
-    for b in range(0, BITS, 2):
+    for b in range(0, bits, 2):
         counted.add(difference(b, left), difference(b + 1, left))
-        if b % 8 == 6 and b < BITS - 2:
+        if b % 8 == 6 and radius < b < bits - 2:
             alive = (counted.beyond() != full).any(axis=1)
             if not alive.all():
                 left = left[alive]
                 counted.keep(alive)
             if not len(left):
                 break
-    return left, ~counted.beyond()
+    return left, ~counted.beyond(), counted
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Whether a[i] and b[i] differ in at most ``radius`` bits, for uint64 arrays; blocks are of 64 pairs."""
+    """Whether a[i] and b[i] differ in at most ``radius`` bits; blocks are of 64 pairs."""
     if not len(a):
         return np.zeros(0, bool)
     planes = planes_of(a ^ b)
     words = planes.shape[1]
-    rows, near = within(lambda k, left: planes[k, left, None], words, 1, radius)
+    rows, near, _ = within(lambda k, left: planes[k, left, None], words, 1, radius, len(planes))
     out = np.zeros((words, 1), np.uint64)
     out[rows] = near
     return np.unpackbits(out.view(np.uint8), bitorder="little")[: len(a)].astype(bool)
 
 
-def near_block(queries: np.ndarray, targets: np.ndarray, radius: int = RADIUS, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index arrays (i, j) of near queries and targets, ``rows`` queries at a time."""
+def near_block(queries: np.ndarray, targets: np.ndarray, radius: int = RADIUS, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index arrays (i, j) of near queries and targets with their distances, ``rows`` queries at a time."""
     planes, n = planes_of(targets), len(targets)
     valid = np.packbits(np.arange(planes.shape[1] * 64) < n, bitorder="little").view(np.uint64)
     for at in range(0, len(queries), rows):
         part = queries[at : at + rows]
-        masks = np.where((part[None, :] >> np.arange(BITS, dtype=np.uint64)[:, None]) & np.uint64(1), ~np.uint64(0), np.uint64(0))
-        found, near = within(lambda b, left, masks=masks: planes[b][None, :] ^ masks[b][left][:, None], len(part), planes.shape[1], radius)
+        masks = np.where(bits_of(part).T, ~np.uint64(0), np.uint64(0))
+        found, near, counted = within(lambda b, left, masks=masks: planes[b][None, :] ^ masks[b][left][:, None], len(part), planes.shape[1], radius, len(planes))
         if len(found):
             near &= valid
             i, j = np.nonzero(np.unpackbits(near.view(np.uint8), axis=1, bitorder="little"))
-            yield found[i] + at, j
+            yield found[i] + at, j, counted.values(i, j // 64, j % 64)
 
 
 def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -190,6 +199,14 @@ def block_bounds(blocks: int = BLOCKS) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def blocks_for(n: int) -> int:
+    """The least number of blocks whose keys divide ``n`` fingerprints well; any number finds the same links."""
+    for blocks in range(BLOCKS, MOST_BLOCKS):
+        if n <= KEY_LOAD << (BITS * (blocks - RADIUS) // blocks):
+            return blocks
+    return MOST_BLOCKS
+
+
 def bucket_keys(fp: str = "fp", blocks: int = BLOCKS, radius: int = RADIUS):
     """An array column with a key for each choice of blocks that must agree somewhere within the radius."""
     bounds, keys = block_bounds(blocks), []
@@ -220,7 +237,7 @@ def _forest(key: np.ndarray, side: np.ndarray, fps: np.ndarray) -> tuple[np.ndar
     for at, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
         own, second = bits[at : at + size], side[at : at + size] > 0
         queries, targets = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(size),) * 2
-        for i, j in near_block(own[queries], own[targets]):
+        for i, j, _ in near_block(own[queries], own[targets]):
             join_labels(labels, at + queries[i], at + targets[j])
     linked = np.flatnonzero(labels != np.arange(n))
     return fps[linked], fps[labels[linked]]
@@ -229,7 +246,7 @@ def _forest(key: np.ndarray, side: np.ndarray, fps: np.ndarray) -> tuple[np.ndar
 def links(nodes: DataFrame) -> DataFrame:
     """(u, v) links of distinct fingerprints ``nodes`` (fp): a spanning forest for each bucket, so all groups are whole."""
     ship_code(nodes.sparkSession)
-    keyed = nodes.select("fp", F.explode(bucket_keys()).alias("key"))
+    keyed = nodes.select("fp", F.explode(bucket_keys(blocks=blocks_for(nodes.count()))).alias("key"))
     large = saved(keyed.groupBy("key").agg(F.count("fp").alias("n")).filter(F.col("n") > BUCKET))
     n_large = large.count()
     if n_large:
@@ -281,23 +298,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their group, with all columns; each such id once.
-
-    Groups are those of ``jaccard``: five-word shingles, exact similarity of 0.8; the query's four bits are not used here.
-    Rows without an id cannot stand for a group: they stay only if their whole group has no id.
-    """
-    prints = saved(jaccard.prints(df, id_col, text_col))
-    judged = saved(prints.select("id", "fp", "hash").join(jaccard.near_groups(df, prints, id_col, text_col), "fp"))
-    kept = judged.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
-    out = df.join(kept, id_col, "left_semi").select(df.columns)
-    if prints.filter("id is not null").groupBy("id").count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
-    if prints.filter("id is null").limit(1).count():
-        alone = judged.filter("id is null and component_id is null").select(F.col("hash").alias("__alone")).distinct()
-        out = out.unionByName(df.filter(F.col(id_col).isNull()).join(alone, F.xxhash64(text_or_empty(text_col)) == F.col("__alone"), "left_semi").select(df.columns))
-    return out
-
-
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

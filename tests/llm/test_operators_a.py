@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuelattice.llm import bpe, components, media, packing, simhash, spotsigs
+from cuelattice.llm import bpe, components, media, neardocs, packing, simhash, spotsigs
 
 DOCS = "doc_id long, text string, media string, key string, range int, id string, words int"
 TEXTS = [
@@ -287,15 +287,22 @@ def test_comparison_against_popcounts():
     for k in range(len(b)):
         for bit in rng.choice(64, rng.integers(0, 9), replace=False):
             b[k] ^= np.uint64(1) << np.uint64(bit)
+    wide_a, wide_b = a[:600].reshape(150, 4), b[:600].reshape(150, 4)
+    assert (simhash.near_pairs(wide_a, wide_b, 16) == (np.bitwise_count(wide_a ^ wide_b).sum(axis=1) <= 16)).all()
+    near = [z for x in simhash.near_block(wide_a, wide_b, 16, rows=40) for z in zip(*(c.tolist() for c in x), strict=True)]
+    assert all(np.bitwise_count(wide_a[i] ^ wide_b[j]).sum() == d for i, j, d in near)
+    got = {(i, j) for i, j, _ in near}
+    assert got == set(zip(*(z.tolist() for z in np.nonzero(np.bitwise_count(wide_a[:, None] ^ wide_b[None]).sum(axis=2) <= 16)), strict=True))
     for radius in (0, 1, 3, 4, 7):
         assert (simhash.near_pairs(a, b, radius) == (np.bitwise_count(a ^ b) <= radius)).all()
-    got = {(i, j) for x, y in simhash.near_block(a[:150], b[:333], rows=40) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    got = {(i, j) for x, y, _ in simhash.near_block(a[:150], b[:333], rows=40) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
     assert got == set(zip(*(z.tolist() for z in np.nonzero(np.bitwise_count(a[:150, None] ^ b[None, :333]) <= 4)), strict=True))
 
 
-@pytest.mark.parametrize("bucket", [4096, 40])
-def test_groups_against_brute_force(spark, monkeypatch, bucket):
+@pytest.mark.parametrize(("bucket", "load"), [(4096, 64), (40, 0), (40, 64)])
+def test_groups_against_brute_force(spark, monkeypatch, bucket, load):
     monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "KEY_LOAD", load)
     rng = np.random.default_rng(2)
     prints = {}
     for c in range(25):
@@ -320,21 +327,42 @@ def test_simhash_query_rows(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def shingle_set(t):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), t).encode().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard_roots(texts):
+    """The smallest index of each text's group, by comparing all sets."""
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
 def test_one_document_of_a_group_stays(docs, empty, spark):
-    kept = simhash.drop_near_duplicates(docs)
+    kept = neardocs.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    want = set(groups({k: plain_fingerprint(t or "") for k, t in enumerate(TEXTS)}).values())
+    texts = [t or "" for t in TEXTS] + ["no id"]
+    want = {r for r in jaccard_roots(texts) if r < len(TEXTS)}
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
-    assert simhash.drop_near_duplicates(empty).count() == 0
-
-
-@pytest.mark.parametrize(("bucket", "small"), [(2048, 8), (5, 2)])
-def test_dropped_copies_against_brute_force_jaccard(spark, monkeypatch, bucket, small):
-    from cuelattice.llm import jaccard
-
-    monkeypatch.setattr(jaccard, "BUCKET", bucket)
-    monkeypatch.setattr(jaccard, "SMALL", small)
+    assert neardocs.drop_near_duplicates(empty).count() == 0
+    # two texts of one id: the near copy goes, the other stays
+    a = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, a), (2, a + " more"), (2, "quite another text of its own"), (2, "quite another text of its own")]
+    left = neardocs.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [rows[0], rows[2]]
+
+
+@pytest.mark.parametrize(("block", "small", "few"), [(2048, 8, 10**6), (5, 2, 0)])
+def test_dropped_copies_against_brute_force_jaccard(spark, monkeypatch, block, small, few):
+    monkeypatch.setattr(neardocs, "BLOCK", block)
+    monkeypatch.setattr(neardocs, "SMALL", small)
+    monkeypatch.setattr(neardocs, "FEW", few)
     chance = random.Random(8)
     make = lambda n: [f"w{chance.randrange(4000)}" for _ in range(n)]
     line, texts = make(12), []
@@ -346,21 +374,22 @@ def test_dropped_copies_against_brute_force_jaccard(spark, monkeypatch, bucket,
                 copy[chance.randrange(len(copy))] = "odd"
             texts.append(" ".join(copy))
     texts += ["", "a b", "A  b", "a b c d e", "a b c d e f"]
-
-    def plain(t):
-        w = t.lower().split()
-        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-
-    sets, root = [plain(t) for t in texts], list(range(len(texts)))
-    far = 0
-    for b in range(len(texts)):
-        for a in range(b):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                far += (plain_fingerprint(texts[a]) ^ plain_fingerprint(texts[b])).bit_count() > 4
-                x, y = sorted((root[a], root[b]))
-                root = [x if r == y else r for r in root]
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    assert far and sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == sorted(set(root))
+    assert sorted(r["doc_id"] for r in neardocs.drop_near_duplicates(df).collect()) == sorted(set(jaccard_roots(texts)))
+
+
+def test_wide_radius_loses_no_near_pair():
+    rng = np.random.default_rng(3)
+    most = 0
+    for n in [*range(5, 40), 60, 200, 1000] * 40:
+        shared = rng.integers(-(2**62), 2**62, n)
+        own = max(0, n // 4)  # a split of what differs that leaves Jaccard similarity at 0.8 or just above
+        cut = int(rng.integers(0, own + 1))
+        extra = rng.integers(-(2**62), 2**62, own)
+        a, b = (np.unique(np.concatenate([shared, x])) for x in (extra[:cut], extra[cut:]))
+        if neardocs.near(a, b):
+            most = max(most, int(np.bitwise_count(neardocs.wide_print(a) ^ neardocs.wide_print(b)).sum()))
+    assert 40 < most <= neardocs.RADIUS - 10
 
 
 def test_components(spark):
