@@ -1,14 +1,16 @@
 """WARC records and a Merkle fixity audit of their replicas.
 
 Each page is a resource record; records follow each other by id in files of ``FILE_IDS`` ids, so a record has an offset range.
-A leaf hashes an id's record hash and offset range; a node of level k hashes those of its up to ``FANOUT`` children, that
-is, of the ids that agree after division by FANOUT**k. Replicas are compared from the root: only the children of nodes that
-differ are looked at, down to the records that are changed, missing or extra.
-
-DataFrame functions only. Texts never shuffle: hashes, lengths and ids do. Hot ids are pre-aggregated, so no node gathers
-more than FANOUT children. Defined results: null url or html counts as empty; rows without an id are in no file and in no
-tree, and are left out of the audit; rows of one id are ordered by their record hash and make one leaf from their count
-and their summed hashes; an empty table gives an empty audit.
+There are two trees over the ids: a leaf of the record tree hashes an id's record hash, a leaf of the range tree its offset
+and length. A node of level k hashes those of its up to ``FANOUT`` children, that is, of the ids that agree after division by
+FANOUT**k. Replicas are compared from the roots: only the children of nodes that differ are looked at, down to the ids whose
+records are changed, missing or extra (record tree) or only moved (range tree), as damage that changes a length moves all
+that follows in its file.
+
+DataFrame functions only. Texts never shuffle: hashes, lengths and ids do. Equal records are counted before they are ordered,
+and the records of a hot id are ordered within cells of their hashes, so no node or window gathers an id. Defined results: null
+url or html counts as empty; rows without an id are in no file and in no tree, and are left out of the audit; rows of one id are
+ordered by their record hash and make one leaf from their count and their summed hashes; an empty table gives an empty audit.
 """
 
 from __future__ import annotations
@@ -19,26 +21,46 @@ from pyspark.sql import functions as F
 from cuelattice.llm.common import saved, table
 
 FANOUT, FILE_IDS = 16, 256
+#: Pages have no date of their own; records need one.
+DATE = "1970-01-01T00:00:00Z"
+#: Characters of the hash that name a cell of an id's records.
+CELL = 3
 
 
-def record(id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> Column:
+def record(id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date: str = DATE) -> Column:
     """The bytes of a resource record as a string."""
     body = F.coalesce(F.col(body_col), F.lit(""))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce(F.col(url_col), F.lit("")), F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col(id_col).cast("string"))
+    first = F.lit(f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Date: {date}\r\nWARC-Target-URI: ")
+    head = F.concat(first, F.coalesce(F.col(url_col), F.lit("")), F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col(id_col).cast("string"))
     return F.concat(head, F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
-def offset_ranges(records: DataFrame) -> DataFrame:
-    """(id, sha, length) rows with their file and their offset in it; the order in a file is by id, then hash."""
-    order = Window.partitionBy("file").orderBy("id", "sha").rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("file", F.floor(F.col("id") / FILE_IDS)).withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
+def _before(value: str, by: list[str], order: list[str]) -> Column:
+    """The sum of ``value`` over the rows before this one."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def leaves(ranges: DataFrame, *also: str) -> DataFrame:
-    """(id, hash) for each id: of its single record's hash and range, or of count and sums of several records' hashes."""
-    part = F.sha2(F.concat_ws(":", "sha", "offset", "length"), 256)
-    number = F.conv(F.substring(part, 1, 15), 16, 10).cast("decimal(38,0)")
-    made = ranges.groupBy("id", *also).agg(F.count("sha").alias("n"), F.min(part).alias("low"), F.max(part).alias("high"), F.sum(number).alias("total"))
+def offset_ranges(records: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]:
+    """(ids, equal) of (id, sha, length) rows: each id's file, offset and bytes, and its distinct records with offset and count n.
+
+    Records lie in their file by id, then hash: three running sums, over the ids of a file, the cells of an id and the distinct
+    records of a cell.
+    """
+    keys = [*also, "id"]
+    equal = records.groupBy(*keys, "sha", "length").agg(F.count("sha").alias("n"))
+    equal = saved(equal.withColumn("cell", F.substring("sha", 1, CELL)).withColumn("bytes", F.col("n") * F.col("length")))
+    cells = equal.groupBy(*keys, "cell").agg(F.sum("bytes").alias("bytes"))
+    ids = cells.groupBy(*keys).agg(F.sum("bytes").alias("bytes")).withColumn("file", F.floor(F.col("id") / FILE_IDS))
+    ids = saved(ids.withColumn("offset", _before("bytes", [*also, "file"], ["id"])))
+    placed = cells.withColumn("in_id", _before("bytes", keys, ["cell"])).drop("bytes").join(ids.withColumnRenamed("offset", "of_id").drop("bytes"), keys)
+    inner = equal.withColumn("in_cell", _before("bytes", [*keys, "cell"], ["sha", "length"]))
+    return ids, inner.join(placed, [*keys, "cell"]).select(*keys, "sha", "length", "n", "file", (F.col("of_id") + F.col("in_id") + F.col("in_cell")).alias("offset"))
+
+
+def leaves(equal: DataFrame, *also: str) -> DataFrame:
+    """(id, hash) for each id of (id, sha, n): its single record's hash, or a hash of count and sums of several records'."""
+    number = F.conv(F.substring("sha", 1, 15), 16, 10).cast("decimal(38,0)")
+    made = equal.groupBy("id", *also).agg(F.sum("n").alias("n"), F.min("sha").alias("low"), F.max("sha").alias("high"), F.sum(number * F.col("n")).alias("total"))
     hashed = F.when(F.col("n") == 1, F.col("low")).otherwise(F.sha2(F.concat_ws(":", "n", "low", "high", F.col("total").cast("string")), 256))
     return made.select("id", *also, hashed.alias("hash"))
 
@@ -70,12 +92,20 @@ def mismatches(levels: list[DataFrame], replica: str, one, other, fanout: int =
 
 
 def audit(replicas: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ranges, bad) of rows (replica 0 or 1, id, sha, length): replica 0's offset ranges, and the leaves that differ."""
-    held = replicas.filter("id is not null")
-    order = Window.partitionBy("replica", "file").orderBy("id", "sha").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = held.withColumn("file", F.floor(F.col("id") / FILE_IDS)).withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
-    ranges = saved(ranges)
-    return ranges, mismatches(tree(leaves(ranges, "replica"), "replica"), "replica", 0, 1)
+    """(ranges, bad) of rows (replica 0 or 1, id, sha, length).
+
+    ranges has replica 0's records (id, sha, length, file, offset, n for so many equal ones in a row); bad has (id, status) of
+    the ids that the descents find: changed, missing (from replica 1), extra (in it) or moved.
+    """
+    ids, equal = offset_ranges(replicas.filter("id is not null"), "replica")
+    equal = saved(equal)
+    place = F.sha2(F.concat_ws(":", "offset", "bytes"), 256)
+    moved = mismatches(tree(ids.select("id", "replica", place.alias("hash")), "replica"), "replica", 0, 1)
+    other = mismatches(tree(leaves(equal, "replica"), "replica"), "replica", 0, 1)
+    status = F.when(F.col("other_hash").isNull(), "missing").when(F.col("one_hash").isNull(), "extra").otherwise("changed")
+    bad = other.select("id", status.alias("status"))
+    only = moved.join(bad.select("id"), "id", "left_anti").select("id", F.lit("moved").alias("status"))
+    return equal.filter("replica = 0").drop("replica"), bad.unionByName(only)
 
 
 #: The replica of the registered query is damaged where the CRC of the id is DAMAGED in DAMAGE: one character of its body.
@@ -98,30 +128,33 @@ def replica_rows(pages: DataFrame) -> DataFrame:
 
 
 def op9_fixity(spark, sf_dir: str) -> DataFrame:
-    """Every record with its file, offset range, hash and whether the audit of the replica located damage there."""
+    """Every record with its file, offset range, hash and what the audit of the replica found about it."""
     ranges, bad = audit(replica_rows(table(spark, sf_dir, "pages")))
-    own = ranges.filter("replica = 0").join(bad.select("id", F.lit(True).alias("hit")), "id", "left")
-    status = F.when(F.col("hit"), "changed").otherwise("ok").alias("status")
-    return own.select(F.col("id").alias("page_id"), F.col("file").cast("long").alias("warc_file"), F.col("offset").cast("long").alias("record_offset"), F.col("length").alias("record_length"), F.col("sha").alias("record_sha256"), status)
+    own = ranges.join(bad, "id", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    offset = (F.col("offset") + F.col("copy") * F.col("length")).cast("long")
+    return own.select(F.col("id").alias("page_id"), F.col("file").cast("long").alias("warc_file"), offset.alias("record_offset"), F.col("length").alias("record_length"), F.col("sha").alias("record_sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
 
 
 def _duck_record(body: str) -> str:
     crlf = "chr(13) || chr(10)"
     return (
-        f"'WARC/1.1' || {crlf} || 'WARC-Type: resource' || {crlf} || 'WARC-Target-URI: ' || coalesce(url, '') || {crlf} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {crlf}"
+        f"'WARC/1.1' || {crlf} || 'WARC-Type: resource' || {crlf} || 'WARC-Date: {DATE}' || {crlf} || 'WARC-Target-URI: ' || coalesce(url, '') || {crlf} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {crlf}"
         f" || 'Content-Type: text/html' || {crlf} || 'Content-Length: ' || strlen({body}) || {crlf} || {crlf} || {body} || {crlf} || {crlf}"
     )
 
 
-#: An audit without trees: records of both replicas compared one by one. DuckDB has no CRC-32; damage shows where the record hash of the rule's ids differs.
+#: An audit without trees: records of both replicas compared id by id. DuckDB has no CRC-32; it is folded from the id's digits.
 def oracle() -> str:
     body = "coalesce(html, '')"
     crc = _duck_crc("CAST(page_id AS VARCHAR)")
     other = f"CASE WHEN {crc} % {DAMAGE} = {DAMAGED} THEN '#' || substr({body}, 2) ELSE {body} END"
+    place = "coalesce(sum({0}) OVER (PARTITION BY page_id // {1} ORDER BY page_id, {2} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
     return f"""WITH r AS (SELECT page_id, {_duck_record(body)} AS a, {_duck_record(f"({other})")} AS b FROM pages WHERE page_id IS NOT NULL),
-h AS (SELECT page_id, page_id // {FILE_IDS} AS warc_file, CAST(strlen(a) AS BIGINT) AS record_length, sha256(a) AS record_sha256, a <> b AS hit FROM r)
-SELECT page_id, warc_file, CAST(coalesce(sum(record_length) OVER (PARTITION BY warc_file ORDER BY page_id, record_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset,
-       record_length, record_sha256, CASE WHEN hit THEN 'changed' ELSE 'ok' END AS status FROM h"""
+h AS (SELECT page_id, strlen(a) AS n, strlen(b) AS m, sha256(a) AS s, sha256(b) AS t FROM r),
+o AS (SELECT page_id, n, s, t, {place.format("n", FILE_IDS, "s")} AS x, {place.format("m", FILE_IDS, "t")} AS y FROM h),
+f AS (SELECT page_id, list(s ORDER BY s) <> list(t ORDER BY t) AS hit, min(x) <> min(y) AS shifted FROM o GROUP BY page_id)
+SELECT o.page_id, o.page_id // {FILE_IDS} AS warc_file, CAST(x AS BIGINT) AS record_offset, CAST(n AS BIGINT) AS record_length, s AS record_sha256,
+       CASE WHEN hit THEN 'changed' WHEN shifted THEN 'moved' ELSE 'ok' END AS status FROM o JOIN f ON o.page_id = f.page_id"""
 
 
 def _duck_crc(text: str) -> str:

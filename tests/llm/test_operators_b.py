@@ -204,22 +204,38 @@ def test_audit_finds_what_was_damaged(spark):
     other = [(i, "broken" if i in bad else s, n) for i, s, n in rows if i != 400] + [(999, "extra", 5)]
     both = spark.createDataFrame([(0, *r) for r in rows] + [(1, *r) for r in other] + [(0, None, "x", 1)], "replica int, id long, sha string, length long")
     ranges, found = warc.audit(both)
-    got = {r["id"]: (r["one_hash"] is not None, r["other_hash"] is not None) for r in found.collect()}
-    moved = {i for i, *_ in rows if 400 < i < 512}  # a lost record moves what follows it in its file
-    assert set(got) == bad | {400, 999} | moved and got[400] == (True, False) and got[999] == (False, True)
+    got = {r["id"]: r["status"] for r in found.collect()}
+    moved = {i for i, *_ in rows if 400 < i < 512} - bad  # a lost record moves what follows it in its file
+    assert got == {i: "changed" for i in bad} | {400: "missing", 999: "extra"} | {i: "moved" for i in moved}
     files = {}
-    for r in sorted(ranges.filter("replica = 0").collect(), key=lambda r: r["id"]):
+    for r in sorted(ranges.collect(), key=lambda r: r["id"]):
         assert r["offset"] == files.get(r["file"], 0)
         files[r["file"]] = r["offset"] + r["length"]
 
 
+def test_damage_of_other_length_is_told_from_displacement(spark, same, tmp_path):
+    """Empty and multi-byte pages that are damaged, null html and url, null and repeated ids, and an empty table."""
+    import duckdb
+
+    hit = [i for i in range(2000) if zlib.crc32(str(i).encode()) % warc.DAMAGE == warc.DAMAGED]
+    pages = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(256) if i not in hit[:2]]
+    pages += [(hit[0], None, None), (hit[1], "u", "\u00e9t\u00e9"), (None, "u", "x"), (300, "u", None), (300, "u", None), (300, "v", "zz")]
+    for k, rows in enumerate((pages, [])):
+        spark.createDataFrame(rows, "page_id long, url string, html string, id long, sha string").write.parquet(f"{tmp_path}/{k}/pages.parquet") if not rows else spark.createDataFrame([(*r, 1, "s") for r in rows], "page_id long, url string, html string, id long, sha string").write.parquet(f"{tmp_path}/{k}/pages.parquet")
+        duck = duckdb.connect()
+        duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/{k}/pages.parquet/*.parquet'")
+        got = warc.op9_fixity(spark, f"{tmp_path}/{k}")
+        same(got, duck, warc.oracle())
+        assert not rows or {r["page_id"] for r in got.filter("status = 'changed'").collect()} == {h for h in hit if h < 256} and got.filter("status = 'moved'").count()
+
+
 def test_audit_edges(spark):
     kind = "replica int, id long, sha string, length long"
     _, none = warc.audit(spark.createDataFrame([], kind))
     assert none.count() == 0
     same = [(r, 5, s, 9) for r in (0, 1) for s in ("a", "a", "b")]
     assert warc.audit(spark.createDataFrame(same, kind))[1].count() == 0
-    assert [r["id"] for r in warc.audit(spark.createDataFrame([*same, (1, 5, "c", 9)], kind))[1].collect()] == [5]
+    assert [tuple(r) for r in warc.audit(spark.createDataFrame([*same, (1, 5, "c", 9)], kind))[1].collect()] == [(5, "changed")]
 
 
 def test_record_bytes(spark):
