@@ -24,7 +24,7 @@ from cuelattice.llm.common import map_columns, ship_code, table, text_or_empty
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base kinds.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")  # a match begins where digits do, so a long run is read once
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -40,8 +40,19 @@ LOOKALIKES = dict(
 SIGNS = {"＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "‐": "-", "‑": "-", "–": "-", "－": "-", "＋": "+", "﹢": "+", "_": "_", "＿": "_"}
 #: Characters without width that split a datum without being seen.
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
-#: Fixed list: digits as words.
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Fixed lists: digits as words of English, French, German and Spanish.
+DIGIT_WORDS = {
+    w: str(k % 10)
+    for words in (
+        "zero one two three four five six seven eight nine",
+        "zéro un deux trois quatre cinq six sept huit neuf",
+        "null eins zwei drei vier fünf sechs sieben acht neun",
+        "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    )
+    for k, w in enumerate(words.split())
+} | {"oh": "0"}
+#: Fixed lists: words for '@' and '.' in the four languages; bare "point" and "punto" count only beside a word that is no other.
+AT_WORDS, DOT_WORDS = "at|arobase|arroba|klammeraffe", "dot|point|punkt|punto"
 #: Fixed lists: numbers of two digits as words; a ten may be followed by a digit ("twenty one", "sixty-eight").
 TEENS = {w: str(10 + k) for k, w in enumerate("ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 TENS = {w: str(2 + k) for k, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
@@ -81,25 +92,35 @@ def strange(text: str) -> bool:
     return not text.isascii() and any(GLYPHS[ord(c)] != c for c in set(text) if c > "\x7f")
 
 
-_WORD = "|".join([*DIGIT_WORDS, *TEENS]) + "|(?:%s)(?:[\\x20-](?:%s))?" % ("|".join(TENS), "|".join(w for w in DIGIT_WORDS if w not in ("zero", "oh")))
+_WORD = "|".join([*DIGIT_WORDS, *TEENS]) + "|(?:%s)(?:[\\x20-](?:%s))?" % ("|".join(TENS), "|".join("one two three four five six seven eight nine".split()))
 #: A number in words, in digits, or a spelled dot; and what may stand between two of them.
-TOKEN = re.compile(r"(?ai:(?<![a-z0-9])(?:(%s)|(dot|point))(?![a-z0-9])|([0-9]+)(?![a-z]))" % _WORD)
+TOKEN = re.compile(r"(?ai:(?<![a-z0-9])(?:(%s)|(dot|point|punkt|punto))(?![a-z0-9])|([0-9]+)(?![a-z]))" % _WORD)
 GAP = re.compile(r"[\x20,.()+-]{1,4}")
 #: at and dot in brackets, or bare between address parts where a dot follows the at and no article stands for the host.
-BRACKETED = re.compile(r"\x20?[\[({<]\x20?(?i:(at)|(dot))\x20?[\])}>]\x20?")
-SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{2,}+|[A-Za-z0-9_](?=\x20[dD][oO][tT]\x20))((?:\x20[dD][oO][tT]\x20[A-Za-z0-9._%+-]++)*+)(\x20[aA][tT]\x20|@)(?!(?i:the|a|an|this|that|these|those|my|our|your|his|her|its|their|all|any|each|every|some|no)\x20)([A-Za-z0-9-]+)((?:\x20[dD][oO][tT]\x20[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
+BRACKETED = re.compile(r"\x20?[\[({<]\x20?(?i:(%s)|(%s))\x20?[\])}>]\x20?" % (AT_WORDS, DOT_WORDS))
+
+
+def _spoken(at: str, dot: str) -> re.Pattern:
+    dot, word = rf"\x20(?i:{dot})\x20", "[A-Za-z0-9._%+-]"
+    local = rf"(?<!{word})({word}{{2,}}+|[A-Za-z0-9_](?={dot}))((?:{dot}{word}++)*+)"
+    article = r"(?!(?i:the|a|an|this|that|these|those|my|our|your|his|her|its|their|all|any|each|every|some|no)\x20)"
+    return re.compile(rf"{local}({at}){article}([A-Za-z0-9-]+)((?:{dot}[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
+
+
+SPOKEN = (_spoken(r"\x20[aA][tT]\x20|@", "dot|punkt"), _spoken(r"\x20(?i:arobase|arroba|klammeraffe)\x20", DOT_WORDS))
 #: Fixed list: words before "at example.com" that tell where something is and are no local part.
 PLACED = frozenset("""is are was were be been am us me him her them it you we they look looks looked looking see seen find found visit visited
 available online site website page pages home hosted live located sold published read more here there posted posts listed shop apply
 register sign join contact email mail write only also now today works worked working work bought buy order free out up back and or""".split())
-DOT = re.compile(r"\x20[dD][oO][tT]\x20")
-HINT = re.compile(r"[\[({<]\x20?(?:at|dot)\x20?[\])}>]")
+DOT = re.compile(r"\x20(?i:%s)\x20" % DOT_WORDS)
+HINT = re.compile(r"[\[({<]\x20?(?:%s|%s)\x20?[\])}>]" % (AT_WORDS, DOT_WORDS))
+_SPELLING = tuple(f" {w} " for w in DOT_WORDS.split("|"))
 
 
 def hinted(text: str) -> bool:
     """A cheap necessary condition for the second and third transducer to change anything."""
     low = text.lower()
-    return " dot " in low or " point " in low or (" at " in low and "." in low) or HINT.search(low) is not None or any(w in low for w in (*DIGIT_WORDS, *TEENS, *TENS))
+    return any(w in low for w in _SPELLING) or any(w in low for w in AT_WORDS.split("|")[1:]) or (" at " in low and "." in low) or HINT.search(low) is not None or any(w in low for w in (*DIGIT_WORDS, *TEENS, *TENS))
 
 
 class Rewritten:
@@ -174,8 +195,12 @@ class Rewritten:
 
     def at_dot(self) -> None:
         self.replace([(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(self.text)])
+        for pattern in SPOKEN:
+            self._addresses(pattern)
+
+    def _addresses(self, pattern: re.Pattern) -> None:
         found = []
-        for m in SPOKEN.finditer(self.text):
+        for m in pattern.finditer(self.text):
             plain = not DOT.search(m[0])
             if plain and (m[3] == "@" or m[1].lower() in PLACED or not re.fullmatch(r"(?:\.[a-z0-9-]+)*\.[a-z]{2,}", m[5])):
                 continue
@@ -242,12 +267,15 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str,
         return {}
     added: dict[str, list[tuple[int, int]]] = {}
     for kind, spans in base_spans(new.text).items():
-        taken = list(base[kind])
+        known, k, reach = base[kind], 0, -1  # both in order of their starts: reach is the furthest end of what began by now
         for a, b in spans:
             span = (new.starts[a], new.ends[b - 1])
-            if text[span[0] : span[1]] != new.text[a:b] and not any(s <= span[0] and span[1] <= e for s, e in taken):
+            while k < len(known) and known[k][0] <= span[0]:
+                reach = max(reach, known[k][1])
+                k += 1
+            if text[span[0] : span[1]] != new.text[a:b] and span[1] > reach:
                 added.setdefault(kind, []).append(span)
-                taken.append(span)
+                reach = span[1]
     return added
 
 

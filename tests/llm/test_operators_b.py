@@ -128,16 +128,36 @@ def test_spelled_and_mixed_identifiers():
         ("email", "john dot smith at example dot com"),
         ("email", "j dot smith at mail.example dot com"),
         ("email", "john dot smith@example.com"),
+        ("email", "jean arobase exemple point fr"),
+        ("email", "jean (arobase) exemple (point) fr"),
+        ("email", "hans [at] beispiel [punkt] de"),
+        ("email", "hans klammeraffe beispiel punkt de"),
+        ("email", "ana arroba ejemplo punto es"),
+        ("ip", "un neuf deux point un six huit point zéro point un"),
+        ("phone", "+eins fünf fünf fünf null eins null neun neun"),
+        ("phone", "+1 cinco cinco cinco cero uno cero 9999"),
+        ("phone", "+1 five five five 010 nine nine nine nine"),
     )
     for kind, part in cases:
         text = f"so: {part} , end"
         spans = pii.find(text)[1]
         assert part in [text[a:b] for a, b in spans[kind]], (text, spans)
         assert pii.mask(text) == f"so: <{kind}> , end", pii.mask(text)
-    for clean in ("find us at example.com today", "we met at noon.Then one two three", "version one point two", "one. two. three 4 dot 5", "5 dot 6 dot 7"):
+    for clean in ("find us at example.com today", "we met at noon.Then one two three", "version one point two", "one. two. three 4 dot 5", "5 dot 6 dot 7", "il stood at high point of view", "le point de vue est un six", "punkt acht uhr", "mail bob now at work point taken"):
         assert not any(pii.find(clean)[1].values()), clean
 
 
+def test_very_long_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("9" * 2_000_000, "9" * 1_000_000 + "." + "8" * 1_000_000, "1." * 500_000, "a@" * 500_000, "+1 " * 300_000, "a" * 1_000_000 + "@" + "b" * 1_000_000):
+        pii.find(text)
+    many = "x [at] site [dot] com, y@z.org; " * 16_000
+    assert len(pii.find(many)[1]["email"]) == 32_000
+    assert time.time() - began < 20
+
+
 def test_pii_rows(spark):
     texts = ["a@b.cc 1.2.3.4 +1 555 010 9999", None, "", "é" * 9 + "x@y.zz", "9" * 20000 + " q@w.ee", "jane [at] site [dot] com or j@s.co"]
     got = {r["doc_id"]: r for r in pii.pii_spans(docs_of(spark, texts)).collect()}
@@ -273,7 +293,7 @@ def test_discriminant_is_the_log_density_difference():
 
     for v, p in zip(z, model.scores(z), strict=True):
         k = np.expm1(v[0])
-        want = (log_density(v, 1) - log_density(v, 0)) / quality.TEMPERATURE * k / (k + quality.FEW_WORDS) + np.log(90 / 60)
+        want = (log_density(v, 1) - log_density(v, 0)) / model.temperature * k / (k + model.few_words) + np.log(90 / 60)
         assert np.isclose(p, 1 / (1 + np.exp(-np.clip(want, -500, 500))))
 
 
@@ -282,6 +302,8 @@ def test_quality_edges(spark):
     none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r["score"] for r in quality.quality_scores(docs, none).collect()} == {0.5}
     labels = spark.createDataFrame([(k % 5, q) for k in range(40) for q in (0, 1, None, 7)], "doc_id long, quality int")
+    rows = quality.quality_scores(docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))), quality.fit(docs, labels)).collect()
+    assert [r["held_out"] for r in rows[5:]] == [None] * 5 and rows[5]["score"] == rows[0]["score"]
     rows = quality.quality_scores(docs, quality.fit(docs, labels)).collect()
     assert len(rows) == 5 and rows[0]["score"] == rows[4]["score"] and all(0 <= r["score"] <= 1 for r in rows)
     assert quality.quality_scores(docs.limit(0), none).count() == 0
