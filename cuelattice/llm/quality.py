@@ -3,7 +3,9 @@
 Each text gives a vector of statistics (``FEATURES``), each put on a scale where it is roughly normal. Per class the
 mean and covariance are learnt from labelled rows by summed moments; the covariance is shrunk towards its diagonal and
 towards the covariance pooled over classes. A score is the logistic of the difference of the classes' log densities, each
-a Mahalanobis distance through a Cholesky factor that is computed once, kept with the model and sent to the executors.
+a Mahalanobis distance by forward substitution in a Cholesky factor that is computed once, kept with the model and sent to the
+executors. The shrinkages, and by how much the difference is tempered (a Gaussian's tails are too sure of themselves, the more so
+for texts of few words), are chosen by cross-validated log loss within the training rows.
 
 Learning takes at most ``MAX_LABELLED`` labelled rows, chosen by a hash of their id, so that their ids can be broadcast;
 scoring covers every row. Labels, language, source and ids are no inputs of a score.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -26,15 +29,14 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.common import map_columns, ship_code, table, text_or_empty
 
-#: Fixed parameters: labelled rows used at most, decision level, folds of the hold-out, and the two shrinkages.
+#: Fixed parameters: labelled rows used at most, decision level, folds of the hold-out.
 MAX_LABELLED = 20_000
 ACCEPT = 0.7
 FOLDS, HELD_OUT = 4, 2
-TO_DIAGONAL, TO_POOLED = 0.1, 0.1
-#: Log-density differences are divided by this before the logistic; a Gaussian's tails are too sure of themselves.
-TEMPERATURE = 4.0
-#: A text of so many words counts half the evidence of a long one; without words the score is the classes' prior.
-FEW_WORDS = 20.0
+#: What cross-validation chooses from: shrinkage to the diagonal and to the pooled covariance, divisor of the log-density
+#: difference, and the number of words at which a text has half the evidence of a long one. The first of each is for too few rows.
+TO_DIAGONAL, TO_POOLED, TEMPERATURE, FEW_WORDS = (0.1, 0.02, 0.4), (0.1, 0.02, 0.4), (4.0, 1.0, 2.0, 8.0, 16.0), (20.0, 0.0, 5.0, 60.0)
+INNER_FOLDS, LEAST_ROWS = 3, 60
 
 #: Fixed list: frequent function words of English, French, German and Spanish.
 COMMON = frozenset(
@@ -88,20 +90,33 @@ class Discriminant:
     factors: np.ndarray
     log_dets: np.ndarray
     log_odds: float
+    temperature: float = TEMPERATURE[0]
+    few_words: float = FEW_WORDS[0]
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        if not len(self.means):
-            return np.full(len(x), 0.5)
+    def difference(self, x: np.ndarray) -> np.ndarray:
+        """The log density of class 1 less that of class 0 for each row."""
         logs = []
         for c in (0, 1):
-            z = np.linalg.solve(self.factors[c], (x - self.means[c]).T)
+            y, factor = (x - self.means[c]).T, self.factors[c]
+            z = np.empty_like(y)
+            for k in range(len(y)):  # forward substitution
+                z[k] = (y[k] - factor[k, :k] @ z[:k]) / factor[k, k]
             logs.append(-0.5 * (z * z).sum(axis=0) - 0.5 * self.log_dets[c])
-        words = np.expm1(x[:, 0])
-        evidence = (logs[1] - logs[0]) / TEMPERATURE * words / (words + FEW_WORDS)
-        return 1 / (1 + np.exp(-np.clip(evidence + self.log_odds, -500, 500)))
+        return logs[1] - logs[0]
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.means):
+            return np.full(len(x), 0.5)
+        return tempered(self.difference(x), np.expm1(x[:, 0]), self.log_odds, self.temperature, self.few_words)
 
 
-def from_moments(n: np.ndarray, total: np.ndarray, squares: np.ndarray) -> Discriminant:
+def tempered(difference: np.ndarray, words: np.ndarray, log_odds: float, temperature: float, few_words: float) -> np.ndarray:
+    """The probability of class 1; without words it is the classes' prior."""
+    share = words / np.maximum(words + few_words, 1e-9)
+    return 1 / (1 + np.exp(-np.clip(difference / temperature * share + log_odds, -500, 500)))
+
+
+def from_moments(n: np.ndarray, total: np.ndarray, squares: np.ndarray, to_diagonal: float = TO_DIAGONAL[0], to_pooled: float = TO_POOLED[0]) -> Discriminant:
     """The model of counts (2), sums (2, d) and sums of outer products (2, d, d) by class."""
     if min(n) < 2:
         return Discriminant(np.zeros((0, 0)), np.zeros((0, 0, 0)), np.zeros(0), 0.0)
@@ -110,12 +125,40 @@ def from_moments(n: np.ndarray, total: np.ndarray, squares: np.ndarray) -> Discr
     pooled = (n[0] * cov[0] + n[1] * cov[1]) / n.sum()
     factors = []
     for c in (0, 1):
-        s = (1 - TO_POOLED) * cov[c] + TO_POOLED * pooled
-        s = (1 - TO_DIAGONAL) * s + TO_DIAGONAL * np.diag(np.diag(s)) + 1e-3 * np.eye(len(s))
+        s = (1 - to_pooled) * cov[c] + to_pooled * pooled
+        s = (1 - to_diagonal) * s + to_diagonal * np.diag(np.diag(s)) + 1e-3 * np.eye(len(s))
         factors.append(np.linalg.cholesky(s))
     return Discriminant(means, np.array(factors), np.array([2 * np.log(np.diag(f)).sum() for f in factors]), math.log(n[1] / n[0]))
 
 
+def moments(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [x[label == c] for c in (0, 1)]
+    return np.array([float(len(p)) for p in parts]), np.array([p.sum(axis=0) for p in parts]), np.array([p.T @ p for p in parts])
+
+
+def learnt(x: np.ndarray, label: np.ndarray, inner: np.ndarray) -> Discriminant:
+    """The model of rows ``x`` with their labels; ``inner`` is each row's part for choosing the parameters."""
+    whole = moments(x, label)
+    best = (TO_DIAGONAL[0], TO_POOLED[0], TEMPERATURE[0], FEW_WORDS[0])
+    if min(whole[0]) >= LEAST_ROWS:
+        loss: dict[tuple, float] = {}
+        for part in range(INNER_FOLDS):
+            out = inner == part
+            own, words, truth = moments(x[~out], label[~out]), np.expm1(x[out, 0]), label[out] == 1
+            for a, b in product(TO_DIAGONAL, TO_POOLED):
+                model = from_moments(*own, a, b)
+                if not len(model.means):
+                    continue
+                difference = model.difference(x[out])
+                for c, d in product(TEMPERATURE, FEW_WORDS):
+                    p = np.clip(tempered(difference, words, model.log_odds, c, d), 1e-9, 1 - 1e-9)
+                    loss[a, b, c, d] = loss.get((a, b, c, d), 0.0) - np.log(np.where(truth, p, 1 - p)).sum()
+        best = min(loss, key=loss.get) if loss else best
+    model = from_moments(*whole, *best[:2])
+    model.temperature, model.few_words = best[2:]
+    return model
+
+
 def _fold(ids) -> list[int]:
     return [zlib.crc32(str(i).encode()) % FOLDS for i in ids]
 
@@ -128,34 +171,18 @@ def training_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str =
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
-    """Learns the model; what reaches the driver is each task's count, sum and products by class."""
-    ship_code(docs.sparkSession)
+    """Learns the model; what reaches the driver is the statistics of at most MAX_LABELLED rows and their repeats, each once."""
     known = F.broadcast(training_labels(labels))  # at most MAX_LABELLED rows of two numbers
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(known, "id").select("label", "text")
-    d = len(FEATURES)
-
-    def moments(batches):
-        import pyarrow as pa
-
-        n, total, squares = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
-        for batch in batches:
-            which = np.array(batch.column(0).to_pylist())
-            x = np.array([statistics(t.as_py()) for t in batch.column(1)]).reshape(len(which), d)
-            for c in (0, 1):
-                own = x[which == c]
-                n[c] += len(own)
-                total[c] += own.sum(axis=0)
-                squares[c] += own.T @ own
-        flat = [np.concatenate([[n[c]], total[c], squares[c].ravel()]).tolist() for c in (0, 1)]
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(flat, pa.list_(pa.float64()))], names=["label", "sums"])
-
-    width = 1 + d + d * d
-    parts = rows.mapInArrow(moments, "label int, sums array<double>").select("label", F.posexplode("sums").alias("at", "x"))
-    found = parts.groupBy("label", "at").agg(F.sum("x").alias("x")).collect()  # 2 * width rows
-    sums = np.zeros((2, width))
-    for r in found:
-        sums[r["label"], r["at"]] = r["x"]
-    return from_moments(sums[:, 0], sums[:, 1 : 1 + d], sums[:, 1 + d :].reshape(2, d, d))
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(known, "id").select("id", "label", "text")
+
+    def run(ids, label, texts):
+        return {"id": [str(i) for i in ids], "label": label, "x": [statistics(t) for t in texts]}
+
+    # an id with several texts or labels stands with its first of each label, so that the bound holds
+    found = map_columns(rows, run, "id string, label int, x array<double>").groupBy("id", "label").agg(F.min("x").alias("x")).orderBy("id", "label").limit(2 * MAX_LABELLED).collect()
+    x = np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES))
+    inner = np.array([zlib.crc32(f"inner {r['id']}".encode()) % INNER_FOLDS for r in found], int)
+    return learnt(x, np.array([r["label"] for r in found], int), inner)
 
 
 def quality_scores(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
