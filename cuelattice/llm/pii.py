@@ -51,7 +51,9 @@ DIGIT_WORDS = {
     )
     for k, w in enumerate(words.split())
 } | {"oh": "0"}
-#: Fixed lists: words for '@' and '.' in the four languages; bare "point" and "punto" count only beside a word that is no other.
+#: Digit words that are articles too.
+ARTICLES = frozenset(("un",))
+#: Fixed lists: words for '@' and '.' in the four languages.
 AT_WORDS, DOT_WORDS = "at|arobase|arroba|klammeraffe", "dot|point|punkt|punto"
 #: Fixed lists: numbers of two digits as words; a ten may be followed by a digit ("twenty one", "sixty-eight").
 TEENS = {w: str(10 + k) for k, w in enumerate("ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
@@ -164,6 +166,11 @@ class Rewritten:
             run = run[1:]
         while run and run[-1][2]:
             run = run[:-1]
+        # an article beside literal digits is no number: "+1 848 555 1373 Un"
+        while len(run) > 1 and run[-1][0].lower() in ARTICLES and run[-2][3]:
+            run = run[:-1]
+        while len(run) > 1 and run[0][0].lower() in ARTICLES and run[1][3]:
+            run = run[1:]
         text = self.text
         if not run or all(m[3] for m in run) or (len(run) == 1 and "+" not in text[max(0, run[0].start() - 2) : run[0].start()]):
             return []

@@ -147,6 +147,10 @@ def test_spelled_and_mixed_identifiers():
         assert not any(pii.find(clean)[1].values()), clean
 
 
+def test_article_after_a_number():
+    assert pii.mask("call +1 (848) 555-1373 Un jour") == "call <phone> Un jour" and not pii.find("+1 (848) 555-1373 Un jour")[1]["email"]
+
+
 def test_very_long_texts_take_linear_time():
     import time
 
