@@ -9,9 +9,10 @@ in its length. Compatibility of a pair is decided by undoing merges from the sea
 Decoding keeps all token strings in one buffer with an offset table; a text is gathered from it in one step.
 
 Defined results: a null text counts as empty and has no ids; repeated rows give repeated results; an empty table gives an
-empty result; ids outside the vocabulary are a ValueError. Code points
-that this Python's Unicode data lacks are split as signs, also where newer data has letters. Words are met again and again, so each worker keeps up to
-``KEPT_WORDS`` encoded stretches, and those of the time before; forgetting costs time only. Nothing shuffles.
+empty result; ids outside the vocabulary are a ValueError. Stretches with code points that this Python's Unicode data lacks are
+normalised and split by the library, whose data is newer in part; their words are encoded as all others. Words are met again and
+again, so each worker keeps up to ``KEPT_CHARS`` characters of encoded stretches of at most ``LONGEST_KEPT``, and those of the
+time before; forgetting costs time only. Nothing shuffles.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.common import map_columns, table, text_or_empty
 
-KEPT_WORDS, KEPT_PAIRS = 250_000, 2_000_000
+KEPT_CHARS, LONGEST_KEPT, KEPT_PAIRS = 2_000_000, 200, 2_000_000
 #: Characters that str.split and the pattern's white space may see differently.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\u180e\u200b]")
 
@@ -180,8 +181,11 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.letters = {i: c for i, c in enumerate(byte_letters())}
-        self.kept, self.older = {}, {}
+        self.path, self.library = path, None
+        self.lacking, self.settled = set(), set(map(chr, range(128)))
+        self.kept, self.older, self.room = {}, {}, KEPT_CHARS
         self.words_kept: dict[str, list[int]] = {}
+        self.words_room = KEPT_CHARS
         names = {i: t for t, i in [*model["vocab"].items(), *self.added.items()]}
         pieces = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
         self.known = np.array([i in names for i in range(max(names) + 1)])
@@ -195,13 +199,24 @@ class WordBpe:
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def unsettled(self, text: str) -> bool:
+        """Whether ``text`` has a code point that this Python's Unicode data lacks."""
+        if text.isascii():
+            return False
+        met = set(text) - self.settled
+        for c in met - self.lacking:
+            (self.lacking if unicodedata.category(c) == "Cn" else self.settled).add(c)
+        return not met <= self.settled
+
     def split(self, text: str) -> list[str]:
-        """The words of a text. Code points that this Python's Unicode data lacks count as signs, as older data has them."""
-        low = self.normalised(text)
-        if text.isascii() or "\ue000" in low or not any(unicodedata.category(c) == "Cn" for c in set(low)):
-            return self.words.findall(low)
-        held = low.translate({ord(c): "\ue000" for c in set(low) if unicodedata.category(c) == "Cn"})
-        return [low[m.start() : m.end()] for m in self.words.finditer(held)]
+        """The words of a text in byte letters."""
+        if self.unsettled(text):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+        return [w.encode().decode("latin-1").translate(self.letters) for w in self.words.findall(self.normalised(text))]
 
     def run(self, chunk: str) -> tuple[tuple[int, ...], str]:
         """The ids of a text without added tokens, and these in decimals."""
@@ -209,10 +224,13 @@ class WordBpe:
         for word in self.split(chunk):
             got = self.words_kept.get(word)
             if got is None:
-                if len(self.words_kept) >= KEPT_WORDS:
-                    self.words_kept.clear()
-                letters = word.encode().decode("latin-1").translate(self.letters)
-                got = self.words_kept[word] = list(map(self.vocabulary.ids.__getitem__, self.vocabulary.encode(letters)))
+                got = list(map(self.vocabulary.ids.__getitem__, self.vocabulary.encode(word)))
+                if len(word) <= LONGEST_KEPT:
+                    self.words_room -= len(word)
+                    if self.words_room < 0:
+                        self.words_kept.clear()
+                        self.words_room = KEPT_CHARS
+                    self.words_kept[word] = got
             ids += got
         return tuple(ids), " ".join(map(str, ids))
 
@@ -226,12 +244,19 @@ class WordBpe:
             return out
         if ODD_SPACE.search(text):
             return [self.run(text)]
-        if len(self.kept) > KEPT_WORDS:  # what was met since the last time stays for as long again
-            self.kept, self.older = {}, self.kept
-        kept, older, chunks = self.kept, self.older, text.split()
+        if self.room < 0:  # what was met since the last time stays for as long again
+            self.kept, self.older, self.room = {}, self.kept, KEPT_CHARS
+        kept, older, chunks, long = self.kept, self.older, text.split(), {}
         for c in set(chunks):
             if c not in kept:
-                kept[c] = older.get(c) or self.run(c)
+                got = older.get(c) or self.run(c)
+                if len(c) <= LONGEST_KEPT and self.room >= 0:
+                    self.room -= len(c)
+                    kept[c] = got
+                else:
+                    long[c] = got
+        if long:
+            return [x for c in chunks if (x := kept.get(c) or long[c])[0]]
         return [x for c in chunks if (x := kept[c])[0]]
 
     def encode(self, text: str) -> np.ndarray:

@@ -233,6 +233,22 @@ def test_bpe_equals_the_library(spark):
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(back[r["doc_id"]].encode()).hexdigest()
 
 
+def test_bpe_equals_the_library_on_every_code_point():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.WordBpe(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x32000 or c % 97 == 0)]
+    bad = []
+    for at in range(0, len(points), 16):
+        text = " ".join(f"a{chr(c)}b 1{chr(c)}! {chr(c)}" for c in points[at : at + 16])
+        if own.encode(text).tolist() != library.encode(text, add_special_tokens=False).ids:
+            bad += [c for c in points[at : at + 16] if own.encode(t := f"a{chr(c)}b 1{chr(c)}! {chr(c)}").tolist() != library.encode(t, add_special_tokens=False).ids]
+    assert not bad, [(hex(c), unicodedata.category(chr(c))) for c in bad[:20]]
+
+
 def test_bpe_edges(docs, empty):
     assert bpe.bpe_digest(docs).count() == docs.count() and bpe.bpe_digest(empty).count() == 0
     with pytest.raises(ValueError):
@@ -243,7 +259,8 @@ def test_bpe_forgetting_changes_nothing(monkeypatch):
     path = bpe.vocabulary_path("word_bpe_49k.json")
     texts = [f"sun{k} moon{k % 7}, sea" for k in range(300)]
     want = [bpe.WordBpe(path).encode(t).tolist() for t in texts[:20]]
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 5)
+    monkeypatch.setattr(bpe, "KEPT_CHARS", 30)
+    monkeypatch.setattr(bpe, "LONGEST_KEPT", 5)
     small = bpe.WordBpe(path)
     assert [small.encode(t).tolist() for t in texts][:20] == want
 
