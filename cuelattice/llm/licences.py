@@ -1,8 +1,10 @@
 """Licence scan by sentence rules: known sentences become identifiers, ordered rules match identifier sequences.
 
-A text is normalised (lower case, signs to spaces) and cut into sentences twice: once with line ends as sentence ends, once
-with line ends as spaces, since licence texts are wrapped. Sentences that are known give their identifiers in order; a rule
-is a sequence of identifiers that must occur in this order, with other known sentences between them allowed.
+A text is lower-cased and cut into sentences: at signs of an end before white space, at blank lines (also of a comment), around
+copyright lines and at "(a)". This is done twice, once with line ends as sentence ends and once with line ends as spaces, since
+licence texts are wrapped. Sentences, their signs turned to spaces, that are known give their identifiers in order; a rule
+is a sequence of identifiers that must occur in this order, with other known sentences between them allowed. The known sentences
+are those of ``PASSAGES``, cut by the same function.
 
 DataFrame functions only; nothing shuffles. Defined results: a null text counts as empty; a text without known sentences
 has empty lists; repeated rows give repeated results; an empty table gives an empty result; other columns are not read.
@@ -10,6 +12,7 @@ has empty lists; repeated rows give repeated results; an empty table gives an em
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,47 +20,85 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.common import table
 
-#: Known sentences, normalised, by identifier.
-SENTENCES = {
-    1: "all rights reserved",
-    2: "released under the mit license",
-    3: "licensed under the apache license version 2 0",
-    4: "this work is licensed under the gnu general public license version 3",
-    5: "licensed under cc by nc 4 0",
-    6: "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    7: "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    8: "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    9: "licensed under the apache license version 2 0 the license",
-    10: "you may not use this file except in compliance with the license",
-    11: "you may obtain a copy of the license at http www apache org licenses license 2 0",
-    12: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    13: "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    14: "see the gnu general public license for more details",
-    15: "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    16: "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    17: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    18: "this work is licensed under a creative commons attribution 4 0 international license",
-    19: "released under the apache license version 2 0",
-    20: "licensed under the mit license",
-}
-#: Rules as (licence, identifiers in order).
-RULES = (
-    ("proprietary", (1,)),
-    ("mit", (2,)),
-    ("mit", (20,)),
-    ("mit", (6, 7, 8)),
-    ("apache-2.0", (3,)),
-    ("apache-2.0", (19,)),
-    ("apache-2.0", (9, 10)),
-    ("gpl-3.0", (4,)),
-    ("gpl-3.0-or-later", (12, 13, 14)),
-    ("cc-by-nc-4.0", (5,)),
-    ("cc-by-4.0", (18,)),
-    ("bsd-3-clause", (15, 16, 17)),
-    ("bsd-2-clause", (15, 16)),
+_BSD = """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution. """
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {0} Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+
+#: The passages that tell a licence, as (licence, passage); each is a rule over its sentences in order.
+PASSAGES = (
+    ("proprietary", "All rights reserved."),
+    ("mit", "Released under the MIT License."),
+    ("mit", "Licensed under the MIT License."),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies."""),
+    ("isc", """Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies."""),
+    ("bsd-2-clause", _BSD),
+    ("bsd-3-clause", _BSD + """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("apache-2.0", "Released under the Apache License, Version 2.0."),
+    ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License version 3."),
+    *((f"{name}-{float(version)}-or-later", _GNU.format(title, version)) for name, title, versions in (("gpl", "General", ("2", "3")), ("lgpl", "Lesser General", ("2.1", "3")), ("agpl", "Affero General", ("3",))) for version in versions),
+    ("gpl-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("gpl-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("lgpl-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("lgpl-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("agpl-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software."""),
+    ("bsl-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare
+derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"""),
+    ("cc0-1.0", "CC0 1.0 Universal"),
+    ("cc0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    *((f"cc-{k}-4.0", f"This work is licensed under a Creative Commons {title} 4.0 International License.") for k, title in _CC.items()),
+    *((f"cc-{k}-3.0", f"This work is licensed under a Creative Commons {title} 3.0 Unported License.") for k, title in _CC.items()),
+    *((f"cc-{k}-4.0", f"Licensed under CC {k.upper()} 4.0.") for k in _CC),
 )
-#: A licence that takes another's place where both match.
+#: A licence that takes another's place where both match; "all rights reserved" tells something only where no licence does.
 STRONGER = (("bsd-3-clause", "bsd-2-clause"),)
+WEAKEST = "proprietary"
+
+#: Steps over a lower-cased text, as (pattern, replacement): \x01 is a cut. Names of holders in the BSD's third clause are made one.
+_SPACE, _MARK = r"[ \t\n\f\r]", r"\(?[0-9a-z]{1,3}\)[ \t]+"
+STEPS = (
+    (r"(^|\n)([ \t#*/]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4}|<)[^\n]*)", "{0}\\2{0}"),
+    (rf"([.!?:;]+[)\x22']*{_SPACE}+|\n[ \t\r#*/;-]*\n{_SPACE}*)({_MARK})?|\n[ \t]*{_MARK}", "{0}"),
+)
+LINE_STEP = (r"\n", "{0}")
+LAST_STEPS = ((r"[^a-z0-9\x01]+", " "), (r"neither the name of [a-z0-9 ]{1,90}? nor the names of (its|the) contributors", "neither the name of the copyright holder nor the names of its contributors"))
+CUT = "\x01"
+
+
+def steps(wrapped: bool) -> list[tuple[str, str]]:
+    return [*STEPS, *([] if wrapped else [LINE_STEP]), *LAST_STEPS]
+
+
+def sentences_of(text: str) -> list[str]:
+    """The sentences of a wrapped text."""
+    text = text.lower() + "\n"
+    for pattern, new in steps(True):
+        text = re.sub(pattern, new.format(CUT), text)
+    return [s.strip() for s in text.split(CUT) if s.strip()]
+
+
+#: Known sentences by identifier, from 1 in the order of the passages; and the rules as (licence, identifiers in order).
+SENTENCES = dict(enumerate(dict.fromkeys(s for _, passage in PASSAGES for s in sentences_of(passage)), 1))
+_NUMBER = {s: i for i, s in SENTENCES.items()}
+RULES = tuple((name, tuple(_NUMBER[s] for s in sentences_of(passage))) for name, passage in PASSAGES)
 
 
 def telling_words() -> list[str]:
@@ -67,7 +108,7 @@ def telling_words() -> list[str]:
         count: dict[str, int] = {}
         for words in left:
             for w in words:
-                count[w] = count.get(w, 0) + (len(w) > 5)
+                count[w] = count.get(w, 0) + (len(w) > 5 or w in ("cc", "cc0"))
         best = max(sorted(count), key=lambda w: (count[w], len(w)))
         chosen.append(best)
         left = [words for words in left if best not in words]
@@ -79,26 +120,21 @@ def rule_pattern(ids: tuple[int, ...]) -> str:
     return "," + ",([0-9]+,)*".join(map(str, ids)) + ","
 
 
-#: Where a sentence may end though no sign of its end stands there: colons, semicolons, blank lines, bullets and numbers.
-SOFT = r"[:;]\s+|\n\s*\n|\n\s*(?:[*\u2022-]|\(?[0-9a-z]{1,3}[.)])\s+"
-
-
 def sentence_ids(text: Column, wrapped: bool) -> Column:
-    """The identifiers of the known sentences of ``text`` in order, as ``,1,5,9,`` (``,`` if there are none).
-
-    A known sentence begins and ends at a cut; soft cuts may also lie within it, as a colon does in the GPL's.
-    """
+    """The identifiers of the known sentences of ``text`` in order, as ``,1,5,9,`` (``,`` if there are none)."""
     low = F.lower(text)
-    cut = F.regexp_replace(low, r"[.!?]\s+" if wrapped else r"[.!?]\s+|\n", "\u0001")
-    cut = F.regexp_replace(cut, SOFT, "\u0002")
-    marked = F.concat(F.lit("\u0001"), F.regexp_replace(cut, "[^a-z0-9\u0001\u0002]+", " "), F.lit("\u0001"))
-    known = "|".join(s.replace(" ", "[ \u0002]+") for s in sorted(SENTENCES.values(), key=len, reverse=True))
-    sentences = F.regexp_extract_all(marked, F.lit(f"(?<=[\u0001\u0002]) ?({known}) ?(?=[\u0001\u0002])"), 1)
-    number = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, str(i))))
-    plain = F.transform(sentences, lambda s: F.regexp_replace(s, "[ \u0002]+", " "))
-    found = F.concat(F.lit(","), F.array_join(F.transform(plain, lambda s: F.concat(F.get(F.array(number), F.lit(0))[s], F.lit(","))), ""))
+    cut = F.concat(low, F.lit("\n"))
+    for pattern, new in steps(wrapped):
+        cut = F.regexp_replace(cut, pattern, new.format(CUT).replace("\\2", "$2"))
+    number = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, f"{i},")))
+    found = F.filter(F.transform(F.split(cut, CUT), lambda s: F.try_element_at(number, F.trim(s))), lambda x: x.isNotNull())
     # normalising only puts spaces between words, so a text without any telling word has no known sentence and is not cut
-    return F.when(reduce(Column.__or__, [low.contains(w) for w in telling_words()]), found).otherwise(F.lit(","))
+    return F.when(reduce(Column.__or__, [low.contains(w) for w in telling_words()]), F.concat(F.lit(","), F.array_join(found, ""))).otherwise(F.lit(","))
+
+
+def _placed(met: dict) -> list[str]:
+    """The licences but the weakest, by name."""
+    return sorted(set(met) - {WEAKEST})
 
 
 def licence_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,6 +147,7 @@ def licence_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = {name: reduce(Column.__or__, rules) for name, rules in by_name.items()}
     for strong, weak in STRONGER:
         met[weak] = met[weak] & ~met[strong]
+    met[WEAKEST] = met[WEAKEST] & ~reduce(Column.__or__, [met[n] for n in _placed(met)])
     names = F.concat_ws(",", *(F.when(met[name], F.lit(name)) for name in sorted(met)))
     count = F.length("lines") - F.length(F.translate("lines", ",", "")) - 1
     shown = lambda c: F.trim(F.col(c), F.lit(",")).alias(f"{'line' if c == 'lines' else c}_sentences")
@@ -118,13 +155,16 @@ def licence_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def oracle(rows: str = "documents") -> str:
-    """The scan as a DuckDB statement, without soft cuts: the same on texts where no known sentence stands at one."""
-    number = "MAP {" + ", ".join(f"'{s}': '{i}'" for i, s in SENTENCES.items()) + "}"
+    """The scan as a DuckDB statement."""
+    number = "MAP {" + ", ".join(f"'{s}': '{i},'" for i, s in SENTENCES.items()) + "}"
 
-    def ids(pattern: str) -> str:
-        cut = f"regexp_replace(lower(coalesce(text, '')), '{pattern}', chr(1), 'g')"
-        parts = f"list_transform(string_split(regexp_replace({cut}, '[^a-z0-9\\x01]+', ' ', 'g'), chr(1)), lambda s: trim(s))"
-        return f"',' || coalesce(list_aggregate(list_transform(list_filter({parts}, lambda s: map_contains({number}, s)), lambda s: {number}[s] || ','), 'string_agg', ''), '')"
+    def ids(wrapped: bool) -> str:
+        cut = "lower(coalesce(text, '')) || chr(10)"
+        for pattern, new in steps(wrapped):
+            quoted, by = pattern.replace("'", "''"), "' || chr(1) || '".join(new.format(CUT).split(CUT))
+            cut = f"regexp_replace({cut}, '{quoted}', '{by}', 'g')"
+        parts = f"list_transform(string_split({cut}, chr(1)), lambda s: trim(s))"
+        return f"',' || coalesce(list_aggregate(list_transform(list_filter({parts}, lambda s: map_contains({number}, s)), lambda s: {number}[s]), 'string_agg', ''), '')"
 
     by_name: dict[str, list[str]] = {}
     for name, rule in RULES:
@@ -132,8 +172,9 @@ def oracle(rows: str = "documents") -> str:
     met = {name: f"({' OR '.join(rules)})" for name, rules in by_name.items()}
     for strong, weak in STRONGER:
         met[weak] = f"({met[weak]} AND NOT {met[strong]})"
+    met[WEAKEST] = f"({met[WEAKEST]} AND NOT ({' OR '.join(met[n] for n in _placed(met))}))"
     names = ", ".join(f"CASE WHEN {met[name]} THEN '{name}' END" for name in sorted(met))
-    return f"""WITH ids AS (SELECT doc_id, {ids("[.!?][[:space:]]+|\\n")} AS lines, {ids("[.!?][[:space:]]+")} AS wrapped FROM {rows})
+    return f"""WITH ids AS (SELECT doc_id, {ids(False)} AS lines, {ids(True)} AS wrapped FROM {rows})
 SELECT doc_id, trim(lines, ',') AS line_sentences, trim(wrapped, ',') AS wrapped_sentences,
        CAST(length(lines) - length(replace(lines, ',', '')) - 1 AS BIGINT) AS n_known, concat_ws(',', {names}) AS licences FROM ids"""
 
