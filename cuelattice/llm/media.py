@@ -1,10 +1,11 @@
 """Media columns of ISO base-media files: boxes are walked and sample tables decoded, payloads are not.
 
 ``mux_gray`` writes bytes as 24 x 24 eight-bit grey frames (576 bytes a sample) of one uncompressed video track,
-``tracks`` walks the nested boxes of any such file, ``media_columns`` is the DataFrame operator.
+``tracks`` walks the nested boxes of any such file, movie fragments included, ``media_columns`` is the DataFrame operator.
 
 Defined results: a null media column gives null columns; bytes that are no well-formed file give ``error`` and null
-track columns; a file without a track gives zero samples. Repeated rows give repeated results. Nothing shuffles.
+track columns; a file without a track gives zero samples and an empty list of tracks; ``media_digest`` gives null digests and
+an empty feature for media that are null or malformed. Repeated rows give repeated results. Nothing shuffles.
 """
 
 from __future__ import annotations
@@ -109,6 +110,7 @@ class Track:
 
     handler: str = ""
     codec: str = ""
+    number: int = 0
     timescale: int = 0
     duration: int = 0
     width: int = 0
@@ -121,7 +123,29 @@ class Track:
 def _numbers(buf: bytes, at: int, n: int, end: int, kind: str = ">u4", columns: int = 1) -> np.ndarray:
     if at + n * columns * int(kind[-1]) > end:
         raise ValueError("sample table longer than its box")
-    return np.frombuffer(buf, kind, n * columns, at).astype(np.int64).reshape(n, columns)
+    found = np.frombuffer(buf, kind, n * columns, at)
+    if kind == ">u8" and n and int(found.max()) >= 1 << 62:
+        raise ValueError("offset beyond any file")
+    return found.astype(np.int64).reshape(n, columns)
+
+
+def _sizes(buf: bytes, boxes: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    """The sample sizes of stsz, or of stz2 with fields of 4, 8 or 16 bits."""
+    if span := boxes.get(b"stsz"):
+        each, n = struct.unpack_from(">II", buf, span[0] + 4)
+        if each and n > len(buf):
+            raise ValueError("more samples than bytes")
+        return np.full(n, each, np.int64) if each else _numbers(buf, span[0] + 12, n, span[1])[:, 0]
+    if span := boxes.get(b"stz2"):
+        width, n = struct.unpack_from(">II", buf, span[0] + 4)
+        width &= 255
+        if width in (8, 16):
+            return _numbers(buf, span[0] + 12, n, span[1], f">u{width // 8}")[:, 0]
+        if width != 4:
+            raise ValueError("unknown width of sample sizes")
+        halves = _numbers(buf, span[0] + 12, (n + 1) // 2, span[1], ">u1")[:, 0]
+        return np.stack([halves >> 4, halves & 15], axis=1).ravel()[:n]
+    return np.zeros(0, np.int64)
 
 
 def _decode(buf: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
@@ -134,12 +158,9 @@ def _decode(buf: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
         t.codec = buf[span[0] + 12 : span[0] + 16].decode("latin-1")
         if t.handler == "vide":
             t.width, t.height = struct.unpack_from(">HH", buf, span[0] + 40)
-    sizes = np.zeros(0, np.int64)
-    if span := boxes.get(b"stsz"):
-        each, n = struct.unpack_from(">II", buf, span[0] + 4)
-        if each and n > len(buf):
-            raise ValueError("more samples than bytes")
-        sizes = np.full(n, each, np.int64) if each else _numbers(buf, span[0] + 12, n, span[1])[:, 0]
+    if span := boxes.get(b"tkhd"):
+        t.number = word(span[0] + (20 if buf[span[0]] == 1 else 12))
+    sizes = _sizes(buf, boxes)
     chunk_kind = b"co64" if b"co64" in boxes else b"stco"
     starts = np.zeros(0, np.int64)
     if span := boxes.get(chunk_kind):
@@ -148,7 +169,7 @@ def _decode(buf: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
     if span := boxes.get(b"stsc"):
         for first, per, _ in _numbers(buf, span[0] + 8, word(span[0] + 4), span[1], columns=3):
             each_chunk[max(0, first - 1) :] = per
-    if each_chunk.sum() != len(sizes):
+    if sum(each_chunk.tolist()) != len(sizes):
         raise ValueError("chunks and sizes disagree")
     chunk = np.repeat(np.arange(len(starts)), each_chunk)
     before = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else sizes
@@ -157,7 +178,7 @@ def _decode(buf: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
     if span := boxes.get(b"stts"):
         spent = _numbers(buf, span[0] + 8, word(span[0] + 4), span[1], columns=2)
         if not t.duration:
-            t.duration = int((spent[:, 0] * spent[:, 1]).sum())
+            t.duration = sum(a * b for a, b in spent.tolist())
     if span := boxes.get(b"stss"):
         t.keys = _numbers(buf, span[0] + 8, word(span[0] + 4), span[1])[:, 0] - 1
         if len(t.keys) and not (0 <= t.keys.min() and t.keys.max() < len(sizes)):
@@ -169,17 +190,83 @@ def _decode(buf: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
     return t
 
 
+#: Optional fields of a fragment's header and of its runs, as (flag, bytes) in their order (fixed values of the format).
+TFHD = ((0x1, 8), (0x2, 4), (0x8, 4), (0x10, 4), (0x20, 4))
+NOT_SYNC = 0x10000
+
+
+def _add_run(buf: bytes, track: Track, state: dict, start: int, stop: int) -> None:
+    """Appends the samples of one trun box to ``track``."""
+    flags, n = struct.unpack_from(">I", buf, start)[0] & 0xFFFFFF, struct.unpack_from(">I", buf, start + 4)[0]
+    at, first_flags = start + 8, None
+    if flags & 0x1:
+        state["at"] = state["base"] + struct.unpack_from(">i", buf, at)[0]
+        at += 4
+    if flags & 0x4:
+        first_flags = struct.unpack_from(">I", buf, at)[0]
+        at += 4
+    fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+    if n > len(buf):
+        raise ValueError("more samples than bytes")
+    rows = _numbers(buf, at, n, stop, columns=len(fields)) if fields else np.zeros((n, 0), np.int64)
+    column = lambda f, default: rows[:, fields.index(f)] if f in fields else np.full(n, default, np.int64)
+    sizes, kinds = column(0x200, state[0x10]), column(0x400, state[0x20]).copy()
+    if first_flags is not None and n:
+        kinds[0] = first_flags
+    offsets = state["at"] + np.cumsum(sizes) - sizes
+    state["at"] += int(sizes.sum())
+    if n and (int(offsets.min()) < 0 or state["at"] > len(buf)):
+        raise ValueError("sample outside the file")
+    track.keys = np.concatenate([track.keys, len(track.sizes) + np.flatnonzero(kinds & NOT_SYNC == 0)])
+    track.sizes, track.offsets = np.concatenate([track.sizes, sizes]), np.concatenate([track.offsets, offsets])
+    if state["known"]:
+        track.duration += int(column(0x100, state[0x8]).sum())
+
+
 def tracks(buf: bytes) -> list[Track]:
     """The tracks of a file, in file order; ValueError if boxes or tables are malformed."""
     found: list[dict[bytes, tuple[int, int]]] = []
+    defaults: dict[int, tuple[int, ...]] = {}
+    fragments: list[tuple[int, bytes, int, int]] = []
+    moof = at = 0
     try:
         for path, start, stop in walk(buf):
+            if path == (b"moof",):
+                moof = start - 8
             if path[-1] == b"trak":
                 found.append({})
             elif b"trak" in path and found:
                 found[-1].setdefault(path[-1], (start, stop))
-        return [_decode(buf, boxes) for boxes in found]
-    except struct.error as e:
+            elif path[-1] == b"trex":
+                number, *rest = struct.unpack_from(">5I", buf, start + 4)
+                defaults[number] = tuple(rest)
+            elif path[-1] in (b"tfhd", b"trun"):
+                fragments.append((moof, path[-1], start, stop))
+        made = [_decode(buf, boxes) for boxes in found]
+        by_number, open_ended = {t.number: t for t in made}, {t.number for t in made if not t.duration}
+        state: dict = {}
+        for moof, kind, start, stop in fragments:
+            if kind == b"trun":
+                if not state:
+                    raise ValueError("samples of a fragment without a track")
+                _add_run(buf, state["track"], state, start, stop)
+                continue
+            flags, number = struct.unpack_from(">I", buf, start)[0] & 0xFFFFFF, struct.unpack_from(">I", buf, start + 4)[0]
+            if number not in by_number:
+                raise ValueError("a fragment of an unknown track")
+            _, duration, size, sample = defaults.get(number, (0, 0, 0, 0))
+            state = {"track": by_number[number], "base": moof, 0x8: duration, 0x10: size, 0x20: sample, "known": number in open_ended}
+            at = start + 8
+            for flag, width in TFHD:
+                if flags & flag:
+                    value = struct.unpack_from(">Q" if width == 8 else ">I", buf, at)[0]
+                    at += width
+                    if flag == 0x1 and value >= 1 << 62:
+                        raise ValueError("offset beyond any file")
+                    state["base" if flag == 0x1 else flag] = value
+            state["at"] = state["base"]
+        return made
+    except (struct.error, IndexError, OverflowError) as e:
         raise ValueError(str(e)) from e
 
 
@@ -188,27 +275,38 @@ def read_samples(buf: bytes, track: Track) -> bytes:
     return b"".join(buf[o : o + s] for o, s in zip(track.offsets.tolist(), track.sizes.tolist(), strict=True))
 
 
-COLUMNS = "codec string, handler string, width int, height int, timescale long, duration long, n_samples long, keyframes array<struct<sample:bigint,offset:bigint,size:bigint>>, error string"
+TRACK = "codec string, handler string, width int, height int, timescale long, duration long, n_samples long, keyframes array<struct<sample:bigint,offset:bigint,size:bigint>>"
+COLUMNS = f"{TRACK}, tracks array<struct<{TRACK.replace(' array', ':array').replace(' string', ':string').replace(' int', ':int').replace(' long', ':bigint')}>>, error string"
+EMPTY = {"codec": "", "handler": "", "width": 0, "height": 0, "timescale": 0, "duration": 0, "n_samples": 0, "keyframes": []}
+
 
+def _described(t: Track) -> dict:
+    out = {k: getattr(t, k) for k in ("codec", "handler", "width", "height", "timescale", "duration")}
+    return out | {"n_samples": len(t.sizes), "keyframes": [{"sample": int(k), "offset": int(t.offsets[k]), "size": int(t.sizes[k])} for k in t.keys]}
 
-def _describe(media: bytes | None) -> tuple[Track | None, str | None]:
+
+def _describe(media: bytes | None) -> tuple[list[Track] | None, str | None]:
     if media is None:
         return None, None
     try:
-        return next(iter(tracks(media)), Track(offsets=np.zeros(0, np.int64), sizes=np.zeros(0, np.int64), keys=np.zeros(0, np.int64))), None
+        return tracks(media), None
     except ValueError as e:
         return None, str(e)
 
 
-def _columns(found: list[tuple[Track | None, str | None]]) -> dict[str, list]:
-    out = {k: [getattr(t, k) if t else None for t, _ in found] for k in ("codec", "handler", "width", "height", "timescale", "duration")}
-    out["n_samples"] = [len(t.sizes) if t else None for t, _ in found]
-    out["keyframes"] = [[{"sample": int(k), "offset": int(t.offsets[k]), "size": int(t.sizes[k])} for k in t.keys] if t else None for t, _ in found]
-    return out | {"error": [e for _, e in found]}
+def _main(found: list[Track]) -> Track | None:
+    """The first video track, else the first one."""
+    return next((t for t in found if t.handler == "vide"), found[0] if found else None)
+
+
+def _columns(found: list[tuple[list[Track] | None, str | None]]) -> dict[str, list]:
+    mains = [None if t is None else _described(m) if (m := _main(t)) else EMPTY for t, _ in found]
+    out = {k: [m[k] if m else None for m in mains] for k in EMPTY}
+    return out | {"tracks": [None if t is None else [_described(x) for x in t] for t, _ in found], "error": [e for _, e in found]}
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """id and the first track's codec, size, duration and keyframe byte ranges of each row of ``df``."""
+    """id, codec, size, duration and keyframe byte ranges of the first video track (else the first) of each row, and all tracks."""
 
     def run(ids, media):
         return {"id": ids} | _columns([_describe(m) for m in media])
@@ -228,22 +326,47 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_columns(df.select(F.col(id_col).alias("id"), text_or_empty(text_col)), run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
+def _digests(media: list[bytes | None]) -> dict[str, list]:
+    found = [_main(t) if t else None for t, _ in map(_describe, media)]
+    back = [read_samples(m, t) if t else None for m, t in zip(media, found, strict=True)]
+    sha = lambda parts: [None if b is None else hashlib.sha256(b).hexdigest() for b in parts]
+    size = lambda parts: [None if b is None else len(b) for b in parts]
+    feature = []
+    for t in found:
+        ranges = ",".join(f"{o}-{s}" for o, s in zip(t.offsets[t.keys].tolist(), t.sizes[t.keys].tolist(), strict=True)) if t else ""
+        feature.append(f"{t.codec.strip()};{t.width}x{t.height};{t.duration}/{t.timescale};samples={len(t.sizes)};keyframes={ranges}" if t else "")
+    return {
+        "payload_bytes": size(back), "payload_sha256": sha(back), "tail_crc32": [None if b is None else zlib.crc32(b[-32:]) for b in back],
+        "media_bytes": size(media), "media_sha256": sha(media), "feature": feature,
+    }
+
+
+DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
 def media_digest(df: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) to digests of the stored form, of the bytes read back and of the media columns."""
+    """(doc_id, n_bytes, media) to digests of the stored form, of the main track's bytes read back and of its columns."""
 
     def run(ids, n_bytes, media):
-        found = [_describe(m) for m in media]
-        out = {"doc_id": ids, "n_bytes": n_bytes, "media_bytes": [len(m) for m in media], "media_sha256": [hashlib.sha256(m).hexdigest() for m in media]}
-        back = [read_samples(m, t) for m, (t, _) in zip(media, found, strict=True)]
-        out |= {"payload_bytes": [len(b) for b in back], "payload_sha256": [hashlib.sha256(b).hexdigest() for b in back], "tail_crc32": [zlib.crc32(b[-32:]) for b in back]}
-        feature = []
-        for t, _ in found:
-            ranges = ",".join(f"{o}-{s}" for o, s in zip(t.offsets[t.keys].tolist(), t.sizes[t.keys].tolist(), strict=True))
-            feature.append(f"{t.codec.strip()};{t.width}x{t.height};{t.duration}/{t.timescale};samples={len(t.sizes)};keyframes={ranges}")
-        return out | {"feature": feature}
+        return {"doc_id": ids, "n_bytes": n_bytes} | _digests(media)
 
-    return map_columns(df.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_columns(df.select("doc_id", "n_bytes", "media"), run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, {DIGESTS}")
+
+
+def text_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``media_digest`` gives for ``text_media``, in one pass: the files are written and read back in the same worker."""
+
+    def run(ids, texts):
+        raw = [t.encode() for t in texts]
+        out: dict[str, list] = {"doc_id": ids, "n_bytes": [len(r) for r in raw]}
+        for r in raw:  # one file at a time, so that a batch of long texts holds one
+            for k, v in _digests([mux_gray(pad_payload(r))]).items():
+                out.setdefault(k, []).extend(v)
+        return {k: out.get(k, []) for k in ("doc_id", *(f.split()[0] for f in DIGESTS.split(", ")))}
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return map_columns(df.select(F.col(id_col).alias("id"), text_or_empty(text_col)), run, f"doc_id {kind}, {DIGESTS}")
 
 
 def op1_media(spark, sf_dir: str) -> DataFrame:
-    return media_digest(text_media(table(spark, sf_dir, "documents")))
+    return text_digest(table(spark, sf_dir, "documents"))

@@ -1,15 +1,15 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors. DataFrame functions only.
 
 A text is lower-cased and cut into words of letters and digits. Wherever an anchor stands, it and the next ``CHAIN``
-content words (common words are skipped) make a signature, kept as 32 bits of its XXH64. A text without anchors takes
-each word as one. The fingerprint is the sorted set of signatures, eight hexadecimal digits each.
+content words (common words are skipped) make a signature, kept as its XXH64. A text without anchors takes
+each word as one. The fingerprint is the sorted set of signatures, sixteen hexadecimal digits each.
 
 Near documents are found among sets whose lengths allow the similarity: sets are partitioned by length so that only
 equal or neighbouring partitions can hold a pair, candidates share one of the rarest signatures of both sets (so many
 that no pair is lost), and Jaccard similarity is computed only where the lengths admit it.
 
 Defined results: a null text counts as empty; a text without words has the empty fingerprint, whose likeness is 1 to
-another empty one and else 0; rows without an id come last in the order of ids; equal ids are ordered by a hash of their
+another empty one and else 0; rows without an id, or with one that is no whole number, come last in the order of ids; equal ids are ordered by a hash of their
 texts; a single row is its own next document; an empty table gives an empty result.
 """
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from cuelattice.llm.common import saved, table
 
 CHAIN, SIMILARITY = 2, 0.8
+#: Sets of a signature that one share of it holds.
+SHARE = 512
 #: Rows of a range of ids that one window aims at, and the most ranges (their bounds come to the driver).
 RANGE_ROWS, MOST_RANGES = 2000, 1 << 14
 #: Fixed lists: anchors and further common words of English, French, German and Spanish.
@@ -35,7 +37,7 @@ def signatures(text: Column) -> list[tuple[str, Column]]:
     """Steps (name, expression), each over the ones before, from a text to its array of distinct signatures ``sigs``."""
     common = [*ANCHORS, *SKIPPED]
     word, content = (lambda at: F.get("words", at)), (lambda at: F.get("content", at))
-    hashed = lambda *parts: F.xxhash64(*parts).bitwiseAND(F.lit(0xFFFFFFFF))
+    hashed = F.xxhash64
     spots = F.transform("spots", lambda p, k: F.when(word(p).isin(ANCHORS), hashed(word(p), *(content(p - k + j) for j in range(CHAIN)))))
     every = F.transform("words", lambda w, i: hashed(w, *(word(i + j) for j in range(1, CHAIN + 1))))
     some = F.array_distinct(F.filter(spots, lambda x: x.isNotNull()))
@@ -60,7 +62,7 @@ def with_signatures(df: DataFrame, text: Column, out: str) -> DataFrame:
 
 def shown(sigs: str) -> Column:
     """The fingerprint string of a signature set."""
-    return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
 def likeness(a: str, b: str, least: float = 0.0) -> Column:
@@ -91,7 +93,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first row of the next range. The texts move once. Only range bounds and each range's first id reach the driver.
     """
     lowest = F.lit(-(1 << 63))
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), lowest).alias("key"))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).try_cast("long"), lowest).alias("key"))
     count = rows.count()
     ranges = min(MOST_RANGES, 1 << max(0, math.ceil(math.log2(max(1, count) / RANGE_ROWS))))
     bounds = []
@@ -158,10 +160,13 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     first = own.join(rarity.filter("rows > 1"), "sig", "left").withColumn("rows", F.coalesce("rows", F.lit(1))).withColumn("rank", rank)
     heads = first.filter((F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1) & (F.col("rows") > 1))
     part = F.floor(F.log("n") / math.log(1 / least)).cast("int")
-    left = heads.select("sig", F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.explode(F.array(part, part + 1)).alias("part"))
-    right = heads.select("sig", F.col("class_id").alias("b"), F.col("n").alias("n_b"), part.alias("part"))
+    # the shorter sets of a signature meet the longer ones in shares, so that no task gathers all of a frequent one
+    shares = F.ceil(F.col("rows") / SHARE).cast("int")
+    left = heads.select("sig", F.col("class_id").alias("a"), F.col("n").alias("n_a"), shares.alias("shares"), F.explode(F.array(part, part + 1)).alias("part"))
+    left = left.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    right = heads.select("sig", F.col("class_id").alias("b"), F.col("n").alias("n_b"), part.alias("part"), F.pmod(F.xxhash64("class_id"), shares).cast("int").alias("share"))
     longer = (F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") > F.col("a")))
-    pairs = left.join(right, ["sig", "part"]).filter(longer & (F.col("n_a") >= F.lit(least) * F.col("n_b") - 1e-9)).select("a", "b").distinct()
+    pairs = left.join(right, ["sig", "part", "share"]).filter(longer & (F.col("n_a") >= F.lit(least) * F.col("n_b") - 1e-9)).select("a", "b").distinct()
     whole = sets.select("class_id", "sigs")
     both = pairs.join(whole.select(F.col("class_id").alias("a"), F.col("sigs").alias("sigs_a")), "a").join(whole.select(F.col("class_id").alias("b"), F.col("sigs").alias("sigs_b")), "b")
     scored = both.select("a", "b", likeness("sigs_a", "sigs_b", least).alias("similarity"))

@@ -440,8 +440,8 @@ Unless required by applicable law"""
     assert {n.strip(): got[len(texts) + k] for k, n in enumerate(rest)} == {n.strip(): n.strip() for n in rest}
     import duckdb
 
-    frame = many.select("doc_id", "text").toPandas()  # noqa: F841  read by the statement
     duck = duckdb.connect()
+    duck.register("frame", many.select("doc_id", "text").toPandas())
     same(licences.licence_scan(many), duck, licences.oracle("frame"))
 
 
