@@ -75,7 +75,7 @@ def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids): the pieces of every document."""
+    """(doc_id, start, length, doc_tokens, ids): the pieces of every document, ids as little-endian numbers of two bytes, or four if need be."""
 
     def run(keys, texts):
         bpe = loaded(path, ranks_path)
@@ -83,13 +83,14 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         for key, text in zip(keys, texts, strict=True):
             ids = np.array([*bpe.encode(text), END_ID], np.int32)
             for start, length in cuts(len(ids)):
-                values = (key, start, length, len(ids), ids[start : start + length])
+                own = ids[start : start + length]
+                values = (key, start, length, len(ids), own.astype("<u2" if own.max() < 1 << 16 else "<u4").tobytes())
                 for column, value in zip(out.values(), values, strict=True):
                     column.append(value)
         return out
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, doc_tokens long, ids array<int>"
+    schema = f"doc_id {kind}, start long, length long, doc_tokens long, ids binary"
     return map_columns(df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), run, schema)
 
 
@@ -147,13 +148,18 @@ def windows_of(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         windows += max(1, windows * (most - capacity) // (8 * capacity))
 
 
-def pack_pieces(parts: DataFrame) -> DataFrame:
+def ids_of(held: bytes, length: int) -> np.ndarray:
+    """The ids of a piece of ``pieces``."""
+    return np.frombuffer(held, "<u2" if len(held) == 2 * length else "<u4")
+
+
+def pack_pieces(parts: DataFrame, keep_ids: bool = True) -> DataFrame:
     """``parts`` (as of ``pieces``) with sequence_id, offset and ids_crc32 of the ids as packed; the rows are written out once before they are dealt."""
     ship_code(parts.sparkSession)
     held = saved(parts).withColumn("row", F.monotonically_increasing_id())
     blocks = max(1, -(-held.count() // BLOCK))
     dealt = held.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields if f.name != "ids")
 
     def run(key, pdf):
         pdf = pdf.sort_values("row", ignore_index=True)
@@ -164,16 +170,18 @@ def pack_pieces(parts: DataFrame) -> DataFrame:
         for n, members in enumerate(groups):
             sequence[members] = int(key[0]) << 20 | n
             offset[members] = np.cumsum(lengths[members]) - lengths[members]
-        digests = [zlib.crc32(np.asarray(ids, "<u4").tobytes()) for ids in pdf["ids"]]
-        return pdf.drop(columns=["row", "block"]).assign(sequence_id=sequence, offset=offset, ids_crc32=digests)
+        ids = [ids_of(held, n) for held, n in zip(pdf["ids"], lengths.tolist(), strict=True)]
+        digests = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+        out = pdf.drop(columns=["row", "block", "ids"]).assign(sequence_id=sequence, offset=offset, ids_crc32=digests)
+        return out.assign(ids=[x.astype(np.int32) for x in ids]) if keep_ids else out
 
-    return dealt.groupBy("block").applyInPandas(run, f"{schema}, sequence_id long, `offset` long, ids_crc32 long")
+    return dealt.groupBy("block").applyInPandas(run, f"{schema}, sequence_id long, `offset` long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, **tokenizer) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece; the ids are packed either way."""
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return pack_pieces(pieces(df, id_col, text_col, **tokenizer)).select(*columns, *["ids"] * keep_ids)
+    return pack_pieces(pieces(df, id_col, text_col, **tokenizer), keep_ids).select(*columns, *["ids"] * keep_ids)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
