@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelattice.functions.text import number, word_key
 from cuelattice.functions.vectors import parsed
+from cuelattice.sources.sinks import file_system
 
 ASSOCIATIONS = "id long, cue string, R1 string, R2 string, R3 string, age double, gender string, nativeLanguage string, country string, education double, created_at string"
 LOG_PROBS = "model string, swow_id long, cue string, response_set string, age double, gender string, nativeLanguage string, country string, education double, total_log_prob double, normalized_log_prob double, num_tokens int, error string"
@@ -15,10 +18,11 @@ GENERATIONS = "cue string, responses array<string>, model string, config map<str
 WORD_COLUMNS = ("word", "cue", "term", "label")
 
 
-def csv(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
+def csv(spark: SparkSession, path: str | list[str], schema: str | None = None, columns: list[str] | None = None, keep: list[Column] | None = None) -> DataFrame:
     """A CSV with a header; empty cells and NA are null, other words such as null or nan stay words.
 
-    With a schema, columns are taken by the header's names, so that files may have more columns or another order.
+    With a schema, columns are taken by the header's names, so that files may have more columns or another order; ``keep``
+    are further columns of the scan. Several paths must have one header.
     """
     raw = spark.read.option("header", True).option("nullValue", "NA").option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
     if schema is None:
@@ -27,7 +31,7 @@ def csv(spark: SparkSession, path: str, schema: str | None = None, columns: list
 
     fields = [f for f in StructType.fromDDL(schema).fields if columns is None or f.name in columns]
     have = lambda f: F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)
-    return raw.select(*(have(f).alias(f.name) for f in fields))
+    return raw.select(*(have(f).alias(f.name) for f in fields), *(keep or []))
 
 
 def associations(spark: SparkSession, path: str) -> DataFrame:
@@ -41,25 +45,50 @@ def norms(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(word_key(F.col("word")).alias("word"), F.col("norm_name").alias("norm"), number(F.col("human_rating")).alias("rating")).filter("rating is not null and word is not null")
 
 
+def by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Paths by the columns of their headers; only headers are read, so one scan can take all files of a kind."""
+    kinds: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        kinds.setdefault(tuple(csv(spark, path).columns), []).append(path)
+    return kinds
+
+
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """The files and folders of a pattern, by name."""
+    fs, place = file_system(spark, pattern)
+    return sorted(s.getPath().toString() for s in (fs.globStatus(place) or []))
+
+
+def first_there(spark: SparkSession, *patterns: str) -> str:
+    """The first of several places where anything is; FileNotFoundError without one."""
+    found = next((p for p in patterns if listed(spark, p)), None)
+    if found is None:
+        raise FileNotFoundError(", ".join(patterns))
+    return found
+
+
+def stem() -> Column:
+    """The name of a row's file without its ending."""
+    return F.regexp_replace(F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B"))), r"\.[A-Za-z]+$", "")
+
+
 def by_file(spark: SparkSession, pattern: str, schema: str, name: str = "model") -> DataFrame:
-    """All CSV files of a pattern in one scan with the file's stem in column ``name``."""
-    stem = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.csv$", "")
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("nullValue", "NA").csv(pattern).withColumn(name, stem)
+    """All CSV files of a pattern with the file's stem in column ``name``; a scan for each kind of header.
+
+    Columns are taken by the header's names: files may have them in another order, lack some (null) or have more.
+    """
+    kinds = by_header(spark, listed(spark, pattern))
+    parts = [csv(spark, paths, schema, keep=[stem().alias(name)]) for _, paths in sorted(kinds.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{schema}, {name} string")
 
 
 def model_norms(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(model, norm, word, raw) of rating files, which may call the norm's column norm or norm_name."""
-    out = None
-    for path in paths:
-        raw = csv(spark, path)
-        norm = next((c for c in ("norm", "norm_name") if c in raw.columns), None)
-        if norm is None or "cleaned_rating" not in raw.columns or "word" not in raw.columns:
-            continue
-        stem = path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".csv")
-        part = raw.select(F.lit(stem).alias("model"), F.col(norm).alias("norm"), word_key(F.col("word")).alias("word"), F.col("cleaned_rating").alias("raw"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "model string, norm string, word string, raw string")
+    out = spark.createDataFrame([], "model string, norm string, word string, raw string")
+    for header, same in sorted(by_header(spark, paths).items()):
+        norm = next((c for c in ("norm", "norm_name") if c in header), None)
+        if norm is not None and {"cleaned_rating", "word"} <= set(header):
+            out = out.unionByName(csv(spark, same).select(stem().alias("model"), F.col(norm).alias("norm"), word_key(F.col("word")).alias("word"), F.col("cleaned_rating").alias("raw")))
     return out
 
 

@@ -33,18 +33,40 @@ def quoted_line(columns: list[tuple[Column, str]]) -> Column:
     return F.concat_ws(",", *(cell(c, kind) for c, kind in columns))
 
 
-def upsert_parquet(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> str:
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path of any scheme."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def whole(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders of a pattern that a finished job wrote; only names are listed."""
+    fs, marks = file_system(spark, f"{pattern}/_SUCCESS")
+    return [s.getPath().getParent().toString() for s in (fs.globStatus(marks) or [])]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, place = file_system(spark, path)
+    fs.delete(place, True)
+
+
+def metadata(summary: DataFrame, path: str) -> None:
+    """A small table, such as one row of a run's figures, as JSON lines in one file."""
+    summary.coalesce(1).write.mode("overwrite").json(path)
+
+
+def upsert_parquet(spark: SparkSession, new: DataFrame, path: str, keys: list[str], keep: int = 2) -> str:
     """Writes ``path`` merged with ``new`` (newest wins) to the path's next version and returns it.
 
-    Versions lie side by side as path/v=N, so that readers of the old one are not disturbed and a failed run leaves it whole.
+    Versions lie side by side as path/v=N, so that readers of the old one are not disturbed and a failed run leaves it whole;
+    the newest ``keep`` versions stay.
     """
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [int(s.getPath().getName()[2:]) for s in (fs.listStatus(root) if fs.exists(root) else []) if s.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    latest = max(done, default=0)
+    done = sorted(int(p.rsplit("=", 1)[-1]) for p in whole(spark, f"{path}/v=*"))
+    latest = done[-1] if done else 0
     rows = upsert(spark.read.parquet(f"{path}/v={latest}"), new, keys) if latest else new
     rows.write.mode("overwrite").parquet(f"{path}/v={latest + 1}")
+    for old in done[: max(0, len(done) + 1 - keep)]:
+        delete(spark, f"{path}/v={old}")
     return f"{path}/v={latest + 1}"
 
 

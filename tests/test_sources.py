@@ -76,6 +76,41 @@ def test_stream_adds_up(spark, tmp_path):
     assert got == {("sun", "moon"): 4, ("sun", "sky"): 2}
 
 
+def test_stream_of_a_new_query_adds_to_an_old_target(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "COMPACT", 2)
+    line = json.dumps({"cue": "Sun", "responses": ["Moon"], "model": "m"})
+    for query, batches in (("a", 5), ("b", 3)):
+        folder = tmp_path / f"in_{query}"
+        folder.mkdir()
+        for n in range(batches):
+            put(folder / f"{n}.jsonl", line)
+            stream.keep_counts(stream.read(spark, str(folder)), f"{tmp_path}/out", f"{tmp_path}/ck_{query}").awaitTermination()
+    assert [r["n"] for r in stream.latest(spark, f"{tmp_path}/out").collect()] == [8]
+    first = next(p for p in (tmp_path / "out").iterdir() if (p / "batch=4").exists())
+    assert not (first / "batch=0").exists() and (first / "upto=3").exists()
+    (first / "batch=4" / "_SUCCESS").unlink()  # a batch that is not finished does not count
+    assert [r["n"] for r in stream.latest(spark, f"{tmp_path}/out").collect()] == [7]
+    assert stream.latest(spark, f"{tmp_path}/none") is None
+
+
+def test_files_of_other_column_orders(spark, tmp_path):
+    put(tmp_path / "one.csv", "cue,lp\na,-1.5\n")
+    put(tmp_path / "two x+1.csv", "extra,lp,cue\nq,-2.5,b\n")
+    put(tmp_path / "three.csv", "cue\nc\n")
+    rows = readers.by_file(spark, f"{tmp_path}/*.csv", "cue string, lp double").collect()
+    assert {(r["model"], r["cue"], r["lp"]) for r in rows} == {("one", "a", -1.5), ("two x+1", "b", -2.5), ("three", "c", None)}
+    assert readers.by_file(spark, f"{tmp_path}/*.none", "cue string, lp double").count() == 0
+    assert readers.first_there(spark, f"{tmp_path}/none", f"{tmp_path}/one.csv") == f"{tmp_path}/one.csv"
+
+
+def test_old_versions_go(spark, tmp_path):
+    for k in range(4):
+        last = sinks.upsert_parquet(spark, spark.createDataFrame([(k, "v")], "k int, v string"), f"{tmp_path}/t", ["k"])
+    assert spark.read.parquet(last).count() == 4 and sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v=3", "v=4"]
+    sinks.metadata(spark.createDataFrame([(7, "x")], "n int, m string"), f"{tmp_path}/meta")
+    assert spark.read.json(f"{tmp_path}/meta").first().asDict() == {"n": 7, "m": "x"}
+
+
 def test_pipeline_end_to_end(spark, tmp_path):
     words = [f"w{chr(97 + k // 8)}{chr(97 + k % 8)}" for k in range(60)]
     lines = ["id,cue,R1,R2,R3"]
