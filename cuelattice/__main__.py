@@ -26,6 +26,9 @@ def parser() -> argparse.ArgumentParser:
     for name in ("associations", "norms", "out"):
         run.add_argument(f"--{name}", required=True)
     run.add_argument("--activations", help="files with commas between them")
+    for name, what in (("passive", "log-probability files"), ("deranged", "log-probability files of deranged sets"), ("active", "generation files"), ("own-norms", "rating files by model")):
+        run.add_argument(f"--{name}", help=f"pattern of {what}")
+    run.add_argument("--limited-mode", action="store_true", help="the core models only")
     for stage in ("activations", "behavior", "compare"):
         run.add_argument(f"--skip-{stage}", action="store_true")
     run.add_argument("--dim-strategy", choices=("activation", "mapping", "fixed"), default="activation")
@@ -59,9 +62,9 @@ def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     spark = session()
     if a.command == "run":
-        paths = {k: v for k in ("associations", "norms", "activations", "out") if (v := getattr(a, k))}
+        paths = {k: v for k in ("associations", "norms", "activations", "passive", "deranged", "active", "own_norms", "out") if (v := getattr(a, k))}
         skip = tuple(s for s in ("activations", "behavior", "compare") if getattr(a, f"skip_{s}"))
-        done = pipeline.run(spark, paths, skip, a.dim_strategy, a.fixed_dim)
+        done = pipeline.run(spark, paths, skip, a.dim_strategy, a.fixed_dim, a.limited_mode)
         if done is not None:
             done.orderBy("embedding_key", "norm").show(1000, False)
     elif a.command == "behavior-cells":

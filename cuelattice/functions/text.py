@@ -10,19 +10,25 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed pattern: white space at either end, Unicode separators included.
-ENDS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+#: Fixed list: white space, Unicode separators included.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Fixed pattern of a decimal number; engines' own casts accept more.
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 #: Fixed lists of the answer parser: refusals and words that are no answers.
 REFUSALS = ("i cannot", "as an ai", "sorry", "model", "language model")
 NO_ANSWERS = ("sure", "here", "association")
+#: Fixed list: the models of limited mode, in both spellings.
+CORE_MODELS = ["gpt-oss-20b-instruct", "gpt-oss-20-b-instruct", "mistral-small-24b-instruct", "mistral-small-24-b-instruct", "gemma-3-27b-instruct", "gemma-3-27-b-instruct", "qwen-3-32b-instruct", "qwen-3-32-b-instruct"]
+#: Fixed table: a model's name in embedding keys and in the names of its rating files; each variant is scored with its model's ratings.
+OWN_RATINGS = {"gemma-3-27-b-instruct": "gemma-3-27b-instruct", "gpt-oss-20-b-instruct": "gpt-oss-20b-instruct", "mistral-small-24-b-instruct": "mistral-small-24b-instruct", "qwen-3-32-b-instruct": "qwen-3-32b-instruct"}
+OWN_RATING_FILES = {f"passive_{model}{variant}": file for model, file in OWN_RATINGS.items() for variant in ("", "_shuffled", "_contrast")}
 #: Fixed table of display names.
 DISPLAY = {"gemma-3-27b": "Gemma 3 27B", "gpt-oss-20b": "GPT-OSS 20B", "mistral-small-24b": "Mistral 24B", "qwen-3-32b": "Qwen 3 32B"}
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, ENDS, "")
+    """The text without white space at its ends."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def word_key(c: Column) -> Column:
@@ -109,6 +115,11 @@ def _base(c: Column) -> Column:
     return F.regexp_replace(c, "^(passive_|activation_|active_)", "")
 
 
+def source_model(c: Column) -> Column:
+    """The normalised model that an embedding key was made from, whatever its modality, variant or width."""
+    return model_name(F.regexp_replace(F.regexp_replace(_base(c), "_300d$", ""), "(_contrast|_shuffled)$", ""))
+
+
 def sweep_name(c: Column) -> Column:
     """The key without its modality, with ``27-b-`` spelled ``27b-``."""
     return F.replace(_base(c), F.lit("-b-"), F.lit("b-"))

@@ -6,14 +6,13 @@ number of groups grows, not the groups. Gram sums need no group and are summed b
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelattice.functions.vectors import finite
+from cuelattice.operators.sampling import folds, sample_by_group
 from cuelattice.plans.session import ship_code
 
 #: Grids of penalties and rules of the presets.
@@ -53,6 +52,28 @@ def by_mapping(keys: DataFrame, files: DataFrame, mapping: dict[str, str]) -> Da
     return pairs.join(keys.select("embedding_key").distinct(), "embedding_key", "left_semi").join(files.select("norm_file").distinct(), "norm_file", "left_semi").select("embedding_key", "norm_file")
 
 
+def self_scores(vectors: DataFrame, ratings: DataFrame, mapping: dict[str, str], k: int = 5, repeats: int = 5) -> DataFrame:
+    """(embedding_source, matched_norm_file, norm_name, self_r2_mean, self_r2_std, n_samples): vectors scored with their own model's ratings.
+
+    ``ratings`` is (model, norm, word, rating), ``model`` being the file; keys and files that ``mapping`` joins and that are
+    both there are scored, on the mean of repeated ratings.
+    """
+    pairs = by_mapping(vectors.select("embedding_key"), ratings.select(F.col("model").alias("norm_file")), mapping)
+    wanted = ratings.groupBy(F.col("model").alias("norm_file"), "norm", "word").agg(F.avg("rating").alias("y"))
+    keys = ["embedding_key", "norm_file", "norm"]
+    matched = wanted.join(F.broadcast(pairs), "norm_file")  # at most a row for each entry of the mapping
+    rows = vectors.filter(finite(F.col("vec"))).withColumnRenamed("cue", "word").join(matched, ["embedding_key", "word"]).select(*keys, "word", "vec", "y")
+    out = norm_scores(folds(rows, keys, ["word"], k, repeats), keys, "self")
+    return out.select(F.col("embedding_key").alias("embedding_source"), F.col("norm_file").alias("matched_norm_file"), F.col("norm").alias("norm_name"), F.col("r2_mean").alias("self_r2_mean"), F.col("r2_std").alias("self_r2_std"), "n_samples")
+
+
+def sweep_rows(vectors: DataFrame, ratings: DataFrame, most: int = SWEEP_MOST, k: int = 5) -> DataFrame:
+    """Rows for ``sweep``: at most ``most`` rated words of a norm that have a vector, the same for every embedding, in folds."""
+    known = ratings.join(vectors.select(F.col("cue").alias("word")).distinct(), "word", "left_semi")
+    picked = sample_by_group(targets(known), ["norm"], ["word"], most)
+    return folds(aligned(vectors, picked), ["embedding_key", "norm"], ["word"], k)
+
+
 # --- models ------------------------------------------------------------------------------------------------------------
 
 
@@ -168,7 +189,3 @@ def line_scores(rows: DataFrame, keys: list[str], x: str = "x", alpha: float = 1
     sse = F.col("n") * F.col("vy") - 2 * weight * zy + weight * weight * zz
     return sums.select(*keys, weight.alias("weight"), F.col("my").alias("intercept"), (1 - F.try_divide(sse, F.col("n") * F.col("vy"))).alias("r2"))
 
-
-def samples_needed(n: int, k: int) -> int:
-    """Rows of the smallest training fold."""
-    return math.floor(n * (k - 1) / k)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuelattice.functions import text as tx
 from cuelattice.functions import vectors as vx
 from cuelattice.operators import assoc, embed, evaluate, infer, ratings, reports, sampling
+from cuelattice.plans import pipeline
 from cuelattice.plans.session import written
 from cuelattice.sources import fixtures as fx
 
@@ -192,6 +193,24 @@ def q11(spark, sf):
     return scored.select("model", "cue", "response", "block", r6("prob").alias("prob"), r6("ppmi").alias("ppmi"))
 
 
+def _passive_sql(source: str, variant: str, response: str = "CAST(response AS VARCHAR)") -> str:
+    return f"SELECT 'passive_' || model || '{variant}' AS embedding_key, cue, {response} AS response, prob FROM ({_distribution_sql(source)})"
+
+
+@query(
+    "q11_model_matrices",
+    fx.over(
+        real=fx.log_probs_sql(),
+        other=fx.log_probs_sql(17),
+        cells=" UNION ALL ".join([_passive_sql("real", ""), _passive_sql("other", "_shuffled"), _passive_sql("real", "_contrast", "'real:' || response"), _passive_sql("other", "_contrast", "'shuffled:' || response")]),
+    )
+    + """SELECT embedding_key, cue, response, round(greatest(0, log2(prob * sum(prob) OVER (PARTITION BY embedding_key) / (sum(prob) OVER (PARTITION BY embedding_key, cue) * sum(prob) OVER (PARTITION BY embedding_key, response) + 1e-10))), 6) + 0.0 AS ppmi FROM cells""",
+)
+def q11_matrices(spark, sf):
+    scores = lambda shift: fx.log_probs(spark, sf, shift).withColumn("response", F.col("response").cast("string"))
+    return pipeline.passive_cells(scores(0), scores(17)).select("embedding_key", "cue", "response", r6("ppmi").alias("ppmi"))
+
+
 _LOW = r"regexp_replace(lower(text), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
 _BODY = rf"regexp_replace(regexp_replace(regexp_replace(string_split({_LOW}, '</think>')[-1], '[\n\r]', ',', 'g'), '^\d+\.\s*', ''), '^-\s*', '')"
 _PARTS = rf"list_filter(list_transform(string_split({_BODY}, ','), lambda p: trim(regexp_replace(regexp_replace(p, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '[^\p{{L}}\p{{N}}\- ]', '', 'g'))), lambda w: w <> '' AND w NOT IN ('sure', 'here', 'association'))"
@@ -267,7 +286,7 @@ def q15(spark, sf):
 
 @query("q16_svd_embedding")
 def q16(spark, sf):
-    docs = fx.table(spark, sf, "documents").select(F.col("source").alias("cue"), F.explode(F.split(F.lower("text"), fx.WORDS)).alias("response")).filter("response <> ''")
+    docs = fx.spread(fx.table(spark, sf, "documents").select("source", "text")).select(F.col("source").alias("cue"), F.explode(F.split(F.lower("text"), fx.WORDS)).alias("response")).filter("response <> ''")
     vectors, _ = embed.truncated_svd(assoc.ppmi(assoc.pair_counts(docs), ["cue"], ["response"]), 16)
     return vectors.select("cue", F.posexplode("vec").alias("component", "value"))
 
@@ -292,7 +311,7 @@ def q17_strict(spark, sf):
 
 
 #: Fixed mapping of embedding keys to files of model ratings.
-MAPPING = {f"passive_{k}{v}": f for k, f in (("gemma-3-27-b-instruct", "gemma-3-27b-instruct"), ("qwen-3-32-b-instruct", "qwen-3-32b-instruct")) for v in ("", "_shuffled", "_contrast", "_contrast_300d")}
+MAPPING = tx.OWN_RATING_FILES
 
 
 @query("q17_mapping", "SELECT k AS embedding_key, f AS norm_file FROM (VALUES " + ", ".join(f"('{k}', '{f}')" for k, f in MAPPING.items()) + ") AS m(k, f) WHERE k IN (" + ", ".join(f"'{k}'" for k in NAMES) + ") AND f = 'gemma-3-27b-instruct'")
@@ -334,7 +353,8 @@ def q19_folds(spark, sf):
 
 @query("q19_dimension_sweep")
 def q19(spark, sf):
-    return evaluate.sweep(folded(spark, sf), ["embedding_key", "norm"]).select("embedding_key", "norm", "dim", r6("r2").alias("r2"), "n_samples")
+    rows = evaluate.sweep_rows(vectors_view(spark, sf), ratings_view(spark, sf))
+    return evaluate.sweep(rows, ["embedding_key", "norm"]).select("embedding_key", "norm", "dim", r6("r2").alias("r2"), "n_samples")
 
 
 @query("q20_ridge_cv_scores")

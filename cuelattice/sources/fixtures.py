@@ -8,18 +8,32 @@ from pyspark.sql import functions as F
 from cuelattice.operators.assoc import long_form
 
 WORDS = r"[^\p{L}\p{N}]+"
+#: Bytes for every core from which a table's own splits are enough.
+SPREAD_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it is small: a small file is often one row group, which one task would read and work on.
+
+    A table with SPREAD_BYTES for every core has row groups enough, and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BYTES * cores else df
+
+
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, cue, r1, r2, r3): the words of whole documents in runs of four; a last short run has null responses."""
     words = F.filter(F.split("text", WORDS), lambda w: w != "")
-    runs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).filter(F.size("w") > 0)
-    runs = runs.select("doc_id", "w", F.explode(F.expr("sequence(0, size(w) - 1, 4)")).alias("at"))
-    return runs.select((F.col("doc_id") * 1000000 + F.floor(F.col("at") / 4)).alias("id"), *(F.get("w", F.col("at") + k).alias(n) for k, n in enumerate(("cue", "r1", "r2", "r3"))))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words.alias("w"))
+    run = lambda at: F.struct(F.floor(at / 4).alias("at"), *(F.get("w", at + k).alias(n) for k, n in enumerate(("cue", "r1", "r2", "r3"))))
+    # runs are made before they are exploded: rows that carried the words of the whole text would be quadratic in its length
+    runs = docs.select("doc_id", F.explode(F.when(F.size("w") > 0, F.transform(F.expr("sequence(0, greatest(size(w) - 1, 0), 4)"), run))).alias("run"))
+    return runs.select((F.col("doc_id") * 1000000 + F.col("run.at")).alias("id"), "run.cue", "run.r1", "run.r2", "run.r3")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

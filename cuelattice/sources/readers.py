@@ -92,11 +92,14 @@ def model_norms(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def generations(spark: SparkSession, path: str) -> DataFrame:
-    """(cue, response, model): one row a response; malformed lines go, object elements give their response field."""
+def generations(spark: SparkSession, path: str, model: Column | None = None) -> DataFrame:
+    """(cue, response, model): one row a response; malformed lines go, object elements give their response field.
+
+    ``model`` replaces the lines' own model, e.g. by the file's stem.
+    """
     rows = spark.read.schema(GENERATIONS + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     element = F.explode(F.coalesce("responses", F.array().cast("array<string>")))
-    return flattened(rows.filter("_corrupt_record is null").select("cue", "model", element.alias("r")))
+    return flattened(rows.filter("_corrupt_record is null").select("cue", (F.col("model") if model is None else model).alias("model"), element.alias("r")))
 
 
 def flattened(rows: DataFrame) -> DataFrame:

@@ -100,18 +100,20 @@ def test_target_dims(spark):
     assert take(strategy="mapping", mapping={"y": 7}) == {"human_matrix": 300, "passive_x": 300, "passive_y": 7}
 
 
-def test_svd_matches_numpy(spark):
+@pytest.mark.parametrize(("n", "m", "side", "block"), [(12, 9, 1024, 1024), (9, 12, 1024, 5), (12, 9, 1024, 1), (12, 9, 0, 1)])
+def test_svd_matches_numpy(spark, monkeypatch, n, m, side, block):
+    monkeypatch.setattr(embed, "GRAM_SIDE", side)
+    monkeypatch.setattr(embed, "BLOCK", block)
     rng = np.random.default_rng(3)
-    m = np.where(rng.random((12, 9)) < 0.5, rng.random((12, 9)), 0)
-    cells = spark.createDataFrame([(f"c{i:02}", f"r{j}", float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "cue string, response string, ppmi double")
+    x = np.where(rng.random((n, m)) < 0.5, rng.random((n, m)), 0)
+    cells = spark.createDataFrame([(f"c{i:02}", f"r{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "cue string, response string, ppmi double")
     got, s = embed.truncated_svd(cells, 5)
     rows = {r["cue"]: r["vec"] for r in got.collect()}
-    u, sigma, _ = np.linalg.svd(m)
+    u, sigma, _ = np.linalg.svd(x)
     assert np.allclose(s, sigma[:5]) and list(s) == sorted(s, reverse=True)
-    x = np.array([rows[f"c{i:02}"] for i in range(12)])
     want = u[:, :5] * np.sqrt(sigma[:5])
     want *= np.sign(want[np.abs(want).argmax(axis=0), range(5)])
-    assert np.allclose(x, want, atol=1e-8)
+    assert np.allclose(np.array([rows[f"c{i:02}"] for i in range(n)]), want, atol=1e-8)
     tiny, none = embed.truncated_svd(cells.filter("response = 'r0'"), 4)
     assert none == [] and all(r["vec"] == [0, 0, 0, 0] for r in tiny.collect())
 

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from cuelattice.operators import embed
 from cuelattice.plans import pipeline
 from cuelattice.sources import readers, sinks
 from cuelattice.streaming import generations as stream
@@ -122,3 +123,37 @@ def test_pipeline_end_to_end(spark, tmp_path):
     rows = pipeline.run(spark, {"associations": assoc, "norms": norms, "activations": acts, "out": f"{tmp_path}/out"}, fixed=8).collect()
     got = {r["embedding_type"]: r for r in rows}
     assert set(got) == {"Baseline", "Activation"} and got["Activation"]["r2_mean"] > 0.99
+
+
+def test_models_from_files_to_scores(spark, tmp_path):
+    words = [f"w{chr(97 + k // 8)}{chr(97 + k % 8)}" for k in range(60)]
+    triple = lambda n, s: (words[(n * 7 + s) % 60], words[(n * n + 3 + s) % 60], words[(n * 11 + n // 60) % 60])
+    lines = ["id,cue,R1,R2,R3"] + [f"{n},{words[n % 60]},{','.join(triple(n, 0))}" for n in range(700)]
+    for folder, name, shift in (("real", "gemma-3-27b-instruct-results", 1), ("real", "other", 2), ("real", "gemma-3-27b-instruct-deranged-results", 3), ("wrong", "gemma-3-27b-instruct-deranged-results", 5), ("wrong", "lonely", 6)):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        rows = [f'{words[n % 60].upper()},"{", ".join(triple(n, shift))}",{-1 - n % 5}' for n in range(600)]
+        put(tmp_path / folder / f"{name}.csv", "cue,response_set,normalized_log_prob\n" + "\n".join(rows))
+    (tmp_path / "made").mkdir()
+    put(tmp_path / "made" / "gemma-3-27b-instruct.jsonl", "\n".join(json.dumps({"cue": words[n % 60], "responses": list(triple(n, 4)), "model": "x"}) for n in range(600)))
+    norms = put(tmp_path / "n.csv", "word,norm_name,human_rating\n" + "\n".join(f"{w},v,{k % 7}" for k, w in enumerate(words)))
+    own = put(tmp_path / "gemma-3-27b-instruct.csv", "word,norm,cleaned_rating\n" + "\n".join(f"{w},v,{k % 5}" for k, w in enumerate(words)))
+    acts = put(tmp_path / "gemma-3-27b-instruct-act.csv", "cue,d0,d1,d2\n" + "\n".join(f"{w},{k % 7},{k % 3},1" for k, w in enumerate(words)))
+    model = tmp_path / "gemma-3-27-b-instruct.csv"
+    model.write_text(open(acts).read())
+    out = f"{tmp_path}/out"
+    paths = {"associations": put(tmp_path / "a.csv", "\n".join(lines)), "norms": norms, "activations": str(model), "passive": f"{tmp_path}/real/*.csv", "deranged": f"{tmp_path}/wrong/*.csv", "active": f"{tmp_path}/made/*.jsonl", "own_norms": own, "out": out}
+    rows = pipeline.run(spark, paths, limited=True).collect()
+    passive = {f"passive_gemma-3-27-b-instruct{v}" for v in ("", "_shuffled", "_contrast")}
+    bases = passive | {"active_gemma-3-27-b-instruct"}
+    keys = {"human_matrix"} | bases | {f"{k}_300d" for k in bases}
+    assert {r["embedding_key"] for r in rows} == keys | {"activation_gemma-3-27-b-instruct"}
+    dims = lambda: {r["embedding_key"]: r["dim"] for r in embed.catalog(spark.read.parquet(f"{out}/behavior")).collect()}
+    assert dims() == {k: 300 if k.endswith("_300d") or k == "human_matrix" else 3 for k in keys}
+    scored = {r["embedding_source"] for r in spark.read.parquet(f"{out}/self_scores").collect()}
+    assert scored == passive
+    again = pipeline.run(spark, paths, skip=("activations", "behavior")).collect()  # both bundles are there
+    assert {r["embedding_key"] for r in again} == {r["embedding_key"] for r in rows}
+    pipeline.run(spark, {**paths, "passive": f"{tmp_path}/real/other.csv", "active": ""}, skip=("activations", "compare"), strategy="fixed", fixed=7)
+    assert dims() == {"human_matrix": 300, "passive_other": 7, "passive_other_300d": 300}
+    pipeline.run(spark, {**paths, "passive": f"{tmp_path}/real/other.csv", "active": ""}, skip=("activations", "compare"), strategy="mapping", fixed=7, mapping={"other": 9})
+    assert dims()["passive_other"] == 9
