@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelattice.llm import bpe, licences, media, negatives, packing, pii, quality, secretscan, simhash, spotsigs, warc
+from cuelattice.llm import bpe, licences, media, negatives, packing, pii, prefixtrie, quality, secretscan, simhash, spotsigs, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_secrets": secretscan.op8_secrets,
     "op9_fixity": warc.op9_fixity,
     "op10_quality": quality.op10_quality,
+    "op11_prefixtrie": prefixtrie.op11_prefixtrie,
     "op12_negatives": negatives.op12_negatives,
 }
 
-ORACLES: dict[str, str] = {"op6_licences": licences.oracle(), "op9_fixity": warc.oracle(), "op12_negatives": negatives.oracle()}
+ORACLES: dict[str, str] = {"op6_licences": licences.oracle(), "op9_fixity": warc.oracle(), "op11_prefixtrie": prefixtrie.oracle(), "op12_negatives": negatives.oracle()}
