@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelattice.llm import bpe, licences, media, negatives, packing, pii, prefixtrie, quality, secretscan, simhash, spotsigs, warc
+from cuelattice.llm import bpe, licences, media, negatives, packing, pii, prefixtrie, quality, secretscan, simhash, spotsigs, superminhash, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_prefixtrie": prefixtrie.op11_prefixtrie,
     "op12_negatives": negatives.op12_negatives,
+    "op13_superminhash": superminhash.op13_superminhash,
 }
 
-ORACLES: dict[str, str] = {"op6_licences": licences.oracle(), "op9_fixity": warc.oracle(), "op11_prefixtrie": prefixtrie.oracle(), "op12_negatives": negatives.oracle()}
+ORACLES: dict[str, str] = {"op6_licences": licences.oracle(), "op9_fixity": warc.oracle(), "op11_prefixtrie": prefixtrie.oracle(), "op12_negatives": negatives.oracle(), "op13_superminhash": superminhash.oracle()}
