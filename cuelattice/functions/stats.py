@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,3 +29,21 @@ def interval(x: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Normal-approximation confidence interval of a mean."""
     half = F.lit(z) * standard_error(x)
     return F.avg(x) - half, F.avg(x) + half
+
+
+def poisson_steps(bits: int = 16) -> list[int]:
+    """Where the distribution function of a Poisson number of mean 1 lies on a scale of 2**bits, while it differs from 1 there."""
+    steps, total, k = [], 0.0, 0
+    while not steps or steps[-1] < (1 << bits) - 1:
+        total += math.exp(-1) / math.factorial(k)
+        steps.append(math.floor(total * (1 << bits)))
+        k += 1
+    return steps
+
+
+def poisson(u: Column, bits: int = 16) -> Column:
+    """The Poisson number of mean 1 for a whole number drawn evenly from 0 to 2**bits - 1, by the inverse of its distribution."""
+    out = F.lit(0)
+    for step in poisson_steps(bits):
+        out = out + (u >= step).cast("int")
+    return out

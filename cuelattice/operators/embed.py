@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelattice.functions.vectors import finite, norm, padded, zeros
+from cuelattice.operators import rangefinder
 from cuelattice.operators.assoc import dense_index
 from cuelattice.plans.session import ship_code, written
 
@@ -59,14 +60,14 @@ def culprits(vectors: DataFrame, key: str = "embedding_key", vec: str = "vec", e
     return vectors.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~usable(F.col(vec), eps)).alias("n_bad"))
 
 
-def truncated_svd(cells: DataFrame, k: int, row: str = "cue", col: str = "response", value: str = "ppmi") -> tuple[DataFrame, list[float]]:
+def truncated_svd(cells: DataFrame, k: int, row: str = "cue", col: str = "response", value: str = "ppmi", gram_side: int | None = None) -> tuple[DataFrame, list[float]]:
     """(row, vec) = U * sqrt(S) of the sparse matrix of ``cells``, and the singular values, largest first.
 
     The number of components is at most one below the smaller side; with less than two the vectors are k zeros, and
     vectors are padded with zeros to k. Signs: the entry of largest magnitude of each column of U is positive, the first among equals.
-    Components below REL of the largest singular value are left out. A smaller side of up to GRAM_SIDE takes one pass for
-    its Gram matrix, summed by task; what reaches the driver is that matrix. Larger ones go through the distributed
-    Lanczos solver, whose vectors of the smaller side's length are on the driver.
+    Components below REL of the largest singular value are left out. A smaller side of up to ``gram_side`` (GRAM_SIDE) takes one pass for
+    its Gram matrix, summed by task; what reaches the driver is that matrix. Larger ones go through a randomized range finder
+    (``rangefinder``), of which small triangles reach the driver.
     """
     cells = written(cells.select(row, col, F.col(value).cast("double").alias(value)))
     rows = written(dense_index(cells.select(row).distinct(), row, name="__i"))
@@ -77,7 +78,7 @@ def truncated_svd(cells: DataFrame, k: int, row: str = "cue", col: str = "respon
         return rows.select(row, zeros(k).alias("vec")), []
     ship_code(cells.sparkSession)
     placed = cells.join(rows, row).join(cols, col).select(F.col("__i").alias("i"), F.col("__j").alias("j"), F.col(value).alias("x"))
-    u, s = (_by_gram if min(n, m) <= GRAM_SIDE else _by_solver)(placed, n, m, rank)
+    u, s = _by_gram(placed, n, m, rank) if min(n, m) <= (GRAM_SIDE if gram_side is None else gram_side) else rangefinder.decompose(placed, n, m, rank, least=REL)
     u = written(u)
     peak = u.select(F.posexplode("u").alias("d", "x"), "__i").groupBy("d").agg(F.max_by("x", F.struct(F.abs("x"), -F.col("__i"))).alias("x")).collect()
     scale = [0.0] * len(s)
@@ -140,15 +141,3 @@ def _by_gram(placed: DataFrame, n: int, m: int, rank: int) -> tuple[DataFrame, l
             yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(list(u), pa.list_(pa.float64()))], names=["__i", "u"])
 
     return lines.mapInArrow(project, "__i long, u array<double>"), s.tolist()
-
-
-def _by_solver(placed: DataFrame, n: int, m: int, rank: int) -> tuple[DataFrame, list[float]]:
-    """(__i, u) and the singular values from the distributed Lanczos solver, on the rows as sparse vectors."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    by_row = written(placed.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("cells")))
-    sparse = by_row.rdd.map(lambda r: IndexedRow(r["i"], Vectors.sparse(m, [c["j"] for c in r["cells"]], [c["x"] for c in r["cells"]]))).persist()  # the solver goes over it many times
-    svd = IndexedRowMatrix(sparse).computeSVD(rank, computeU=True, rCond=REL)
-    u = svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()])).toDF("__i long, u array<double>")
-    return u, [float(x) for x in svd.s.toArray()]

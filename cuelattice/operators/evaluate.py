@@ -1,19 +1,20 @@
 """Evaluation: alignment of vectors with ratings, cross-validated ridge regression, dimension sweeps.
 
-A group of rows (embedding_key, norm) is one regression and is fitted in one task, as its size is that of a vocabulary; the
-number of groups grows, not the groups. Gram sums need no group and are summed by partition.
+A group of rows (embedding_key, norm) is one regression. It is fitted from sums by fold (``linear``), so neither the number of groups
+nor the size of one matters.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuelattice.functions.text import bare_name, display_name, sweep_name
 from cuelattice.functions.vectors import finite
-from cuelattice.operators.sampling import folds, sample_by_group
-from cuelattice.plans.session import ship_code
+from cuelattice.operators import linear
+from cuelattice.operators.sampling import fold_table, sample_by_group
+from cuelattice.plans.session import ship_code, written
 
 #: Grids of penalties and rules of the presets.
 ALPHAS = {"compare": np.logspace(-2, 6, 12), "self": np.logspace(-3, 5, 20), "human": 10.0 ** np.arange(-3, 4)}
@@ -63,101 +64,77 @@ def self_scores(vectors: DataFrame, ratings: DataFrame, mapping: dict[str, str],
     keys = ["embedding_key", "norm_file", "norm"]
     matched = wanted.join(F.broadcast(pairs), "norm_file")  # at most a row for each entry of the mapping
     rows = vectors.filter(finite(F.col("vec"))).withColumnRenamed("cue", "word").join(matched, ["embedding_key", "word"]).select(*keys, "word", "vec", "y")
-    out = norm_scores(folds(rows, keys, ["word"], k, repeats), keys, "self")
+    out = norm_scores(rows, keys, "self", k, repeats)
     return out.select(F.col("embedding_key").alias("embedding_source"), F.col("norm_file").alias("matched_norm_file"), F.col("norm").alias("norm_name"), F.col("r2_mean").alias("self_r2_mean"), F.col("r2_std").alias("self_r2_std"), "n_samples")
 
 
-def sweep_rows(vectors: DataFrame, ratings: DataFrame, most: int = SWEEP_MOST, k: int = 5) -> DataFrame:
-    """Rows for ``sweep``: at most ``most`` rated words of a norm that have a vector, the same for every embedding, in folds."""
+def paired_scores(behavior: DataFrame, activation: DataFrame, wanted: DataFrame, preset: str = "compare", k: int = 5, least: int = MIN_SAMPLES, most: int | None = None) -> DataFrame:
+    """(model, norm, n_samples, r2_behavior, r2_activation, delta): vectors of both kinds of one model, scored on the same words.
+
+    Behavior keys of shuffled and contrastive sets and the human matrix take no part; of equal names the last key counts. A word is used
+    where both vectors are finite. ``most`` words of a norm, picked by md5, are scored if it is given.
+    """
+    plain = behavior.filter(~F.col("embedding_key").rlike("_contrast|_shuffled") & (F.col("embedding_key") != "human_matrix"))
+    named = lambda df: df.select("embedding_key").distinct().withColumn("canonical", sweep_name(bare_name(F.col("embedding_key"))))
+    pairs = overlap(named(plain), named(activation))  # a row a model
+    wanted = wanted if most is None else sample_by_group(wanted, ["norm"], ["word"], most)
+    side = lambda df, key: df.filter(finite(F.col("vec"))).join(F.broadcast(pairs.select("canonical", F.col(key).alias("embedding_key"))), "embedding_key").select("canonical", F.col("cue").alias("word"), F.col("vec").alias(f"{key}_vec"))
+    both = side(plain, "behavior_key").join(side(activation, "activation_key"), ["canonical", "word"]).join(wanted, "word")
+    kinds = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(f"{c}_key_vec").alias("vec")) for c in ("behavior", "activation"))))
+    rows = both.select("canonical", "norm", "word", "y", kinds.alias("s")).select("canonical", "norm", "s.kind", "word", "s.vec", "y")
+    scores = norm_scores(rows, ["canonical", "norm", "kind"], preset, k, 1, least)
+    wide = scores.groupBy("canonical", "norm").agg(F.max("n_samples").alias("n_samples"), *(F.max(F.when(F.col("kind") == c, F.col("r2_mean"))).alias(f"r2_{c}") for c in ("behavior", "activation")))
+    return wide.select(display_name(F.col("canonical")).alias("model"), "norm", "n_samples", "r2_behavior", "r2_activation", (F.col("r2_activation") - F.col("r2_behavior")).alias("delta"))
+
+
+def sweep_rows(vectors: DataFrame, ratings: DataFrame, most: int = SWEEP_MOST) -> DataFrame:
+    """Rows for ``sweep``: at most ``most`` rated words of a norm that have a vector, the same for every embedding."""
     known = ratings.join(vectors.select(F.col("cue").alias("word")).distinct(), "word", "left_semi")
     picked = sample_by_group(targets(known), ["norm"], ["word"], most)
-    return folds(aligned(vectors, picked), ["embedding_key", "norm"], ["word"], k)
+    return aligned(vectors, picked)
 
 
 # --- models ------------------------------------------------------------------------------------------------------------
 
 
-def ridge_loo(x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """(weights, intercept, alpha) of the penalty with the best R2 of leave-one-out predictions; the first among equals."""
-    mean_x, mean_y = x.mean(axis=0), y.mean()
-    u, s, vt = np.linalg.svd(x - mean_x, full_matrices=False)
-    uty, best, chosen = u.T @ (y - mean_y), -np.inf, alphas[0]
-    for a in alphas:
-        d = s * s / (s * s + a)
-        left = 1 - 1 / len(y) - (u * u) @ d
-        loo = (y - mean_y - u @ (d * uty)) / np.maximum(left, 1e-12)
-        score = -float(loo @ loo)
-        if score > best:
-            best, chosen = score, a
-    w = vt.T @ (s / (s * s + chosen) * uty)
-    return w, float(mean_y - mean_x @ w), float(chosen)
+def _fitted(rows: DataFrame, keys: list[str], k: int, repeats: int, standardise: bool, least: int) -> tuple[DataFrame, DataFrame]:
+    """Rows by chunk and the models of their training sets, both written."""
+    rows = rows.select(*keys, "word", "vec", "y")
+    placed = written(linear.grouped(rows, keys, fold_table(rows, keys, ["word"], k, repeats)))
+    return placed, written(linear.models(linear.fold_sums(placed), standardise, least))
 
 
-def r2(y: np.ndarray, predicted: np.ndarray) -> float:
-    """1 - SSE / SST; 1 or 0 where y is constant, as it is met or not."""
-    sst, sse = float(((y - y.mean()) ** 2).sum()), float(((y - predicted) ** 2).sum())
-    return 1 - sse / sst if sst > 0 else float(sse == 0)
+def _by_fold(placed: DataFrame, fitted: DataFrame, errors: linear.Errors) -> DataFrame:
+    """(group, rep, fold, k, loo, r2, n_samples, dimensions)."""
+    each = linear.errors_by_fold(placed, fitted, errors)
+    width = (F.octet_length("mean") / 8 - 1).cast("int")
+    known = fitted.select("group", "rep", "fold", "sst", (F.col("n") + F.col("n_test")).alias("n_samples"), width.alias("dimensions"))
+    return each.join(known, ["group", "rep", "fold"]).withColumn("r2", linear.r2_of(F.col("sse"), F.col("sst")))
 
 
-def scaled(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both by the training mean and population deviation; a constant column keeps scale 1."""
-    mean, std = train.mean(axis=0), train.std(axis=0)
-    std = np.where(std > 0, std, 1)
-    return (train - mean) / std, (test - mean) / std
+def norm_scores(rows: DataFrame, keys: list[str], preset: str = "compare", k: int = 5, repeats: int = 1, least: int = MIN_SAMPLES) -> DataFrame:
+    """(keys, n_samples, dimensions, r2_mean, r2_std): standardised ridge regressions of ``rows`` (keys, word, vec, y) over k folds.
+
+    A training set's penalty is that with the best leave-one-out predictions, the first among equals. A word that is met more
+    than once in a group has all its rows in one fold. A group with under ``least`` rows gives no row.
+    """
+    placed, fitted = _fitted(rows, keys, k, repeats, True, least)
+    each = _by_fold(placed, fitted, linear.ridge_errors(ALPHAS[preset]))
+    chosen = each.groupBy("group", "rep", "fold").agg(F.min_by(F.struct("r2", "n_samples", "dimensions"), F.struct("loo", "k")).alias("b"))
+    out = chosen.groupBy("group").agg(F.max("b.n_samples").alias("n_samples"), F.max("b.dimensions").alias("dimensions"), F.avg("b.r2").alias("r2_mean"), F.stddev_pop("b.r2").alias("r2_std"))
+    return linear.ungrouped(out, keys, rows)
 
 
-def norm_scores(rows: DataFrame, keys: list[str], preset: str = "compare", least: int = MIN_SAMPLES) -> DataFrame:
-    """(keys, n_samples, dimensions, r2_mean, r2_std): ridge regressions over the folds of ``rows``.
+def sweep(rows: DataFrame, keys: list[str], dims: tuple[int, ...] = SWEEP_DIMS, alpha: float = 1.0, least: int = SWEEP_LEAST, k: int = 5, repeats: int = 1) -> DataFrame:
+    """(keys, dim, r2, n_samples): ridge on the first principal components of the training rows, for every valid dimension.
 
-    ``rows``: keys, word, vec, y and the columns rep and fold. A group with under ``least`` rows gives no row.
+    Valid are dimensions up to the width of the vectors and below the share of rows that a training set has.
     """
-    ship_code(rows.sparkSession)
-    alphas, schema = ALPHAS[preset], rows.select(keys).schema
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rep", "fold", "word"])
-        n = int(len(pdf) / max(1, pdf["rep"].nunique()))
-        if n < least:
-            return pd.DataFrame(columns=[*keys, "n_samples", "dimensions", "r2_mean", "r2_std"])
-        scores, dim = [], 0
-        for _, part in pdf.groupby("rep"):
-            x, y, fold = np.stack(part["vec"]).astype(float), part["y"].to_numpy(float), part["fold"].to_numpy()
-            dim = x.shape[1]
-            for f in np.unique(fold):
-                a, b = scaled(x[fold != f], x[fold == f])
-                w, c, _ = ridge_loo(a, y[fold != f], alphas)
-                scores.append(r2(y[fold == f], b @ w + c))
-        return pd.DataFrame([[*key, n, dim, float(np.mean(scores)), float(np.std(scores))]], columns=[*keys, "n_samples", "dimensions", "r2_mean", "r2_std"])
-
-    return rows.groupBy(*keys).applyInPandas(fit, f"{names}, n_samples long, dimensions int, r2_mean double, r2_std double")
-
-
-def sweep(rows: DataFrame, keys: list[str], dims: tuple[int, ...] = SWEEP_DIMS, alpha: float = 1.0, least: int = SWEEP_LEAST) -> DataFrame:
-    """(keys, dim, r2, n_samples): principal components and ridge for every valid dimension; one SVD a fold serves all."""
-    ship_code(rows.sparkSession)
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(keys).schema.fields)
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rep", "fold", "word"])
-        n, k = int(len(pdf) / max(1, pdf["rep"].nunique())), int(pdf["fold"].max()) + 1
-        width = len(pdf["vec"].iloc[0])
-        valid = [d for d in dims if 1 <= d <= width and d < n * (k - 1) // k]
-        if n < least or not valid:
-            return pd.DataFrame(columns=[*keys, "dim", "r2", "n_samples"])
-        scores = []
-        for _, part in pdf.groupby("rep"):
-            x, y, fold = np.stack(part["vec"]).astype(float), part["y"].to_numpy(float), part["fold"].to_numpy()
-            for f in np.unique(fold):
-                train, test, t = x[fold != f], x[fold == f], y[fold != f]
-                u, s, vt = np.linalg.svd(train - train.mean(axis=0), full_matrices=False)
-                w = s / (s * s + alpha) * (u.T @ (t - t.mean()))
-                z = (test - train.mean(axis=0)) @ vt.T * w
-                scores.append([r2(y[fold == f], t.mean() + z[:, :d].sum(axis=1)) for d in valid])
-        mean = np.mean(scores, axis=0)
-        return pd.DataFrame([[*key, d, float(m), n] for d, m in zip(valid, mean, strict=True)], columns=[*keys, "dim", "r2", "n_samples"])
-
-    return rows.groupBy(*keys).applyInPandas(fit, f"{names}, dim int, r2 double, n_samples long")
+    placed, fitted = _fitted(rows, keys, k, repeats, False, least)
+    each = _by_fold(placed, fitted, linear.width_errors(dims, alpha)).withColumn("dim", F.element_at(F.array(*map(F.lit, dims)), F.col("k") + 1))
+    valid = each.filter(f"dim >= 1 and dim <= dimensions and dim < n_samples * {k - 1} div {k}")
+    out = valid.groupBy("group", "dim").agg(F.avg("r2").alias("r2"), F.max("n_samples").alias("n_samples"))
+    return linear.ungrouped(out, keys, rows)
 
 
 def gram(vectors: DataFrame, dim: int, vec: str = "vec") -> DataFrame:

@@ -41,10 +41,11 @@ def score(rows: DataFrame, make: Callable[[], Callable[[list[str], list[str]], l
 
 
 def summed(scored: DataFrame, lps: str = "token_log_probs") -> DataFrame:
-    """Totals of token log-probabilities: their sum, number and mean (0 without tokens)."""
+    """Totals of token log-probabilities: their sum, number and mean (0 without tokens); of a row that failed, null, 0 and null."""
     total = F.aggregate(lps, F.lit(0.0), lambda a, x: a + x)
-    n = F.coalesce(F.size(lps), F.lit(0))
-    return scored.withColumn("total_log_prob", total).withColumn("num_tokens", n).withColumn("normalized_log_prob", F.coalesce(F.try_divide(F.col("total_log_prob"), n), F.lit(0.0)))
+    n = F.when(F.col(lps).isNull(), 0).otherwise(F.size(lps))
+    mean = F.when(F.col(lps).isNotNull(), F.coalesce(F.try_divide(F.col("total_log_prob"), F.col("num_tokens")), F.lit(0.0)))
+    return scored.withColumn("total_log_prob", total).withColumn("num_tokens", n).withColumn("normalized_log_prob", mean)
 
 
 def generate(cues: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], samples: int = 100, prompt: str = "prompt") -> DataFrame:
@@ -100,7 +101,7 @@ def token_log_probs(logits: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def separator(piece: Column) -> Column:
     """Whether a token is only white space or a comma, which is not scored."""
-    return F.trim(piece).isin("", ",")
+    return F.regexp_replace(piece, r"\s", "").isin("", ",")
 
 
 def same_text(scored: Column, intended: Column) -> Column:

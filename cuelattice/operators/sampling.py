@@ -24,11 +24,33 @@ def sample_by_group(df: DataFrame, groups: list[str], keys: list[str], n: int, s
     return df.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= n).drop("__place")
 
 
+def _placed(df: DataFrame, groups: list[str], keys: list[str], repeats: int, seed: int | str) -> DataFrame:
+    """``df`` once for each repeat, with ``rep`` and ``place``, from 0 in md5 order in every (groups, rep).
+
+    Places come from ranges of that order over all rows and the first place of each group, so a group that holds most rows is
+    split like any other; nulls are groups, too.
+    """
+    many = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    by = [*groups, "rep"]
+    placed = written(dense_index(many.withColumn("__h", salted(*map(F.col, keys), F.col("rep"), seed=seed)), *by, "__h", *keys, name="__at"))
+    first = placed.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.min("__at").alias("__first"))
+    met = F.lit(True)
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return placed.join(first, met).select(*df.columns, "rep", (F.col("__at") - F.col("__first")).alias("place"))
+
+
 def folds(df: DataFrame, groups: list[str], keys: list[str], k: int = 5, repeats: int = 1, seed: int | str = 42) -> DataFrame:
     """``df`` once for each repeat, with ``rep`` and ``fold``: balanced within one row in every group."""
-    many = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = Window.partitionBy(*groups, "rep").orderBy(salted(*map(F.col, keys), F.col("rep"), seed=seed), *keys)
-    return many.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k)))
+    return _placed(df, groups, keys, repeats, seed).withColumn("fold", F.pmod("place", F.lit(k)).cast("int")).drop("place")
+
+
+def fold_table(df: DataFrame, groups: list[str], keys: list[str], k: int = 5, repeats: int = 1, seed: int | str = 42) -> DataFrame:
+    """(groups, keys, folds, place): the folds of ``folds`` as an array by repeat, and a row's place in its group; repeated keys count once."""
+    placed = _placed(df.select(*groups, *keys).distinct(), groups, keys, repeats, seed)
+    each = F.sort_array(F.collect_list(F.struct("rep", F.pmod("place", F.lit(k)).cast("int").alias("fold"), "place")))  # ``repeats`` entries
+    out = placed.groupBy(*groups, *keys).agg(each.alias("__e"))
+    return out.select(*groups, *keys, F.col("__e.fold").alias("folds"), F.col("__e")[0]["place"].alias("place"))
 
 
 def derange(df: DataFrame, id_col: str, cols: list[str], seed: int | str = 42) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelattice.functions import text as names
-from cuelattice.operators import assoc, embed, evaluate, ratings, sampling
+from cuelattice.operators import assoc, embed, evaluate, ratings
 from cuelattice.plans.session import written
 from cuelattice.sources import readers, sinks
 
@@ -96,7 +96,7 @@ def behavior(spark: SparkSession, cells: DataFrame, out: str, dims: DataFrame |
 def comparison(vectors: DataFrame, norms: DataFrame, preset: str = "compare", k: int = 5, repeats: int = 1, duplicates: str = "mean") -> DataFrame:
     """(embedding_key, model, embedding_type, norm, n_samples, dimensions, r2_mean, r2_std)."""
     rows = evaluate.aligned(vectors, evaluate.targets(norms, duplicates))
-    scores = evaluate.norm_scores(sampling.folds(rows, ["embedding_key", "norm"], ["word"], k, repeats), ["embedding_key", "norm"], preset)
+    scores = evaluate.norm_scores(rows, ["embedding_key", "norm"], preset, k, repeats)
     key = F.col("embedding_key")
     return scores.select("embedding_key", names.key_model(key).alias("model"), names.key_type(key).alias("embedding_type"), "norm", "n_samples", "dimensions", "r2_mean", "r2_std")
 

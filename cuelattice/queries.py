@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelattice.functions import stats
 from cuelattice.functions import text as tx
 from cuelattice.functions import vectors as vx
-from cuelattice.operators import assoc, embed, evaluate, infer, ratings, reports, sampling
+from cuelattice.operators import assoc, embed, evaluate, infer, inputs, ratings, reports, sampling
 from cuelattice.plans import pipeline
 from cuelattice.plans.session import written
 from cuelattice.sources import fixtures as fx
@@ -126,14 +127,6 @@ def q08(spark, sf):
     return infer.unfinished(fx.table(spark, sf, "customer").select("c_custkey", "c_name"), done, ["c_custkey"])
 
 
-#: Fixed list of names and keys for the naming rules.
-NAMES = [
-    "human_matrix", "passive_gemma-3-27-b-instruct", "passive_gemma-3-27-b-instruct_shuffled", "passive_qwen-3-32-b-instruct_contrast_300d", "passive_mistral-small-24-b_300d",
-    "active_gpt-oss-20-b", "activation_gemma-3-27b-instruct", "activation_qwen-3-32b-instruct", " Falcon3_10B-Base-results", "Llama 3.1 8B Instruct-deranged-results", "phi--4__mini", "rnj-1-8b", "x",
-]
-_NAMES_SQL = "SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]) AS raw"
-
-
 def _sub(x: str, *pairs: tuple[str, str]) -> str:
     for p, r in pairs:
         x = f"regexp_replace({x}, '{p}', '{r}', 'g')"
@@ -146,7 +139,8 @@ _DISPLAY = "regexp_replace(regexp_replace(raw, '-instruct|-base', '', 'g'), '^[-
 
 @query(
     "q09_model_name_rules",
-    f"""WITH names AS ({_NAMES_SQL}) SELECT raw,
+    fx.over("names")
+    + f"""SELECT raw,
     {_sub("lower(trim(replace(replace(raw, '-deranged-results', ''), '-results', '')))", ("[ _]", "-"), ("([a-z])([0-9])", r"\1-\2"), ("([0-9])([a-z])", r"\1-\2"), ("-{2,}", "-"))} AS normalized,
     replace({_sub("raw", ("^(passive_|activation_|active_)", ""))}, '-b-', 'b-') AS sweep_key,
     replace({_sub("raw", ("^(passive_|activation_|active_)", ""), ("_contrast|_shuffled|_300d", ""))}, '_', '-') AS bare_key,
@@ -161,7 +155,7 @@ _DISPLAY = "regexp_replace(regexp_replace(raw, '-instruct|-base', '', 'g'), '^[-
 )
 def q09(spark, sf):
     c = F.col("raw")
-    rows = spark.range(1).select(F.explode(F.lit(NAMES)).alias("raw"))
+    rows = fx.names_of_embeddings(spark, sf)
     return rows.select(
         c, tx.model_name(c).alias("normalized"), tx.sweep_name(c).alias("sweep_key"), tx.bare_name(c).alias("bare_key"), tx.size_name(c).alias("size_key"), tx.joined_name(c).alias("joined_key"),
         tx.safe_name(c).alias("file_name"), tx.key_model(c).alias("model"), tx.key_type(c).alias("embedding_type"), tx.display_name(c).alias("display"),
@@ -267,11 +261,12 @@ def q14(spark, sf):
 
 @query(
     "q14_target_dims",
-    f"WITH keys AS ({_NAMES_SQL}), named AS (SELECT raw, {_sub('raw', ('^(passive_|activation_|active_)', ''))} AS model FROM keys), dims AS (SELECT 'x' AS model, CAST(max(len(embedding)) AS INT) AS dim FROM embeddings) SELECT raw AS embedding_key, named.model AS model, CASE WHEN raw = 'human_matrix' THEN 300 ELSE coalesce(dim, 300) END AS target_dim FROM named LEFT JOIN dims USING (model)",
+    fx.over("names")
+    + f", keys AS (SELECT raw, {_sub('raw', ('^(passive_|activation_|active_)', ''))} AS model FROM names), dims AS (SELECT 'rnj-1-8b' AS model, CAST(max(len(embedding)) AS INT) AS dim FROM embeddings) SELECT raw AS embedding_key, keys.model AS model, CASE WHEN raw = 'human_matrix' THEN 300 ELSE coalesce(dim, 300) END AS target_dim FROM keys LEFT JOIN dims USING (model)",
 )
 def q14_dims(spark, sf):
-    keys = spark.range(1).select(F.explode(F.lit(NAMES)).alias("embedding_key")).withColumn("model", F.regexp_replace("embedding_key", "^(passive_|activation_|active_)", ""))
-    dims = vectors_view(spark, sf).select(F.lit("x").alias("model"), F.size("vec").alias("dim"))
+    keys = fx.names_of_embeddings(spark, sf).select(F.col("raw").alias("embedding_key"), F.regexp_replace("raw", "^(passive_|activation_|active_)", "").alias("model"))
+    dims = vectors_view(spark, sf).select(F.lit("rnj-1-8b").alias("model"), F.size("vec").alias("dim"))
     return embed.target_dims(keys, dims)
 
 
@@ -291,16 +286,32 @@ def q16(spark, sf):
     return vectors.select("cue", F.posexplode("vec").alias("component", "value"))
 
 
-_KEYS = {"beh": [n for n in NAMES if n.startswith("passive_") or n == "human_matrix"], "act": [n for n in NAMES if n.startswith("activation_")]}
+@query(
+    "q16_svd_identities",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT a.vec_id AS row_id, b.vec_id AS other_id, round(list_dot_product(a.v, b.v) + 14 * list_dot_product(a.v[1:16], b.v[1:16]) + list_sum(a.v[1:16]) * list_sum(b.v[1:16]), 6) + 0.0 AS product
+FROM e a JOIN e b ON b.vec_id BETWEEN a.vec_id AND a.vec_id + 4""",
+)
+def q16_identities(spark, sf):
+    """The matrix of vectors and the sums of every two of their first 16 components, decomposed by the range finder: U S**2 U' is its rows' products."""
+    v = vectors_view(spark, sf).select("cue", "vec")
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.transform(F.sequence(i + 1, F.lit(15)), lambda j: F.get("vec", i) + F.get("vec", j))))
+    cells = v.select("cue", F.posexplode(F.concat("vec", pairs)).alias("response", "ppmi"))
+    vectors, s = embed.truncated_svd(cells, 64, gram_side=0)
+    near = vectors.select(F.col("cue").alias("row_id"), F.col("vec").alias("a"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.col("cue") + k)).alias("other_id"))
+    met = near.join(vectors.select(F.col("cue").alias("other_id"), F.col("vec").alias("b")), "other_id")
+    terms = F.zip_with(F.zip_with("a", "b", lambda x, y: x * y), F.array(*map(F.lit, s)), lambda x, y: x * F.coalesce(y, F.lit(0.0)))
+    return met.select("row_id", "other_id", r6(F.aggregate(terms, F.lit(0.0), lambda t, x: t + x)).alias("product"))
 
 
 @query(
     "q17_model_overlap",
-    "WITH b AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in _KEYS["beh"]) + "]) AS k), a AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in _KEYS["act"]) + f"]) AS k), bb AS (SELECT k, replace({_sub('k', ('^(passive_|activation_|active_)', ''))}, '-b-', 'b-') AS c FROM b), aa AS (SELECT k, replace({_sub('k', ('^(passive_|activation_|active_)', ''))}, '-b-', 'b-') AS c FROM a) SELECT bb.c AS canonical, max(bb.k) AS behavior_key, max(aa.k) AS activation_key FROM bb JOIN aa ON bb.c = aa.c GROUP BY 1",
+    fx.over("names")
+    + f", k AS (SELECT raw AS k, replace({_sub('raw', ('^(passive_|activation_|active_)', ''))}, '-b-', 'b-') AS c FROM names) SELECT b.c AS canonical, max(b.k) AS behavior_key, max(a.k) AS activation_key FROM k b JOIN k a ON b.c = a.c WHERE starts_with(b.k, 'passive_') AND starts_with(a.k, 'activation_') GROUP BY 1",
 )
 def q17(spark, sf):
-    keys = lambda kind: spark.range(1).select(F.explode(F.lit(_KEYS[kind])).alias("embedding_key")).withColumn("canonical", tx.sweep_name(F.col("embedding_key")))
-    return evaluate.overlap(keys("beh"), keys("act"))
+    keys = fx.names_of_embeddings(spark, sf).select(F.col("raw").alias("embedding_key"), tx.sweep_name(F.col("raw")).alias("canonical"))
+    return evaluate.overlap(keys.filter(F.col("embedding_key").startswith("passive_")), keys.filter(F.col("embedding_key").startswith("activation_")))
 
 
 @query("q17_strict_overlap", "WITH s AS (SELECT DISTINCT c_mktsegment AS canonical FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 450000) SELECT c_custkey, c_mktsegment AS canonical FROM customer WHERE c_mktsegment IN (SELECT canonical FROM s)")
@@ -312,17 +323,27 @@ def q17_strict(spark, sf):
 
 #: Fixed mapping of embedding keys to files of model ratings.
 MAPPING = tx.OWN_RATING_FILES
+_MAPPED, _FILES = sorted(MAPPING), sorted(set(MAPPING.values()))
 
 
-@query("q17_mapping", "SELECT k AS embedding_key, f AS norm_file FROM (VALUES " + ", ".join(f"('{k}', '{f}')" for k, f in MAPPING.items()) + ") AS m(k, f) WHERE k IN (" + ", ".join(f"'{k}'" for k in NAMES) + ") AND f = 'gemma-3-27b-instruct'")
+@query(
+    "q17_mapping",
+    "WITH m(k, f) AS (VALUES " + ", ".join(f"('{k}', '{f}')" for k, f in MAPPING.items()) + f"), keys AS (SELECT DISTINCT {fx._pick_sql([*_MAPPED[::2], 'x'], 'p_partkey')} AS k FROM part), files AS (SELECT DISTINCT {fx._pick_sql([*_FILES[1:], 'y'], 's_suppkey')} AS f FROM supplier) SELECT k AS embedding_key, f AS norm_file FROM m JOIN keys USING (k) JOIN files USING (f)",
+)
 def q17_mapping(spark, sf):
-    keys = spark.range(1).select(F.explode(F.lit(NAMES)).alias("embedding_key"))
-    return evaluate.by_mapping(keys, spark.range(1).select(F.lit("gemma-3-27b-instruct").alias("norm_file")), MAPPING)
+    pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (F.col(c) % len(values) + 1).cast("int"))
+    keys = fx.table(spark, sf, "part").select(pick([*_MAPPED[::2], "x"], "p_partkey").alias("embedding_key"))
+    files = fx.table(spark, sf, "supplier").select(pick([*_FILES[1:], "y"], "s_suppkey").alias("norm_file"))
+    return evaluate.by_mapping(keys, files, MAPPING)
 
 
-@query("q09_model_order", f"WITH names AS ({_NAMES_SQL}) SELECT raw, row_number() OVER (ORDER BY CASE WHEN contains(lower(raw), 'instruct') THEN 0 ELSE 1 END, raw) - 1 AS place FROM names WHERE raw NOT IN ('x')")
+#: Fixed list of models that may be ordered.
+_LISTED = [f"{m}{x}{v}" for m in fx.MODALITIES for x in fx.MODELS for v in fx.VARIANTS[:3]]
+
+
+@query("q09_model_order", fx.over("names") + "SELECT raw, row_number() OVER (ORDER BY CASE WHEN contains(lower(raw), 'instruct') THEN 0 ELSE 1 END, raw) - 1 AS place FROM names WHERE raw IN (" + ", ".join(f"'{n}'" for n in _LISTED) + ")")
 def q09_order(spark, sf):
-    rows = spark.range(1).select(F.explode(F.lit(NAMES)).alias("raw")).filter(tx.allowed(F.col("raw"), [n for n in NAMES if n != "x"]))
+    rows = fx.names_of_embeddings(spark, sf).select("raw").filter(tx.allowed(F.col("raw"), _LISTED))
     return assoc.dense_index(rows.withColumn("later", F.when(tx.tuned(F.col("raw")), 0).otherwise(1)), "later", "raw", name="place").select("raw", "place")
 
 
@@ -338,9 +359,40 @@ def q18(spark, sf):
     return joined.groupBy("norm").agg(F.count(F.lit(1)).alias("n_overlap"), r6(F.avg("y")).alias("mean_target"), r6(F.sum("y_last")).alias("last_target"))
 
 
-def folded(spark, sf, k: int = 5, repeats: int = 1) -> DataFrame:
-    rows = evaluate.aligned(vectors_view(spark, sf), evaluate.targets(ratings_view(spark, sf)))
-    return sampling.folds(rows, ["embedding_key", "norm"], ["word"], k, repeats)
+def regression_rows(spark, sf) -> DataFrame:
+    return evaluate.aligned(vectors_view(spark, sf), evaluate.targets(ratings_view(spark, sf)))
+
+
+def plane(rows: DataFrame) -> DataFrame:
+    """Rows with the first two components of their vectors, for which regressions have closed forms."""
+    return rows.withColumn("vec", F.slice("vec", 1, 2))
+
+
+def _folds_sql(repeats: int = 1, where: str = "") -> str:
+    """Rows of the plane in their folds (r), and each (norm, repetition, fold) as a training set with its means (m)."""
+    return fx.over(
+        "rated",
+        t=f"SELECT norm, word, avg(rating) AS y FROM rated {where} GROUP BY ALL",
+        p="SELECT norm, word, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, y FROM t JOIN embeddings ON vec_id = word",
+        r=f"SELECT *, (row_number() OVER (PARTITION BY norm, rep ORDER BY md5(word || '|' || rep || '|42'), word) - 1) % 5 AS fold, count(*) OVER (PARTITION BY norm, rep) AS n_samples FROM p, (SELECT unnest(range({repeats})) AS rep)",
+        f="SELECT unnest(range(5)) AS f",
+        m="SELECT norm, rep, f, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2 FROM r, f WHERE fold <> f GROUP BY ALL",
+    )
+
+
+def _ridge_sql(preset: str, repeats: int = 1, where: str = "") -> str:
+    """(norm, rep, f, n_samples, r2) as table k: ridge regressions on the plane, each with the penalty of the least leave-one-out errors."""
+    alphas = ", ".join(repr(float(a)) for a in evaluate.ALPHAS[preset])
+    return (
+        _folds_sql(repeats, where)
+        + f""", z AS (SELECT r.norm, r.rep, f, fold <> f AS train, n, n_samples, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, y - my AS y FROM r JOIN m ON r.norm = m.norm AND r.rep = m.rep),
+g AS (SELECT norm, rep, f, sum(z1 * z1) AS a, sum(z1 * z2) AS b, sum(z2 * z2) AS c, sum(z1 * y) AS p, sum(z2 * y) AS q FROM z WHERE train GROUP BY ALL),
+w AS (SELECT *, (a + alpha) * (c + alpha) - b * b AS det FROM g, (SELECT unnest([{alphas}]) AS alpha)),
+e AS (SELECT norm, rep, f, alpha, train, n_samples, y, y - z1 * ((c + alpha) * p - b * q) / det - z2 * ((a + alpha) * q - b * p) / det AS off, 1 - 1 / n - (z1 * z1 * (c + alpha) - 2 * z1 * z2 * b + z2 * z2 * (a + alpha)) / det AS rest FROM z JOIN w USING (norm, rep, f)),
+s AS (SELECT norm, rep, f, alpha, max(n_samples) AS n_samples, sum((off / rest) * (off / rest)) FILTER (train) AS loo, 1 - sum(off * off) FILTER (NOT train) / (count(*) FILTER (NOT train) * var_pop(y) FILTER (NOT train)) AS r2 FROM e GROUP BY ALL),
+k AS (SELECT norm, rep, f, max(n_samples) AS n_samples, arg_min(r2, loo) AS r2 FROM s GROUP BY ALL)
+"""
+    )
 
 
 @query(
@@ -357,12 +409,59 @@ def q19(spark, sf):
     return evaluate.sweep(rows, ["embedding_key", "norm"]).select("embedding_key", "norm", "dim", r6("r2").alias("r2"), "n_samples")
 
 
+@query(
+    "q19_plane_sweep",
+    _folds_sql()
+    + """, g AS (SELECT norm, f, any_value(n) AS n, sum((x1 - m1) * (x1 - m1)) AS a, sum((x1 - m1) * (x2 - m2)) AS b, sum((x2 - m2) * (x2 - m2)) AS c, sum((x1 - m1) * (y - my)) AS p, sum((x2 - m2) * (y - my)) AS q FROM r JOIN m USING (norm, rep) WHERE fold <> f GROUP BY ALL),
+e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l1, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS l2 FROM g),
+v AS (SELECT norm, f, l1, l2, p, q, b / sqrt(b * b + (l1 - a) * (l1 - a)) AS u, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) AS w FROM e),
+o AS (SELECT norm, f, n_samples, y, my + ((x1 - m1) * u + (x2 - m2) * w) * (u * p + w * q) / (l1 + 1) AS one, ((x2 - m2) * u - (x1 - m1) * w) * (u * q - w * p) / (l2 + 1) AS more FROM r JOIN m USING (norm, rep) JOIN v USING (norm, f) WHERE fold = f),
+s AS (SELECT norm, f, dim, any_value(n_samples) AS n_samples, 1 - sum((y - one - (dim - 1) * more) * (y - one - (dim - 1) * more)) / (count(*) * var_pop(y)) AS r2 FROM o, (SELECT unnest([1, 2]) AS dim) GROUP BY ALL)
+SELECT 'emb' AS embedding_key, norm, CAST(dim AS INT) AS dim, round(avg(r2), 6) + 0.0 AS r2, max(n_samples) AS n_samples FROM s GROUP BY ALL""",
+)
+def q19_plane(spark, sf):
+    return evaluate.sweep(plane(regression_rows(spark, sf)), ["embedding_key", "norm"], (1, 2)).select("embedding_key", "norm", "dim", r6("r2").alias("r2"), "n_samples")
+
+
 @query("q20_ridge_cv_scores")
 def q20(spark, sf):
-    out = evaluate.norm_scores(folded(spark, sf), ["embedding_key", "norm"], "compare")
+    out = evaluate.norm_scores(regression_rows(spark, sf), ["embedding_key", "norm"], "compare")
     return out.select("embedding_key", "norm", "n_samples", "dimensions", r6("r2_mean").alias("r2_mean"), r6("r2_std").alias("r2_std"))
 
 
+@query(
+    "q20_plane_ridge_cv",
+    _ridge_sql("compare") + "SELECT 'emb' AS embedding_key, norm, max(n_samples) AS n_samples, CAST(2 AS INT) AS dimensions, round(avg(r2), 6) + 0.0 AS r2_mean, round(stddev_pop(r2), 6) + 0.0 AS r2_std FROM k GROUP BY norm",
+)
+def q20_plane(spark, sf):
+    out = evaluate.norm_scores(plane(regression_rows(spark, sf)), ["embedding_key", "norm"], "compare")
+    return out.select("embedding_key", "norm", "n_samples", "dimensions", r6("r2_mean").alias("r2_mean"), r6("r2_std").alias("r2_std"))
+
+
+@query(
+    "q20_self_scores",
+    _ridge_sql("self", 5, "WHERE model = 3") + "SELECT 'emb' AS embedding_source, '3' AS matched_norm_file, norm AS norm_name, round(avg(r2), 6) + 0.0 AS self_r2_mean, round(stddev_pop(r2), 6) + 0.0 AS self_r2_std, max(n_samples) AS n_samples FROM k GROUP BY norm HAVING max(n_samples) >= 50",
+)
+def q20_self(spark, sf):
+    own = ratings_view(spark, sf).withColumn("model", F.col("model").cast("string"))
+    out = evaluate.self_scores(plane(vectors_view(spark, sf)), own, {"emb": "3", "emb_of_none": "4"})
+    return out.withColumns({c: r6(c) for c in ("self_r2_mean", "self_r2_std")})
+
+
+@query(
+    "q20_paired_scores",
+    fx.over("rated", t="SELECT norm, word, avg(rating) AS y FROM rated GROUP BY ALL")
+    + "SELECT norm, count(*) AS n_samples FROM t JOIN embeddings ON vec_id = word WHERE vec_id % 7 <> 0 GROUP BY norm HAVING count(*) >= 50",
+)
+def q20_paired(spark, sf):
+    """Words of paired scores: those of vectors that are finite on both sides; the scores of equal vectors are equal."""
+    v = vectors_view(spark, sf).select("cue", "vec")
+    holes = F.when(F.col("cue") % 7 == 0, F.transform("vec", lambda x: F.lit(float("nan")))).otherwise(F.col("vec"))
+    behavior, activation = v.select(F.lit("passive_m-8-b-x").alias("embedding_key"), "cue", "vec"), v.select(F.lit("activation_m-8b-x").alias("embedding_key"), "cue", holes.alias("vec"))
+    out = evaluate.paired_scores(plane(behavior), plane(activation), evaluate.targets(ratings_view(spark, sf)))
+    return out.filter("delta = 0").select("norm", "n_samples")
+
+
 _LINE = "SELECT l_returnflag AS norm, l_linestatus AS status, l_quantity AS x, l_extendedprice AS y FROM lineitem"
 
 
@@ -524,6 +623,36 @@ def q28(spark, sf):
     return out.select("model", *(r6(c).alias(c) for c in ("median", "lower_quartile", "upper_quartile")), *(F.round(c, 4).alias(c) for c in ("mean", "ci_low", "ci_high")), "least", "most")
 
 
+_HEX = "(" + " + ".join(f"(strpos('0123456789abcdef', substr(h, 4 * r + {k + 1}, 1)) - 1) * {16 ** (3 - k)}" for k in range(4)) + ")"
+
+
+@query(
+    "q28_bootstrap_interval",
+    f"""WITH o AS (SELECT o_orderpriority AS model, o_totalprice AS x, md5(o_orderkey || '|' || c || '|42') AS h, c FROM orders, (SELECT unnest(range(8)) AS c)),
+w AS (SELECT model, c * 8 + r AS replicate, x, {" + ".join(f"CAST({_HEX} >= {t} AS INT)" for t in stats.poisson_steps())} AS w FROM o, (SELECT unnest(range(8)) AS r)),
+m AS (SELECT model, replicate, sum(w * x) / sum(w) AS m FROM w GROUP BY ALL),
+a AS (SELECT o_orderpriority AS model, avg(o_totalprice) AS mean FROM orders GROUP BY 1)
+SELECT model, round(any_value(mean), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS ci_low, round(quantile_cont(m, 0.975), 4) AS ci_high, count(m) AS n_replicates FROM m JOIN a USING (model) GROUP BY model""",
+)
+def q28_bootstrap(spark, sf):
+    rows = fx.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("model"), "o_totalprice", "o_orderkey")
+    out = reports.bootstrap(rows, ["model"], "o_totalprice", "o_orderkey", 64)
+    return out.select("model", *(F.round(c, 4).alias(c) for c in ("mean", "ci_low", "ci_high")), "n_replicates")
+
+
+@query(
+    "q28_density",
+    """WITH s AS (SELECT l_returnflag AS norm, min(l_extendedprice) AS low, max(l_extendedprice) AS high, stddev_pop(l_extendedprice) * pow(count(*), -0.2) AS h, count(*) AS n FROM lineitem GROUP BY 1),
+b AS (SELECT norm, CAST(least(floor((l_extendedprice - low) / ((high - low) / 64)), 63) AS BIGINT) AS bin, count(*) AS c FROM lineitem JOIN s ON l_returnflag = norm GROUP BY ALL),
+g AS (SELECT norm, unnest(range(64)) AS bin, low, (high - low) / 64 AS w, greatest(h, (high - low) / 64) AS h, n FROM s)
+SELECT g.norm, g.bin, round(any_value(low + (g.bin + 0.5) * w), 4) AS x, round(coalesce(sum(0.75 * c / (n * h) * (1 - (b.bin - g.bin) * (b.bin - g.bin) * (w / h) * (w / h))), 0) * 1e6, 6) + 0.0 AS density_millionths
+FROM g LEFT JOIN b ON b.norm = g.norm AND abs(b.bin - g.bin) <= floor(h / w) GROUP BY ALL""",
+)
+def q28_density(spark, sf):
+    rows = fx.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("norm"), "l_extendedprice")
+    return reports.density(rows, ["norm"], "l_extendedprice", 64).select("norm", "bin", F.round("x", 4).alias("x"), r6(F.col("density") * 1e6).alias("density_millionths"))
+
+
 @query("q28_histogram", "SELECT l_returnflag AS norm, CAST(floor(l_extendedprice / 5000) * 5000 AS BIGINT) AS bucket, count(*) AS n FROM lineitem GROUP BY ALL")
 def q28_histogram(spark, sf):
     rows = fx.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("norm"), "l_extendedprice")
@@ -593,6 +722,29 @@ def q32(spark, sf):
     return out.select("item", r6("t").alias("total_log_prob"), "num_tokens", r6(mean).alias("normalized_log_prob"))
 
 
+@query(
+    "q32_label_masks",
+    """WITH p AS (SELECT a.conv_id, a.turn, coalesce(b.text, '') AS asked, coalesce(a.text, '') AS answer FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'),
+f AS (SELECT conv_id, turn, 'User: ' || asked || chr(10) || 'Assistant:' || chr(10) || answer || chr(167) AS text, length(asked) + 18 AS start, length(asked) + length(answer) + 18 AS stop FROM p),
+t AS (SELECT conv_id, turn, start, stop, unnest(regexp_extract_all(text, ' ?[A-Za-z0-9]+|[^A-Za-z0-9]')) AS piece, generate_subscripts(regexp_extract_all(text, ' ?[A-Za-z0-9]+|[^A-Za-z0-9]'), 1) - 1 AS k FROM f),
+o AS (SELECT *, sum(length(piece)) OVER w AS b, sum(length(piece)) OVER w - length(piece) AS a, list_sum(list_transform(range(1, length(piece) + 1), lambda i: unicode(substring(piece, i, 1)))) AS id FROM t WINDOW w AS (PARTITION BY conv_id, turn ORDER BY k)),
+m AS (SELECT conv_id, turn, min(a) AS marker FROM o WHERE id = 167 AND a >= start GROUP BY ALL),
+s AS (SELECT conv_id, turn, k, id, a < least(stop, coalesce(marker, stop)) AND b > start AND NOT regexp_matches(piece, '^[ \t\n\r\f\v]*,?[ \t\n\r\f\v]*$') AS scored FROM o LEFT JOIN m USING (conv_id, turn))
+SELECT conv_id, turn, CAST(count(*) AS INT) AS n_tokens, CAST(count(*) FILTER (scored) AS INT) AS n_scored, CAST(coalesce(sum(id) FILTER (scored), 0) AS BIGINT) AS label_sum, CAST(coalesce(min(k) FILTER (scored), -1) AS INT) AS first_scored, CAST(coalesce(max(k) FILTER (scored), -1) AS INT) AS last_scored FROM s GROUP BY ALL""",
+)
+def q32_masks(spark, sf):
+    turns = fx.table(spark, sf, "conversations")
+    asked = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.coalesce("text", F.lit("")).alias("asked"))
+    pairs = turns.filter("role = 'assistant'").join(asked, ["conv_id", "turn"])
+    text, start, end = inputs.framed(F.col("asked"), F.coalesce("text", F.lit("")), "User: ", "\nAssistant:\n", chr(167))
+    rows = inputs.tokenised(pairs.select("conv_id", "turn", text.alias("text"), start.alias("start"), end.alias("end")), lambda: inputs.piecewise)
+    stop = inputs.answer_end(F.col("tokens"), F.col("start"), F.col("end"), ord(chr(167)))
+    marks = rows.select("conv_id", "turn", inputs.labels(F.col("tokens"), F.col("text"), F.col("start"), stop).alias("labels"))
+    places = F.filter(F.transform("labels", lambda x, i: F.when(x != inputs.IGNORED, i)), lambda i: i.isNotNull())
+    total = F.aggregate(F.filter("labels", lambda x: x != inputs.IGNORED), F.lit(0).cast("long"), lambda t, x: t + x)
+    return marks.select("conv_id", "turn", F.size("labels").alias("n_tokens"), F.size(places).alias("n_scored"), total.alias("label_sum"), F.coalesce(F.array_min(places), F.lit(-1)).alias("first_scored"), F.coalesce(F.array_max(places), F.lit(-1)).alias("last_scored"))
+
+
 @query(
     "q32_subsequence_search",
     r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),

@@ -68,6 +68,24 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return many.withColumn("logit", ((F.length("token") * (F.col("vocab_id") + 1)) % 7) - F.col("vocab_id") * 0.5).withColumn("actual", F.length("token") % 3)
 
 
+#: Models, modalities and variants that names of embeddings are put together from.
+MODELS = ["gemma-3-27-b-instruct", "gemma-3-27b-instruct", "qwen-3-32-b-instruct", "mistral-small-24-b-instruct", "gpt-oss-20-b", "Falcon3_10B-Base", "Llama 3.1 8B Instruct", "phi--4__mini", "rnj-1-8b"]
+MODALITIES = ["passive_", "activation_", "active_", ""]
+VARIANTS = ["", "_shuffled", "_contrast", "_300d", "_contrast_300d", "-results", "-deranged-results"]
+
+
+def names_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raw, n): names made from the parts: a modality, a model or the part's brand, a variant; and human_matrix."""
+    pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (c % len(values) + 1).cast("int"))
+    model = F.when(F.col("p_size") % 5 == 0, F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string"), F.lit("b"))).otherwise(pick(MODELS, F.col("p_partkey")))
+    raw = F.when(F.col("p_size") == 1, "human_matrix").otherwise(F.concat(pick(MODALITIES, F.col("p_size")), model, pick(VARIANTS, F.floor(F.col("p_partkey") / 9))))
+    return table(spark, sf_dir, "part").groupBy(raw.alias("raw")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pick_sql(values: list[str], at: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][CAST({at} % {len(values)} AS INT) + 1]"
+
+
 #: The same views for DuckDB.
 SQL = {
     "triplets": r"""SELECT doc_id * 1000000 + first // 4 AS id, w[first + 1] AS cue, w[first + 2] AS r1, w[first + 3] AS r2, w[first + 4] AS r3
@@ -84,6 +102,7 @@ SQL = {
     "logits": r"""SELECT item, pos, token, vocab_id, ((length(token) * (vocab_id + 1)) % 7) - vocab_id * 0.5::DOUBLE AS logit, length(token) % 3 AS actual
         FROM (SELECT item, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS token FROM (SELECT conv_id * 1000 + turn AS item, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM conversations)), (SELECT unnest([0, 1, 2]) AS vocab_id)""",
 }
+SQL["names"] = f"""SELECT CASE WHEN p_size = 1 THEN 'human_matrix' ELSE {_pick_sql(MODALITIES, 'p_size')} || CASE WHEN p_size % 5 = 0 THEN p_brand || ' ' || p_size || 'b' ELSE {_pick_sql(MODELS, 'p_partkey')} END || {_pick_sql(VARIANTS, '(p_partkey // 9)')} END AS raw, count(*) AS n FROM part GROUP BY 1"""
 _NEEDS = {"long": ["triplets"], "pairs": ["triplets", "long"], "rated": ["ratings"], "means": ["ratings", "rated"]}
 
 

@@ -77,3 +77,17 @@ def merge_shards(spark: SparkSession, paths: list[str], key: str, order: list[st
         part = spark.read.parquet(p).withColumn("__shard", F.lit(n))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     return keep_first(rows, [key], ["__shard", *order]).drop("__shard").orderBy(key)
+
+
+def append_csv(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Adds rows to a folder whose files, one after another in the order of their names, are one CSV: the header stands in the first only.
+
+    The header is written with the first rows; a run that fails before its end leaves none of its rows.
+    """
+    lines = df.select(F.to_csv(F.struct(*df.columns)).alias("value"))
+    batches = len(whole(spark, f"{path}/batch=*"))
+    if not batches:
+        lines_of_names = spark.createDataFrame([(",".join(f'"{c}"' if set(c) & set(',"\n') else c for c in df.columns),)], "value string")
+        lines_of_names.coalesce(1).write.mode("overwrite").text(f"{path}/batch=00000000")
+        batches = 1
+    lines.write.mode("overwrite").text(f"{path}/batch={batches:08}")

@@ -1,12 +1,14 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cuelattice.operators import assoc, embed, evaluate, infer, ratings, reports, sampling
+from cuelattice.functions import stats
+from cuelattice.operators import assoc, embed, evaluate, infer, linear, ratings, reports, sampling
 
 few = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -118,32 +120,94 @@ def test_svd_matches_numpy(spark, monkeypatch, n, m, side, block):
     assert none == [] and all(r["vec"] == [0, 0, 0, 0] for r in tiny.collect())
 
 
-def test_ridge_leave_one_out_is_exact():
-    rng = np.random.default_rng(0)
-    x, y = rng.normal(size=(30, 4)), rng.normal(size=30)
-    w, c, a = evaluate.ridge_loo(x, y, np.array([2.0]))
-    xc = x - x.mean(axis=0)
-    assert np.allclose(w, np.linalg.solve(xc.T @ xc + 2 * np.eye(4), xc.T @ (y - y.mean())))
-    errors = []
-    for k in range(30):
-        keep = np.arange(30) != k
-        m, b = x[keep].mean(axis=0), y[keep].mean()
-        v = np.linalg.solve((x[keep] - m).T @ (x[keep] - m) + 2 * np.eye(4), (x[keep] - m).T @ (y[keep] - b))
-        errors.append(y[k] - b - (x[k] - m) @ v)
-    u, s, _ = np.linalg.svd(xc, full_matrices=False)
-    d = s * s / (s * s + 2)
-    assert np.allclose((y - y.mean() - u @ (d * (u.T @ (y - y.mean())))) / (1 - 1 / 30 - (u * u) @ d), errors)
-
-
-def test_scores_find_a_linear_target(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(80, 3))
-    rows = spark.createDataFrame([("k", "n", f"w{i}", x[i].tolist(), float(x[i] @ [1, 2, 3])) for i in range(80)], "embedding_key string, norm string, word string, vec array<double>, y double")
-    folds = sampling.folds(rows, ["embedding_key", "norm"], ["word"])
-    got = evaluate.norm_scores(folds, ["embedding_key", "norm"]).first()
-    assert got["n_samples"] == 80 and got["dimensions"] == 3 and got["r2_mean"] > 0.999
-    assert evaluate.norm_scores(folds.filter("fold < 1"), ["embedding_key", "norm"]).count() == 0
-    assert {r["dim"]: r["r2"] > 0.9 for r in evaluate.sweep(folds, ["embedding_key", "norm"], (1, 3, 64)).collect()}[3]
+def test_svd_by_range_finder(spark):
+    rng = np.random.default_rng(5)
+    n, m, rank = 4200, 1100, 6  # more lines than a block has, and a smaller side beyond that of the Gram matrix
+    left, right = rng.normal(size=(n, rank)) * (rng.random((n, 1)) < 0.1), rng.normal(size=(rank, m)) * (rng.random(m) < 0.1)
+    x = left @ right
+    x[np.arange(n), np.arange(n) % m] += np.where(np.abs(x[np.arange(n), np.arange(n) % m]) < 1e-9, 1e-3, 0)  # every line and place has a cell
+    i, j = np.nonzero(np.abs(x) > 1e-9)
+    cells = spark.createDataFrame(pd.DataFrame({"cue": i, "response": j, "ppmi": x[i, j]}))
+    got, s = embed.truncated_svd(cells, rank)
+    rows = {r["cue"]: r["vec"] for r in got.collect()}
+    u, sigma, _ = np.linalg.svd(x, full_matrices=False)
+    want = u[:, :rank] * np.sqrt(sigma[:rank])
+    want *= np.sign(want[np.abs(want).argmax(axis=0), range(rank)])
+    assert np.allclose(s, sigma[:rank], rtol=1e-9) and len(rows) == n
+    assert np.allclose(np.array([rows[k] for k in range(n)]), want, atol=1e-6)
+
+
+def plain_fold_scores(x, y, fold, alphas, dims):
+    """R2 by fold: of ridge on standardised columns with the penalty of the best leave-one-out errors, and by number of components."""
+    ridge, widths = [], []
+    r2 = lambda y, p: 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    for f in np.unique(fold):
+        a, b, t, u = x[fold != f], x[fold == f], y[fold != f], y[fold == f]
+        std = np.where(a.std(axis=0) > 1e-12 * np.abs(a.mean(axis=0)), a.std(axis=0), 1)  # what is left of a constant by rounding is no deviation
+        za, zb = (a - a.mean(axis=0)) / std, (b - a.mean(axis=0)) / std
+        errors = []
+        for alpha in alphas:
+            hat = za @ np.linalg.inv(za.T @ za + alpha * np.eye(x.shape[1])) @ za.T
+            errors.append((((t - t.mean() - hat @ (t - t.mean())) / (1 - 1 / len(t) - np.diag(hat))) ** 2).sum())
+        w = np.linalg.solve(za.T @ za + alphas[int(np.argmin(errors))] * np.eye(x.shape[1]), za.T @ (t - t.mean()))
+        ridge.append(r2(u, t.mean() + zb @ w))
+        left, s, vt = np.linalg.svd(a - a.mean(axis=0), full_matrices=False)
+        z = (b - a.mean(axis=0)) @ vt.T * (s / (s * s + 1) * (left.T @ (t - t.mean())))
+        widths.append([r2(u, t.mean() + z[:, :d].sum(axis=1)) for d in dims])
+    return ridge, np.array(widths)
+
+
+def scored_rows(spark, groups, d, seed=1):
+    rng = np.random.default_rng(seed)
+    data = {}
+    for g, n in groups.items():
+        x = rng.normal(size=(n, d)) * rng.uniform(0.1, 3, d) + rng.normal(size=d) * 5
+        x[:, -1] = 0.1  # a constant column
+        data[g] = (x, x @ rng.normal(size=d) + rng.normal(size=n) * 2 + 100)
+    rows = [("k", g, f"w{i:03}", x[i].tolist(), float(y[i])) for g, (x, y) in data.items() for i in range(len(y))]
+    return data, spark.createDataFrame(rows, "embedding_key string, norm string, word string, vec array<double>, y double")
+
+
+@pytest.mark.parametrize("chunk", [65536, 7])
+def test_scores_equal_those_of_plain_regressions(spark, monkeypatch, chunk):
+    monkeypatch.setattr(linear, "CHUNK", chunk)
+    monkeypatch.setattr(linear, "MERGED", 3)
+    keys, dims = ["embedding_key", "norm"], (1, 3, 6, 64)
+    data, rows = scored_rows(spark, {"a": 120, "b": 57, "few": 30}, 6)
+    ridge = {r["norm"]: r for r in evaluate.norm_scores(rows, keys, repeats=2).collect()}
+    widths = {(r["norm"], r["dim"]): r["r2"] for r in evaluate.sweep(rows, keys, dims, repeats=2).collect()}
+    assert set(ridge) == {"a", "b"} and {g for g, _ in widths} == {"a", "b"} and {d for _, d in widths} == {1, 3, 6}
+    folds = sampling.fold_table(rows, keys, ["word"], 5, 2).toPandas().sort_values("word")
+    for g in ridge:
+        x, y = data[g]
+        fold = np.stack(folds[folds["norm"] == g]["folds"])
+        want = [plain_fold_scores(x, y, fold[:, rep], evaluate.ALPHAS["compare"], dims[:3]) for rep in range(2)]
+        one = np.concatenate([w[0] for w in want])
+        assert np.allclose([ridge[g]["r2_mean"], ridge[g]["r2_std"]], [one.mean(), one.std()], atol=1e-9, rtol=0)
+        assert (ridge[g]["n_samples"], ridge[g]["dimensions"]) == (len(y), 6)
+        assert np.allclose([widths[g, d] for d in dims[:3]], np.concatenate([w[1] for w in want]).mean(axis=0), atol=1e-9, rtol=0)
+
+
+def test_regressions_on_no_rows_and_on_a_constant(spark):
+    _, rows = scored_rows(spark, {"a": 60}, 3)
+    assert evaluate.norm_scores(rows.limit(0), ["norm"]).count() == 0
+    flat = evaluate.norm_scores(rows.withColumn("y", F.lit(2.0)), ["norm"]).first()
+    assert (flat["r2_mean"], flat["r2_std"]) == (1.0, 0.0)
+
+
+def test_folds_of_a_hot_group_are_split(spark):
+    rows = spark.createDataFrame([(None if i % 5 else "b", i) for i in range(500)], "g string, i int")
+    out = sampling.folds(rows, ["g"], ["i"], 4, 2)
+    assert out.columns == ["g", "i", "rep", "fold"] and "partitionBy(g" not in out._jdf.queryExecution().toString()
+    sizes = {(r["g"], r["rep"], r["fold"]): r["count"] for r in out.groupBy("g", "rep", "fold").count().collect()}
+    assert {n for (g, *_), n in sizes.items() if g is None} == {100} and {n for (g, *_), n in sizes.items() if g == "b"} == {25}
+    table = {(r["g"], r["i"]): r["folds"] for r in sampling.fold_table(rows, ["g"], ["i"], 4, 2).collect()}
+    assert all(table[r["g"], r["i"]][r["rep"]] == r["fold"] for r in out.collect())
+
+
+def test_gram(spark):
+    data, rows = scored_rows(spark, {"a": 80}, 3)
+    x = data["a"][0]
     gram = {(r["i"], r["j"]): r["value"] for r in evaluate.gram(rows, 3).collect()}
     assert np.allclose([gram[0, 1], gram[2, 2]], [(x.T @ x)[0, 1], (x.T @ x)[2, 2]])
 
@@ -195,3 +259,70 @@ def test_word_vectors_are_pooled_over_their_span(spark):
     take = lambda **k: {r["word"]: r["vec"] for r in infer.embed(words, make, **k).collect()}
     assert take(template="a {word}.") == {"sun": [3.0], "sea": [3.0]}
     assert take(template="a {word}.", how="last")["sun"] == [4.0] and take(template="none")["sun"] is None
+
+
+def spread_values(spark, seed=0):
+    rng = np.random.default_rng(seed)
+    data = {"even": rng.random(5000) * 100, "far": np.concatenate([rng.normal(size=3000), [1e300, -1e300, 1e-300]]), "same": np.full(3000, 2.5), "few": np.array([3.0, 1.0, 2.0]), "one": np.array([7.0]), "ties": rng.integers(0, 3, 4000).astype(float)}
+    rows = [(g, k, float(x)) for g, v in data.items() for k, x in enumerate(v)] + [("even", -1, None), ("even", -2, float("nan")), (None, 1, 4.0), (None, 2, 6.0)]
+    return data, spark.createDataFrame(rows, "g string, k int, x double")
+
+
+def test_quantiles_are_exact(spark):
+    data, rows = spread_values(spark)
+    probabilities = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {(r["g"], r["p"]): r["quantile"] for r in reports.quantiles(rows, ["g"], "x", probabilities).collect()}
+    assert len(got) == 7 * 5 and got[None, 0.5] == 5.0
+    for g, v in data.items():
+        assert np.allclose([got[g, p] for p in probabilities], np.quantile(v, probabilities), rtol=1e-12), g
+    assert reports.quantiles(rows.limit(0), ["g"], "x", (0.5,)).count() == 0
+    sketch = {r["g"]: r["median"] for r in reports.distribution(rows.filter("g in ('even', 'ties')"), ["g"], "x", 100).collect()}
+    ranks = np.searchsorted(np.sort(data["even"]), sketch["even"]) / 5000
+    assert abs(ranks - 0.5) <= 0.01 + 1e-3
+
+
+def test_bootstrap_interval_covers_like_the_normal_one(spark):
+    rng = np.random.default_rng(3)
+    x = rng.exponential(10, 2000)
+    rows = spark.createDataFrame([("a", k, float(v)) for k, v in enumerate(x)] + [("one", 0, 5.0), ("none", 0, None)], "g string, k int, x double")
+    got = {r["g"]: r for r in reports.bootstrap(rows, ["g"], "x", "k", 200).collect()}
+    half = 1.96 * x.std() / np.sqrt(len(x))
+    assert abs(got["a"]["mean"] - x.mean()) < 1e-9 and got["a"]["n_replicates"] == 200
+    assert abs(got["a"]["ci_low"] - (x.mean() - half)) < 0.25 * half and abs(got["a"]["ci_high"] - (x.mean() + half)) < 0.25 * half
+    assert got["one"]["ci_low"] == got["one"]["ci_high"] == 5.0 and 90 < got["one"]["n_replicates"] < 160 and "none" not in got
+    again = {r["g"]: r["ci_low"] for r in reports.bootstrap(rows.repartition(7), ["g"], "x", "k", 200).collect()}
+    assert abs(again["a"] - got["a"]["ci_low"]) < 1e-9
+
+
+def test_poisson_weights():
+    steps = stats.poisson_steps()
+    share = np.diff([0, *steps]) / 65536
+    assert np.allclose(share[:5], [np.exp(-1) / math.factorial(k) for k in range(5)], atol=1e-4) and steps == sorted(steps)
+
+
+def test_density_is_that_of_the_kernel(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, 1500), rng.normal(6, 0.5, 500)])
+    rows = spark.createDataFrame([("a", float(v)) for v in x] + [("flat", 1.0)] * 3 + [("a", None)], "g string, x double")
+    got = sorted((r["bin"], r["x"], r["density"]) for r in reports.density(rows, ["g"], "x", 128).collect())
+    assert len(got) == 128 and all(d >= -1e-12 for *_, d in got)
+    w = (x.max() - x.min()) / 128
+    h = max(x.std() * len(x) ** -0.2, w)
+    own = np.minimum(np.floor((x - x.min()) / w), 127)
+    at = np.arange(128)
+    k = 1 - ((at[:, None] - own[None, :]) * w / h) ** 2
+    k[np.abs(at[:, None] - own[None, :]) > np.floor(h / w)] = 0
+    assert np.allclose([d for *_, d in got], 0.75 * k.sum(axis=1) / (len(x) * h), atol=1e-12)
+    assert abs(sum(d for *_, d in got) * w - 1) < 0.02
+
+
+def test_paired_scores_use_the_same_words(spark):
+    _, rows = scored_rows(spark, {"a": 90}, 3)
+    v = rows.select("word", "vec")
+    key = lambda name, df: df.select(F.lit(name).alias("embedding_key"), F.col("word").alias("cue"), "vec")
+    behavior = key("passive_m-1b", v).unionByName(key("passive_m-1b_shuffled", v)).unionByName(key("human_matrix", v)).unionByName(key("passive_other", v))
+    hole = F.when(F.col("word") < "w010", F.array(F.lit(float("nan")))).otherwise(F.transform("vec", lambda x: -x))
+    activation = key("activation_m-1b", v.select("word", hole.alias("vec")))
+    (r,) = evaluate.paired_scores(behavior, activation, rows.select("norm", "word", "y")).collect()
+    assert (r["model"], r["norm"], r["n_samples"]) == ("M 1b", "a", 80) and abs(r["delta"]) < 1e-9
+    assert evaluate.paired_scores(behavior, activation, rows.select("norm", "word", "y"), most=40).count() == 0

@@ -6,7 +6,7 @@ import pytest
 
 from cuelattice.queries import QUERIES
 
-FITTED = {"q16_svd_embedding", "q19_dimension_sweep", "q20_ridge_cv_scores", "q20_gram_matrix"}
+FITTED = {"q16_svd_embedding", "q16_svd_identities", "q19_dimension_sweep", "q19_plane_sweep", "q20_ridge_cv_scores", "q20_plane_ridge_cv", "q20_self_scores", "q20_paired_scores", "q20_gram_matrix", "q32_label_masks"}
 
 
 def plan(df):
