@@ -2,14 +2,19 @@
 
 For each credential format the labelled strings make a prefix tree with counts; states whose end and continuation
 frequencies are statistically compatible (Hoeffding bounds, checked down the tree) are merged until none are left to merge.
-The result is a deterministic automaton with probabilities. Another automaton is inferred from ordinary strings. Every
-candidate, which is a run of at least ``LEAST_RUN`` symbols, and every part of it after a sign or at a format's prefix, is scored
-by the best format's log likelihood less the ordinary one; from ``EVIDENCE`` nats on it is a secret of its own kind. A symbol
-that an automaton has not seen at a place costs its floor. A part that begins inside a run is followed for ``FAR`` symbols at
-most from a prefix and for ``NEAR`` otherwise, which is far beyond any format; runs as a whole are scored whatever their length.
+Formats of a fixed length merge states of one depth only, so that their automata know the length; the others may form loops.
+Another automaton is inferred from ordinary strings. A candidate is a part of a run of at least ``LEAST_RUN`` symbols: from a format's prefix
+on, or, for a format without one, the symbols before a sign or the run's end. Its evidence is the format's log likelihood less the ordinary one;
+from ``EVIDENCE`` nats on it is a secret of its own kind. A symbol that an automaton has not seen at a place costs its floor.
+
+A candidate of fixed length is walked once. Candidates of a looping format are walked together: of those that are in the same states at
+the same place only the best goes on, as the others can never pass it. So the time is linear in the text, whatever its runs hold,
+and no run or candidate has a limit. A candidate without a prefix that is a piece of a longer random string, such as a digest, is none: what is
+beside it, ``BESIDE`` symbols on either side up to a sign, must be ordinary.
 
 The labelled strings are made by rule from publicly documented formats with a fixed seed, so that the model does not depend
-on the corpus. Base spans always stay; a scored span is added only where it meets none of them.
+on the corpus. Base spans always stay; a scored span is added only where it meets none of them. Lower-case hexadecimal strings are left to the base
+pattern.
 
 Defined results: a null text counts as empty and has no span; offsets are code points with exclusive ends; repeated rows
 give repeated results; an empty table gives an empty result. Nothing shuffles, and a text is never cut.
@@ -23,10 +28,12 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 from itertools import islice, takewhile
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,12 +73,18 @@ FORMATS = {
     "base64_40": ((_LETTERS + "+/", 40),),
     "hex": ((_HEX, 40),),
 }
+#: Formats whose parts may be of other lengths than the examples'.
+LOOPING = frozenset(("jwt",))
 
 
 class Automaton:
-    """A deterministic probabilistic automaton: for each state its transitions, their counts and the count of ends."""
+    """A deterministic probabilistic automaton: for each state its transitions, their counts and the count of ends.
+
+    With ``level`` only states of one depth are merged: there are no loops, and an unseen symbol goes on to the usual next state.
+    """
 
-    def __init__(self, strings: list[str], alpha: float = ALPHA):
+    def __init__(self, strings: list[str], alpha: float = ALPHA, level: bool = False):
+        self.level, self.depth = level, [0]
         self.next: list[dict[str, int]] = [{}]
         self.count: list[Counter] = [Counter()]
         self.ends: list[int] = [0]
@@ -89,6 +102,7 @@ class Automaton:
             if to is None:
                 to = self.next[at][c] = len(self.next)
                 self.next.append({})
+                self.depth.append(self.depth[at] + 1)
                 self.count.append(Counter())
                 self.ends.append(0)
                 self.seen.append(0)
@@ -130,6 +144,7 @@ class Automaton:
 
     def _infer(self) -> None:
         settled, known = [0], {0}
+        rivals: dict[int, list[int]] = {0: settled}  # the settled states that one may be merged with, by depth
         edge = [(0, c) for c in self.next[0]]
         heapq.heapify(edge)
         while edge:
@@ -137,37 +152,41 @@ class Automaton:
             b = self.next[at][c]
             if b in known:
                 continue
-            for a in settled:
+            for a in rivals.setdefault(self.depth[b], []) if self.level else settled:
                 if self._compatible(a, b):
                     self.next[at][c] = a
                     grown = self._fold(a, b) & known
                     break
             else:
                 settled.append(b)
+                if self.level:
+                    rivals[self.depth[b]].append(b)
                 known.add(b)
                 grown = {b}
             for s in grown:
                 for c, to in self.next[s].items():
                     if to not in known:
                         heapq.heappush(edge, (s, c))
+        settled = sorted(known)
         order = {s: k for k, s in enumerate(settled)}
         self.next = [{c: order[to] for c, to in self.next[s].items()} for s in settled]
         self.count, self.ends, self.seen = ([x[s] for s in settled] for x in (self.count, self.ends, self.seen))
 
-    def steps(self) -> tuple[list[dict[str, tuple[float, int]]], list[float]]:
-        """Per state: (log probability, next state) of each symbol, and the log probability of an end."""
+    def steps(self) -> tuple[list[dict[str, tuple[float, int]]], list[int], list[float]]:
+        """Per state: (log probability, next state) of each symbol, the state behind an unseen one, and the log probability of an end."""
         if not hasattr(self, "_steps"):
             rooms = [n + SMOOTH * (len(SYMBOLS) + 1) for n in self.seen]
             moves = [{c: (math.log((self.count[s][c] + SMOOTH) / rooms[s]), to) for c, to in self.next[s].items()} for s in range(len(self.next))]
-            self._steps = moves, [math.log((e + SMOOTH) / r) for e, r in zip(self.ends, rooms, strict=True)]
+            usual = [self.next[s][max(sorted(n), key=n.get)] if self.level and (n := self.count[s]) else s for s in range(len(self.next))]
+            self._steps = moves, usual, [math.log((e + SMOOTH) / r) for e, r in zip(self.ends, rooms, strict=True)]
         return self._steps
 
     def log_likelihood(self, s: str) -> float:
-        """Log probability; a symbol without a transition costs FLOOR and stays."""
-        moves, ends = self.steps()
+        """Log probability; a symbol without a transition costs FLOOR."""
+        moves, usual, ends = self.steps()
         at, total = 0, 0.0
         for c in s:
-            p, at = moves[at].get(c, (FLOOR, at))
+            p, at = moves[at].get(c) or (FLOOR, usual[at])
             total += p
         return total + ends[at]
 
@@ -209,7 +228,7 @@ def ordinary(n: int, chance: random.Random) -> list[str]:
 def models(examples: int = EXAMPLES, seed: int = SEED) -> tuple[dict[str, Automaton], Automaton]:
     """(automaton by format, automaton of ordinary strings) of labelled strings made with ``seed``."""
     chance = random.Random(seed)
-    return {k: Automaton([example(p, chance) for _ in range(examples)]) for k, p in FORMATS.items()}, Automaton(ordinary(ORDINARY * examples, chance))
+    return {k: Automaton([example(p, chance) for _ in range(examples)], level=k not in LOOPING) for k, p in FORMATS.items()}, Automaton(ordinary(ORDINARY * examples, chance))
 
 
 def kind_of(c: str) -> int:
@@ -227,7 +246,7 @@ def ordinary_step(move: tuple[float, int] | None, at: int, before: str, c: str)
 
 
 def ordinary_likelihood(token: str, plain: Automaton) -> float:
-    (moves, ends), at, total = plain.steps(), 0, 0.0
+    (moves, _, ends), at, total = plain.steps(), 0, 0.0
     for k, c in enumerate(token):
         p, at = ordinary_step(moves[at].get(c), at, token[max(0, k - 2) : k], c)
         total += p
@@ -253,48 +272,168 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 SIGNS = frozenset("+/_.=-")
-#: Formats by prefix, and those without one, which may begin after any sign.
+#: Signs that a format without a prefix holds; those that random strings of any alphabet hold.
+HELD, INNER = frozenset("+/"), frozenset("+/-_")
+#: Formats by prefix; those without one that are looked for; lengths of those that have one length.
 PREFIXES = {k: p[0] for k, p in FORMATS.items() if isinstance(p[0], str)}
-#: Symbols that a walk from inside a run goes on for, with and without a prefix, and unseen symbols after which it ends.
-FAR, NEAR, UNSEEN = 8192, 256, 2
+UNMARKED = ("base64_40",)
+LENGTHS = {k: sum(len(p) if isinstance(p, str) else p[1] for p in parts) for k, parts in FORMATS.items() if k not in LOOPING}
+#: Symbols beside a candidate without a prefix that are looked at, how many letters glued to it may be a word, and the nats by which a word is one.
+BESIDE, WORD, MARGIN = 32, 4, 4.0
+#: Candidates of one run from which on they are walked side by side.
+MANY = 8
 #: Candidates up to this length are remembered with their scores, so many of them.
 SHORT, REMEMBERED = 48, 100_000
 
 
-def walk(text: str, a: int, b: int, automaton: Automaton, known) -> tuple[float, int]:
-    """(evidence, end) of the best string of one format from ``a`` on that ends before a sign or at ``b``."""
-    (moves, ends), (plain, plain_ends) = automaton.steps(), known[1].steps()
-    at, other, total, unseen, best = 0, 0, 0.0, 0, (-math.inf, a)
-    for i in range(a, b + 1):
-        if i - a >= LEAST_RUN and (i == b or (text[i] in SIGNS and text[i - 1] not in SIGNS)):
-            best = max(best, (total + ends[at] - plain_ends[other], i))
-        if i == b:
-            break
-        step = moves[at].get(text[i])
-        unseen += step is None
-        if unseen > UNSEEN:
-            break
-        p, at = step or (FLOOR, at)
-        q, other = ordinary_step(plain[other].get(text[i]), other, text[max(a, i - 2) : i], text[i])
+def fixed_evidence(token: str, a: int, name: str, known) -> float:
+    """Evidence of the string of a format's length from ``a`` on."""
+    (moves, usual, ends), (plain, _, plain_ends) = known[0][name].steps(), known[1].steps()
+    at, other, total = 0, 0, 0.0
+    for i in range(a, a + LENGTHS[name]):
+        c = token[i]
+        p, at = moves[at].get(c) or (FLOOR, usual[at])
+        q, other = ordinary_step(plain[other].get(c), other, token[max(0, i - 2) : i], c)
         total += p - q
-    return best
+    return total + ends[at] - plain_ends[other]
+
+
+@lru_cache(maxsize=32)
+def _tables(automaton: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log probabilities, next states) by state and symbol code, and log probabilities of ends; an unseen symbol costs FLOOR."""
+    moves, usual, ends = automaton.steps()
+    costs, to = np.full((len(moves), 128), FLOOR), np.repeat(np.array(usual)[:, None], 128, axis=1)
+    for s, own in enumerate(moves):
+        for c, (p, t) in own.items():
+            costs[s, ord(c)], to[s, ord(c)] = p, t
+    return costs, to, np.array(ends)
+
+
+def fixed_evidences(token: str, starts: list[int], name: str, known) -> list[float]:
+    """``fixed_evidence`` of many starts, walked side by side."""
+    if len(starts) < MANY:
+        return [fixed_evidence(token, a, name, known) for a in starts]
+    codes = np.frombuffer(token.encode(), np.uint8)
+    kinds = np.array([KINDS_OF[c] for c in map(chr, range(128)) if c in KINDS_OF])
+    kind_by_code = np.zeros(128, np.int8)
+    kind_by_code[[ord(c) for c in map(chr, range(128)) if c in KINDS_OF]] = kinds
+    kind = kind_by_code[codes]
+    alike = np.zeros(len(codes), bool)
+    alike[2:] = (kind[2:] == kind[1:-1]) & (kind[2:] == kind[:-2])
+    (costs, to, ends), (plain, plain_to, plain_ends) = _tables(known[0][name]), _tables(known[1])
+    at = np.array(starts)
+    state, other, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at))
+    for k in range(LENGTHS[name]):
+        c = codes[at + k]
+        q = plain[other, c]
+        total += costs[state, c] - np.where(alike[at + k], np.maximum(q, BACK_OFF), q)
+        state, other = to[state, c], plain_to[other, c]
+    return (total + ends[state] - plain_ends[other]).tolist()
+
+
+def is_word(part: str, plain: Automaton) -> bool:
+    """Whether symbols are likelier in an ordinary string than drawn evenly, by MARGIN at least."""
+    moves, at, total = plain.steps()[0], 0, 0.0
+    for k, c in enumerate(part):
+        p, at = ordinary_step(moves[at].get(c), at, part[max(0, k - 2) : k], c)
+        total += p
+    return total > MARGIN - len(part) * math.log(64)
+
+
+def alone(token: str, a: int, b: int, plain: Automaton) -> bool:
+    """Whether token[a:b] is no piece of a longer random string, by what is beside it: nothing, a sign that such strings lack, or a word."""
+    hard = SIGNS - INNER
+    k = a
+    while k > max(0, a - BESIDE) and token[k - 1] not in hard:
+        k -= 1
+    if a - k > 2 or (k < a and token[a - 1] not in SIGNS):
+        glued = token[max(k, a - WORD) : a]
+        if (token[a - 1] not in SIGNS and (len(glued) < WORD or not SIGNS.isdisjoint(glued))) or not is_word(token[k:a], plain):
+            return False
+    k = b
+    while k < min(len(token), b + BESIDE) and token[k] not in hard:
+        k += 1
+    return k - b <= 2 or is_word(token[b:k], plain)
+
+
+def looping_spans(token: str, end: int, name: str, known) -> list[tuple[float, int, int]]:
+    """(evidence, start, end) of the best string of a looping format at each end, all starts walked at once."""
+    prefix = PREFIXES[name]
+    (moves, usual, ends), (plain, _, plain_ends) = known[0][name].steps(), known[1].steps()
+    found, live = [], {}  # live: (state, ordinary state) -> (evidence, -start)
+    i = token.find(prefix, 0, end)
+    while 0 <= i <= end:
+        if live and (i == end or (token[i] in SIGNS and token[i - 1] not in SIGNS)):
+            score, start = max((total + ends[at] - plain_ends[other], start) for (at, other), (total, start) in live.items())
+            if score >= EVIDENCE and i + start >= LEAST_RUN:
+                found.append((score, -start, i))
+        if i == end:
+            break
+        if token.startswith(prefix, i) and (not i or token[i - 1] in SIGNS):  # within letters it is a part of something else
+            live[0, 0] = max(live.get((0, 0), (0.0, -i)), (0.0, -i))
+        c, before, after = token[i], token[max(0, i - 2) : i], {}
+        for (at, other), (total, start) in live.items():
+            p, at = moves[at].get(c) or (FLOOR, usual[at])
+            q, other = ordinary_step(plain[other].get(c), other, before, c)
+            new = (total + p - q, start)
+            if (at, other) not in after or after[at, other] < new:
+                after[at, other] = new
+        live = after
+        i += 1
+    return found
 
 
 def scored_spans(token: str, known) -> list[tuple[bool, float, int, int]]:
-    """(no prefix, -evidence, start, end) of the parts of a run that score as credentials, best first: whole, at prefixes, after signs."""
+    """(no prefix, -evidence, start, end) of the parts of a run that score as credentials, best first."""
     end = len(token.rstrip(".-_/=+"))  # closing signs belong to the sentence
-    found = [(evidence(token[:end], known), 0, end, False)]
-    for prefix in PREFIXES.values():
-        at = token.find(prefix, 0, end)
-        while at >= 0:  # merged automata of other formats may fit a credential better, as for a whole run
-            score, stop = max(walk(token, at, min(end, at + FAR), known[0][name], known) for name in FORMATS)
-            found.append((score, at, stop, True))
-            at = token.find(prefix, at + 1, end)
-    for at in [i for i in range(end) if i == 0 or (token[i - 1] in SIGNS and token[i] not in SIGNS)]:
-        for name in FORMATS.keys() - PREFIXES.keys():
-            score, stop = walk(token, at, min(end, at + NEAR), known[0][name], known)
-            found.append((score, at, stop, False))
-    return sorted((not named, -score, a, b) for score, a, b, named in found if score >= EVIDENCE)
+    found, n = [], len(token)
+    for name, prefix in PREFIXES.items():
+        if name in LOOPING:
+            found += [(False, -score, a, b) for score, a, b in looping_spans(token, end, name, known)]
+            continue
+        starts, size = [], LENGTHS[name]
+        a = token.find(prefix)
+        while a >= 0:
+            b = a + size
+            if b == n or (b < n and token[b] in SIGNS):
+                starts.append(a)
+            a = token.find(prefix, a + 1)
+        found += [(False, -score, a, a + size) for a, score in zip(starts, fixed_evidences(token, starts, name, known), strict=True) if score >= EVIDENCE]
+    for name in UNMARKED:
+        starts, size, hard = [], LENGTHS[name], -1  # hard: the last sign that the format does not hold
+        for b in range(n + 1) if n >= size else ():
+            sign = b == n or token[b] in SIGNS
+            if sign and b >= size and hard < b - size:
+                starts.append(b - size)
+            if sign and b < n and token[b] not in HELD:
+                hard = b
+        scores = fixed_evidences(token, starts, name, known)
+        found += [(True, -score, a, a + size) for a, score in zip(starts, scores, strict=True) if score >= EVIDENCE and alone(token, a, a + size, known[1])]
+    return sorted(found)
+
+
+class Taken:
+    """Disjoint spans in order; ``free`` tells whether another one meets none of them."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        reach = -1
+        for a, b in spans:  # those that overlap become one
+            if a < reach:
+                reach = self.ends[-1] = max(reach, b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+                reach = b
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return not k or self.ends[k - 1] <= a
+
+    def put(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]], known, memory: dict | None = None) -> list[tuple[int, int, str, float]]:
@@ -318,11 +457,11 @@ def added_spans(text: str, base: list[tuple[int, int, str]], known, memory: dict
             continue
         while k < len(base) and base[k][1] <= a:  # base spans are in order of their starts
             k += 1
-        taken = [(s, e) for s, e, _ in takewhile(lambda x: x[0] < b, islice(base, k, None))] if k < len(base) and base[k][0] < b else []
+        taken = Taken([(s, e) for s, e, _ in takewhile(lambda x: x[0] < b, islice(base, k, None))] if k < len(base) and base[k][0] < b else [])
         for _, score, s, e in scored:
             s, e = a + s, a + e
-            if not any(s < v and u < e for u, v in taken):
-                taken.append((s, e))
+            if taken.free(s, e):
+                taken.put(s, e)
                 found.append((s, e, ADDED, -score))
     return sorted(found)
 
