@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -102,27 +103,77 @@ GAP = re.compile(r"[\x20,.()+-]{1,4}")
 BRACKETED = re.compile(r"\x20?[\[({<]\x20?(?i:(%s)|(%s))\x20?[\])}>]\x20?" % (AT_WORDS, DOT_WORDS))
 
 
-def _spoken(at: str, dot: str) -> re.Pattern:
-    dot, word = rf"\x20(?i:{dot})\x20", "[A-Za-z0-9._%+-]"
-    local = rf"(?<!{word})({word}{{2,}}+|[A-Za-z0-9_](?={dot}))((?:{dot}{word}++)*+)"
-    article = r"(?!(?i:the|a|an|this|that|these|those|my|our|your|his|her|its|their|all|any|each|every|some|no)\x20)"
-    return re.compile(rf"{local}({at}){article}([A-Za-z0-9-]+)((?:{dot}[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
-
-
-SPOKEN = (_spoken(r"\x20[aA][tT]\x20|@", "dot|punkt"), _spoken(r"\x20(?i:arobase|arroba|klammeraffe)\x20", DOT_WORDS))
+_ARTICLE = r"(?!(?i:the|a|an|this|that|these|those|my|our|your|his|her|its|their|all|any|each|every|some|no)\x20)"
+
+
+class Spoken:
+    """Addresses with a spoken at or dot: words with spelled dots between them, an at, and a host with dots or spelled dots.
+
+    They are looked for from their at: first the host behind it, then the words before it, backwards, so that a chain without an at costs nothing.
+    """
+
+    def __init__(self, at: str, dot: str):
+        self.at, self.dots = re.compile(at), tuple(f" {w} " for w in dot.split("|"))
+        spelled = rf"\x20(?i:{dot})\x20"
+        self.host = re.compile(rf"{_ARTICLE}([A-Za-z0-9-]+)((?:{spelled}[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
+
+    def words(self, text: str, end: int, last: int) -> tuple[int, int] | None:
+        """(start, end of the first word) of the longest chain of words that ends at ``end`` and begins at ``last`` or behind it."""
+        best, a, inner = None, end, False
+        while True:
+            b = a
+            while a > last and text[a - 1] in _LOCAL:
+                a -= 1
+            if a == b or (a and text[a - 1] in _LOCAL):
+                return best
+            if b - a > 1 or (inner and (text[a].isalnum() or text[a] == "_")):
+                best = (a, b)
+            sign = next((d for d in self.dots if text[max(last, a - len(d)) : a].lower() == d), None)
+            if sign is None:
+                return best
+            a, inner = a - len(sign), True
+
+    def found(self, text: str) -> Iterator[tuple[tuple[int, int], tuple[int, int], tuple[int, int], tuple[int, int]]]:
+        """The spans (first word, whole of the words, at, dots of the host) of the addresses, none before the end of the one before."""
+        last, m = 0, self.at.search(text)
+        while m:
+            host = self.host.match(text, m.end())
+            words = self.words(text, m.start(), last) if host else None
+            if words:
+                yield words, (words[0], m.start()), m.span(), host.span(2)
+                last = host.end()
+            m = self.at.search(text, max(m.start() + 1, last))
+
+
+SPOKEN = (Spoken(r"\x20[aA][tT]\x20|@", "dot|punkt"), Spoken(r"\x20(?i:arobase|arroba|klammeraffe)\x20", DOT_WORDS))
 #: Fixed list: words before "at example.com" that tell where something is and are no local part.
 PLACED = frozenset("""is are was were be been am us me him her them it you we they look looks looked looking see seen find found visit visited
 available online site website page pages home hosted live located sold published read more here there posted posts listed shop apply
 register sign join contact email mail write only also now today works worked working work bought buy order free out up back and or""".split())
 DOT = re.compile(r"\x20(?i:%s)\x20" % DOT_WORDS)
-HINT = re.compile(r"[\[({<]\x20?(?:%s|%s)\x20?[\])}>]" % (AT_WORDS, DOT_WORDS))
-_SPELLING = tuple(f" {w} " for w in DOT_WORDS.split("|"))
+HINT = re.compile(r"[\[({<]\x20?(?i:%s|%s)\x20?[\])}>]" % (AT_WORDS, DOT_WORDS))
+#: Words of numbers and dots in ASCII, and those that ASCII boundaries do not hold together.
+_ASCII_WORDS = frozenset(w for w in (*DIGIT_WORDS, *TEENS, *TENS, *DOT_WORDS.split("|")) if w.isascii())
+_OTHER_WORDS = tuple(w for w in DIGIT_WORDS if not w.isascii())
+_PARTS = re.compile(r"[a-z0-9]+")
 
 
-def hinted(text: str) -> bool:
-    """A cheap necessary condition for the second and third transducer to change anything."""
+def spelling(text: str) -> bool:
+    """A cheap necessary condition for the second transducer: a number or dot in words beside another number, or behind a plus."""
     low = text.lower()
-    return any(w in low for w in _SPELLING) or any(w in low for w in AT_WORDS.split("|")[1:]) or (" at " in low and "." in low) or HINT.search(low) is not None or any(w in low for w in (*DIGIT_WORDS, *TEENS, *TENS))
+    if len(low) != len(text) or any(w in low for w in _OTHER_WORDS):
+        return True
+    if _ASCII_WORDS.isdisjoint(_PARTS.findall(low)):
+        return False
+    end, before, worded = -9, False, False  # of the part before: its end, whether it may be a number, whether it is one in words
+    for m in _PARTS.finditer(low):
+        part, a = m[0], m.start()
+        word = part in _ASCII_WORDS
+        number = word or part[0] in "0123456789" or part[-1] in "0123456789"
+        if number and before and (word or worded) and a - end <= 4 and GAP.fullmatch(low, end, a) or word and "+" in low[max(0, a - 2) : a]:
+            return True
+        end, before, worded = m.end(), number, word
+    return False
 
 
 class Rewritten:
@@ -162,15 +213,17 @@ class Rewritten:
         self.replace(found + self._run(run))
 
     def _run(self, run: list[re.Match]) -> list[tuple[int, int, str]]:
-        while run and run[0][2]:
-            run = run[1:]
-        while run and run[-1][2]:
-            run = run[:-1]
+        i, j = 0, len(run)
+        while i < j and run[i][2]:
+            i += 1
+        while i < j and run[j - 1][2]:
+            j -= 1
         # an article beside literal digits is no number: "+1 848 555 1373 Un"
-        while len(run) > 1 and run[-1][0].lower() in ARTICLES and run[-2][3]:
-            run = run[:-1]
-        while len(run) > 1 and run[0][0].lower() in ARTICLES and run[1][3]:
-            run = run[1:]
+        while j - i > 1 and run[j - 1][0].lower() in ARTICLES and run[j - 2][3]:
+            j -= 1
+        while j - i > 1 and run[i][0].lower() in ARTICLES and run[i + 1][3]:
+            i += 1
+        run = run[i:j]
         text = self.text
         if not run or all(m[3] for m in run) or (len(run) == 1 and "+" not in text[max(0, run[0].start() - 2) : run[0].start()]):
             return []
@@ -201,20 +254,19 @@ class Rewritten:
         return DIGIT_WORDS.get(ten) or TEENS.get(ten) or TENS[ten] + (DIGIT_WORDS[unit[0]] if unit else "0")
 
     def at_dot(self) -> None:
-        self.replace([(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(self.text)])
-        for pattern in SPOKEN:
-            self._addresses(pattern)
-
-    def _addresses(self, pattern: re.Pattern) -> None:
-        found = []
-        for m in pattern.finditer(self.text):
-            plain = not DOT.search(m[0])
-            if plain and (m[3] == "@" or m[1].lower() in PLACED or not re.fullmatch(r"(?:\.[a-z0-9-]+)*\.[a-z]{2,}", m[5])):
+        if HINT.search(self.text):
+            self.replace([(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(self.text)])
+        for spoken in SPOKEN:
+            self._addresses(spoken)
+
+    def _addresses(self, spoken: Spoken) -> None:
+        text, found = self.text, []
+        for word, words, at, dots in spoken.found(text):
+            signs = [(d.start(), d.end(), ".") for a, b in ((word[1], words[1]), dots) for d in DOT.finditer(text, a, b)]
+            name = text[word[0] : word[1]]
+            if not DOT.search(text, words[0], dots[1]) and (text[at[0]] == "@" or name.lower() in PLACED or not re.fullmatch(r"(?:\.[a-z0-9-]+)*\.[a-z]{2,}", text[dots[0] : dots[1]])):
                 continue
-            found += [(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in DOT.finditer(m[2])]
-            if m[3] != "@":
-                found.append((m.start(3), m.end(3), "@"))
-            found += [(m.start(5) + d.start(), m.start(5) + d.end(), ".") for d in DOT.finditer(m[5])]
+            found += signs if text[at[0]] == "@" else sorted([*signs, (*at, "@")])
         self.replace(found)
 
 
@@ -261,15 +313,12 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
     """The spans that only show after rewriting, by kind; none lies within a base span of its kind, though it may contain one."""
-    other = strange(text)
-    if not other and not hinted(text):
-        return {}
     new = Rewritten(text)
-    if other:
+    if strange(text):
         new.glyphs()
-    if hinted(new.text):
+    if spelling(new.text):
         new.spelled()
-        new.at_dot()
+    new.at_dot()
     if new.text == text:
         return {}
     added: dict[str, list[tuple[int, int]]] = {}
