@@ -166,6 +166,16 @@ class Vocabulary:
                 before, token = out[-1] if out else -1, shorter[last]
 
 
+@lru_cache(maxsize=1)
+def one_mark_a_class() -> tuple[str, ...]:
+    """The first mark of each combining class."""
+    first: dict[int, str] = {}
+    for c in map(chr, range(0x300, 0x20000)):
+        if n := unicodedata.combining(c):
+            first.setdefault(n, c)
+    return tuple(first.values())
+
+
 class WordBpe:
     """A tokenizer of whole words: NFC, white space, lower case, word pattern, byte letters, BPE with word ends."""
 
@@ -199,23 +209,34 @@ class WordBpe:
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def normaliser(self):
+        """The library's tokenizer, loaded when it is first asked for."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return self.library
+
+    def ordered_alike(self, mark: str) -> bool:
+        """Whether the library, whose Unicode data are older, orders a mark among those of every class as this Python does."""
+        ask = self.normaliser().normalizer.normalize_str
+        return all(self.normalised(x) == ask(x) for other in one_mark_a_class() for x in (f"a{mark}{other}", f"a{other}{mark}"))
+
     def unsettled(self, text: str) -> bool:
-        """Whether ``text`` has a code point that this Python's Unicode data lacks."""
+        """Whether ``text`` has a code point that this Python's Unicode data lacks, or a mark that the library orders otherwise."""
         if text.isascii():
             return False
         met = set(text) - self.settled
         for c in met - self.lacking:
-            (self.lacking if unicodedata.category(c) == "Cn" else self.settled).add(c)
+            kind = unicodedata.category(c)
+            (self.lacking if kind == "Cn" or (kind[0] == "M" and not self.ordered_alike(c)) else self.settled).add(c)
         return not met <= self.settled
 
     def split(self, text: str) -> list[str]:
         """The words of a text in byte letters."""
         if self.unsettled(text):
-            if self.library is None:
-                from tokenizers import Tokenizer
-
-                self.library = Tokenizer.from_file(self.path)
-            return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+            library = self.normaliser()
+            return [w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
         return [w.encode().decode("latin-1").translate(self.letters) for w in self.words.findall(self.normalised(text))]
 
     def run(self, chunk: str) -> tuple[tuple[int, ...], str]:
