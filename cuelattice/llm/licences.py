@@ -28,7 +28,7 @@ _CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribu
 
 #: The passages that tell a licence, as (licence, passage); each is a rule over its sentences in order.
 PASSAGES = (
-    ("proprietary", "All rights reserved."),
+    ("all-rights-reserved", "All rights reserved."),
     ("mit", "Released under the MIT License."),
     ("mit", "Licensed under the MIT License."),
     ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
@@ -48,6 +48,14 @@ products derived from this software without specific prior written permission.""
     ("apache-2.0", "Released under the Apache License, Version 2.0."),
     ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("apache-2.0", "Apache License Version 2.0, January 2004 https://www.apache.org/licenses/"),
+    ("hpnd-sell-variant", """Permission to use, copy, modify, distribute, and sell this software and its documentation for any purpose is hereby granted
+without fee, provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in
+supporting documentation."""),
+    ("bzip2-1.0.6", """The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+software in a product, an acknowledgment in the product documentation would be appreciated but is not required."""),
+    ("python-2.0", "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2"),
+    ("blessing", "May you do good and not evil."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License version 3."),
     *((f"{name}-{float(version)}-or-later", _GNU.format(title, version)) for name, title, versions in (("gpl", "General", ("2", "3")), ("lgpl", "Lesser General", ("2.1", "3")), ("agpl", "Affero General", ("3",))) for version in versions),
     ("gpl-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
@@ -68,18 +76,21 @@ derivative works of the Software, and to permit third-parties to whom the Softwa
     *((f"cc-{k}-3.0", f"This work is licensed under a Creative Commons {title} 3.0 Unported License.") for k, title in _CC.items()),
     *((f"cc-{k}-4.0", f"Licensed under CC {k.upper()} 4.0.") for k in _CC),
 )
-#: A licence that takes another's place where both match; "all rights reserved" tells something only where no licence does.
+#: A licence whose passage begins with all of another's: the other one is met beside it only if its last sentence is met more often than
+#: the sentence that the longer one adds. "All rights reserved" tells something only where no licence does.
 STRONGER = (("bsd-3-clause", "bsd-2-clause"),)
-WEAKEST = "proprietary"
+WEAKEST = "all-rights-reserved"
 
 #: Steps over a lower-cased text, as (pattern, replacement): \x01 is a cut. Names of holders in the BSD's third clause are made one.
 _SPACE, _MARK = r"[ \t\n\f\r]", r"\(?[0-9a-z]{1,3}\)[ \t]+"
+#: A run of stops is tried from its first one only; engines that take linear time anyway do without.
+_ONCE = r"(?<![.!?:;])"
 STEPS = (
     (r"(^|\n)([ \t#*/]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4}|<)[^\n]*)", "{0}\\2{0}"),
-    (rf"([.!?:;]+[)\x22']*{_SPACE}+|\n[ \t\r#*/;-]*\n{_SPACE}*)({_MARK})?|\n[ \t]*{_MARK}", "{0}"),
+    (rf"({_ONCE}[.!?:;]+[)\x22']*{_SPACE}+|\n[ \t\r#*/;-]*\n{_SPACE}*)({_MARK})?|\n[ \t]*{_MARK}", "{0}"),
 )
 LINE_STEP = (r"\n", "{0}")
-LAST_STEPS = ((r"[^a-z0-9\x01]+", " "), (r"neither the name of [a-z0-9 ]{1,90}? nor the names of (its|the) contributors", "neither the name of the copyright holder nor the names of its contributors"))
+LAST_STEPS = ((r"[^a-z0-9\x01]+", " "), (r"(^|\x01)( ?)neither the name of [a-z0-9 ]+? nor the names of (its|the) contributors", "\\1\\2neither the name of the copyright holder nor the names of its contributors"))
 CUT = "\x01"
 
 
@@ -120,12 +131,21 @@ def rule_pattern(ids: tuple[int, ...]) -> str:
     return "," + ",([0-9]+,)*".join(map(str, ids)) + ","
 
 
+def _rule(name: str) -> tuple[int, ...]:
+    return next(ids for n, ids in RULES if n == name)
+
+
+def _told_apart(strong: str, weak: str) -> tuple[int, int]:
+    """The last identifier of the shorter rule and the one that the longer rule adds."""
+    return _rule(weak)[-1], _rule(strong)[len(_rule(weak))]
+
+
 def sentence_ids(text: Column, wrapped: bool) -> Column:
     """The identifiers of the known sentences of ``text`` in order, as ``,1,5,9,`` (``,`` if there are none)."""
     low = F.lower(text)
     cut = F.concat(low, F.lit("\n"))
     for pattern, new in steps(wrapped):
-        cut = F.regexp_replace(cut, pattern, new.format(CUT).replace("\\2", "$2"))
+        cut = F.regexp_replace(cut, pattern, new.format(CUT).replace("\\", "$"))
     number = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, f"{i},")))
     found = F.filter(F.transform(F.split(cut, CUT), lambda s: F.try_element_at(number, F.trim(s))), lambda x: x.isNotNull())
     # normalising only puts spaces between words, so a text without any telling word has no known sentence and is not cut
@@ -146,7 +166,10 @@ def licence_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         by_name.setdefault(name, []).append(F.col("lines").rlike(rule_pattern(rule)) | F.col("wrapped").rlike(rule_pattern(rule)))
     met = {name: reduce(Column.__or__, rules) for name, rules in by_name.items()}
     for strong, weak in STRONGER:
-        met[weak] = met[weak] & ~met[strong]
+        last, more = _told_apart(strong, weak)
+        times = lambda c, i: F.size(F.filter(F.split(c, ","), lambda x: x == str(i)))
+        beside = reduce(Column.__or__, [F.col(c).rlike(rule_pattern(_rule(weak))) & (~F.col(c).rlike(rule_pattern(_rule(strong))) | (times(c, last) > times(c, more))) for c in ("lines", "wrapped")])
+        met[weak] = F.when(met[strong], beside).otherwise(met[weak])
     met[WEAKEST] = met[WEAKEST] & ~reduce(Column.__or__, [met[n] for n in _placed(met)])
     names = F.concat_ws(",", *(F.when(met[name], F.lit(name)) for name in sorted(met)))
     count = F.length("lines") - F.length(F.translate("lines", ",", "")) - 1
@@ -161,7 +184,7 @@ def oracle(rows: str = "documents") -> str:
     def ids(wrapped: bool) -> str:
         cut = "lower(coalesce(text, '')) || chr(10)"
         for pattern, new in steps(wrapped):
-            quoted, by = pattern.replace("'", "''"), "' || chr(1) || '".join(new.format(CUT).split(CUT))
+            quoted, by = pattern.replace(_ONCE, "").replace("'", "''"), "' || chr(1) || '".join(new.format(CUT).split(CUT))
             cut = f"regexp_replace({cut}, '{quoted}', '{by}', 'g')"
         parts = f"list_transform(string_split({cut}, chr(1)), lambda s: trim(s))"
         return f"',' || coalesce(list_aggregate(list_transform(list_filter({parts}, lambda s: map_contains({number}, s)), lambda s: {number}[s]), 'string_agg', ''), '')"
@@ -171,7 +194,10 @@ def oracle(rows: str = "documents") -> str:
         by_name.setdefault(name, []).append(f"regexp_matches(lines, '{rule_pattern(rule)}') OR regexp_matches(wrapped, '{rule_pattern(rule)}')")
     met = {name: f"({' OR '.join(rules)})" for name, rules in by_name.items()}
     for strong, weak in STRONGER:
-        met[weak] = f"({met[weak]} AND NOT {met[strong]})"
+        last, more = _told_apart(strong, weak)
+        times = lambda c, i: f"len(list_filter(string_split({c}, ','), lambda x: x = '{i}'))"
+        beside = " OR ".join(f"(regexp_matches({c}, '{rule_pattern(_rule(weak))}') AND (NOT regexp_matches({c}, '{rule_pattern(_rule(strong))}') OR {times(c, last)} > {times(c, more)}))" for c in ("lines", "wrapped"))
+        met[weak] = f"(CASE WHEN {met[strong]} THEN {beside} ELSE {met[weak]} END)"
     met[WEAKEST] = f"({met[WEAKEST]} AND NOT ({' OR '.join(met[n] for n in _placed(met))}))"
     names = ", ".join(f"CASE WHEN {met[name]} THEN '{name}' END" for name in sorted(met))
     return f"""WITH ids AS (SELECT doc_id, {ids(False)} AS lines, {ids(True)} AS wrapped FROM {rows})
