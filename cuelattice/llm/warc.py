@@ -40,6 +40,11 @@ def _before(value: str, by: list[str], order: list[str]) -> Column:
     return F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
+def parted(col: str, n: int) -> Column:
+    """A whole number divided and rounded down, without a detour by doubles, which hold no more than 53 bits."""
+    return F.expr(f"(CAST({col} AS BIGINT) - pmod({col}, {n}L)) div {n}")
+
+
 def offset_ranges(records: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]:
     """(ids, equal) of (id, sha, length) rows: each id's file, offset and bytes, and its distinct records with offset and count n.
 
@@ -50,7 +55,7 @@ def offset_ranges(records: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]
     equal = records.groupBy(*keys, "sha", "length").agg(F.count("sha").alias("n"))
     equal = saved(equal.withColumn("cell", F.substring("sha", 1, CELL)).withColumn("bytes", F.col("n") * F.col("length")))
     cells = equal.groupBy(*keys, "cell").agg(F.sum("bytes").alias("bytes"))
-    ids = cells.groupBy(*keys).agg(F.sum("bytes").alias("bytes")).withColumn("file", F.floor(F.col("id") / FILE_IDS))
+    ids = cells.groupBy(*keys).agg(F.sum("bytes").alias("bytes")).withColumn("file", parted("id", FILE_IDS))
     ids = saved(ids.withColumn("offset", _before("bytes", [*also, "file"], ["id"])))
     placed = cells.withColumn("in_id", _before("bytes", keys, ["cell"])).drop("bytes").join(ids.withColumnRenamed("offset", "of_id").drop("bytes"), keys)
     inner = equal.withColumn("in_cell", _before("bytes", [*keys, "cell"], ["sha", "length"]))
@@ -68,10 +73,10 @@ def leaves(equal: DataFrame, *also: str) -> DataFrame:
 def tree(leaf: DataFrame, *also: str, fanout: int = FANOUT) -> list[DataFrame]:
     """Levels (id, hash) from the leaves to one root (ids of one sign; each sign has its root)."""
     levels = [saved(leaf)]
-    span = levels[0].agg(F.max(F.abs("id"))).first()[0] or 0
+    span = levels[0].agg(F.max(F.greatest(F.col("id"), F.bitwise_not(F.col("id"))))).first()[0] or 0
     while span > 0:
         below = levels[-1]
-        up = below.groupBy(F.floor(F.col("id") / fanout).alias("up"), *also).agg(F.sort_array(F.collect_list(F.struct("id", "hash"))).alias("children"))
+        up = below.groupBy(parted("id", fanout).alias("up"), *also).agg(F.sort_array(F.collect_list(F.struct("id", "hash"))).alias("children"))
         hashed = F.sha2(F.array_join(F.transform("children", lambda c: c["hash"]), ""), 256)
         levels.append(saved(up.select(F.col("up").alias("id"), *also, hashed.alias("hash"))))
         span //= fanout
@@ -85,7 +90,7 @@ def mismatches(levels: list[DataFrame], replica: str, one, other, fanout: int =
         sides = [level.filter(F.col(replica) == x).select("id", F.col("hash").alias(name)) for x, name in ((one, "one_hash"), (other, "other_hash"))]
         if bad is not None:
             parents = bad.select(F.col("id").alias("parent"))
-            sides = [s.join(parents, F.floor(F.col("id") / fanout) == F.col("parent"), "left_semi") for s in sides]
+            sides = [s.join(parents, parted("id", fanout) == F.col("parent"), "left_semi") for s in sides]
         both = sides[0].join(sides[1], "id", "full_outer")
         bad = saved(both.filter(~F.col("one_hash").eqNullSafe(F.col("other_hash"))))
     return bad
