@@ -153,7 +153,10 @@ def _decode(buf: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
     if span := boxes.get(b"hdlr"):
         t.handler = buf[span[0] + 8 : span[0] + 12].decode("latin-1")
     if span := boxes.get(b"mdhd"):
-        t.timescale, t.duration = struct.unpack_from(">IQ", buf, span[0] + 20) if buf[span[0]] == 1 else struct.unpack_from(">II", buf, span[0] + 12)
+        long = buf[span[0]] == 1
+        t.timescale, t.duration = struct.unpack_from(">IQ", buf, span[0] + 20) if long else struct.unpack_from(">II", buf, span[0] + 12)
+        if t.duration == (UNKNOWN_LONG if long else UNKNOWN):
+            t.duration = 0  # as for one that is not given: the samples tell
     if (span := boxes.get(b"stsd")) and word(span[0] + 4):
         t.codec = buf[span[0] + 12 : span[0] + 16].decode("latin-1")
         if t.handler == "vide":
@@ -179,6 +182,8 @@ def _decode(buf: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
         spent = _numbers(buf, span[0] + 8, word(span[0] + 4), span[1], columns=2)
         if not t.duration:
             t.duration = sum(a * b for a, b in spent.tolist())
+    if t.duration >= 1 << 63:
+        raise ValueError("duration beyond 63 bits")
     if span := boxes.get(b"stss"):
         t.keys = _numbers(buf, span[0] + 8, word(span[0] + 4), span[1])[:, 0] - 1
         if len(t.keys) and not (0 <= t.keys.min() and t.keys.max() < len(sizes)):
@@ -190,6 +195,8 @@ def _decode(buf: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
     return t
 
 
+#: Durations that stand for an unknown one, in 32 and 64 bits.
+UNKNOWN, UNKNOWN_LONG = (1 << 32) - 1, (1 << 64) - 1
 #: Optional fields of a fragment's header and of its runs, as (flag, bytes) in their order (fixed values of the format).
 TFHD = ((0x1, 8), (0x2, 4), (0x8, 4), (0x10, 4), (0x20, 4))
 NOT_SYNC = 0x10000
