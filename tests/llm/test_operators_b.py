@@ -433,7 +433,7 @@ Unless required by applicable law"""
         "unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free",
         "isc": "Copyright (c) 2020, A Name\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
         "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-        "proprietary": "Copyright (c) 2020 A Name. All rights reserved.",
+        "all-rights-reserved": "Copyright (c) 2020 A Name. All rights reserved.",
     }
     many = docs_of(spark, [*texts, *rest.values(), None, ""])
     got = {r["doc_id"]: r["licences"] for r in licences.licence_scan(many).collect()}
