@@ -19,9 +19,23 @@ REFUSALS = ("i cannot", "as an ai", "sorry", "model", "language model")
 NO_ANSWERS = ("sure", "here", "association")
 #: Fixed list: the models of limited mode, in both spellings.
 CORE_MODELS = ["gpt-oss-20b-instruct", "gpt-oss-20-b-instruct", "mistral-small-24b-instruct", "mistral-small-24-b-instruct", "gemma-3-27b-instruct", "gemma-3-27-b-instruct", "qwen-3-32b-instruct", "qwen-3-32-b-instruct"]
-#: Fixed table: a model's name in embedding keys and in the names of its rating files; each variant is scored with its model's ratings.
-OWN_RATINGS = {"gemma-3-27-b-instruct": "gemma-3-27b-instruct", "gpt-oss-20-b-instruct": "gpt-oss-20b-instruct", "mistral-small-24-b-instruct": "mistral-small-24b-instruct", "qwen-3-32-b-instruct": "qwen-3-32b-instruct"}
-OWN_RATING_FILES = {f"passive_{model}{variant}": file for model, file in OWN_RATINGS.items() for variant in ("", "_shuffled", "_contrast")}
+#: Fixed table: the rating file of each embedding key; every variant is scored with its model's ratings.
+OWN_RATING_FILES = {
+    "passive_gemma-3-27-b-instruct": "gemma-3-27b-instruct",
+    "passive_gemma-3-27-b-instruct_shuffled": "gemma-3-27b-instruct",
+    "passive_gemma-3-27-b-instruct_contrast": "gemma-3-27b-instruct",
+    "passive_gpt-oss-20-b-instruct": "gpt-oss-20b-instruct",
+    "passive_gpt-oss-20-b-instruct_shuffled": "gpt-oss-20b-instruct",
+    "passive_gpt-oss-20-b-instruct_contrast": "gpt-oss-20b-instruct",
+    "passive_mistral-small-24-b-instruct": "mistral-small-24b-instruct",
+    "passive_mistral-small-24-b-instruct_shuffled": "mistral-small-24b-instruct",
+    "passive_mistral-small-24-b-instruct_contrast": "mistral-small-24b-instruct",
+    "passive_qwen-3-32-b-instruct": "qwen-3-32b-instruct",
+    "passive_qwen-3-32-b-instruct_shuffled": "qwen-3-32b-instruct",
+    "passive_qwen-3-32-b-instruct_contrast": "qwen-3-32b-instruct",
+}
+#: Fixed list: the embedding types that are compared.
+WANTED_TYPES = ("Baseline", "Activation", "Behavior_Contrastive", "Behavior_Standard", "Behavior_Contrastive_300d", "Behavior_Standard_300d")
 #: Fixed table of display names.
 DISPLAY = {"gemma-3-27b": "Gemma 3 27B", "gpt-oss-20b": "GPT-OSS 20B", "mistral-small-24b": "Mistral 24B", "qwen-3-32b": "Qwen 3 32B"}
 

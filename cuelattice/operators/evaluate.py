@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelattice.functions.text import bare_name, display_name, sweep_name
+from cuelattice.functions.text import WANTED_TYPES, bare_name, display_name, key_model, key_type, sweep_name
 from cuelattice.functions.vectors import finite
 from cuelattice.operators import linear
 from cuelattice.operators.sampling import fold_table, sample_by_group
@@ -47,6 +47,14 @@ def strict_overlap(keys: DataFrame, activation: DataFrame) -> DataFrame:
     return keys.join(known, "canonical", "left").filter("__met or canonical = 'Human'").drop("__met")
 
 
+def wanted_keys(keys: DataFrame) -> DataFrame:
+    """``keys`` (embedding_key, ...) of the types that are compared; those of behavior only if their model has an activation, too."""
+    named = keys.withColumns({"__model": key_model(F.col("embedding_key")), "__type": key_type(F.col("embedding_key"))}).filter(F.col("__type").isin(*WANTED_TYPES))
+    known = named.filter("__type = 'Activation'").select(F.col("__model").alias("__known")).distinct()
+    met = named.join(known, F.col("__model") == F.col("__known"), "left")
+    return met.filter("__known is not null or __model = 'Human' or __type = 'Activation'").select(keys.columns)
+
+
 def by_mapping(keys: DataFrame, files: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """(embedding_key, norm_file) of a fixed mapping, for keys and files that are both there."""
     pairs = keys.sparkSession.range(1).select(F.explode(F.create_map(*(F.lit(x) for kv in sorted(mapping.items()) for x in kv))).alias("embedding_key", "norm_file"))

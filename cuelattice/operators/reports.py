@@ -45,6 +45,14 @@ def modality_gap(scores: DataFrame, by: list[str], kind: str, first: str, second
     return wide.filter("first_mean is not null and second_mean is not null").withColumn("delta", F.col("second_mean") - F.col("first_mean"))
 
 
+def preferred_gap(scores: DataFrame, by: list[str], kind: str, preferred: list[str], other: str, value: str = "r2") -> DataFrame:
+    """``modality_gap`` between ``other`` and the first of the ``preferred`` kinds that occurs in any row."""
+    rank = F.coalesce(*(F.when(F.col(kind) == k, F.lit(n)) for n, k in enumerate(preferred)))
+    best = scores.agg(F.min(rank).alias("__best"))  # one row
+    named = scores.join(F.broadcast(best)).withColumn("__kind", F.when(F.col(kind) == other, "other").when(rank == F.col("__best"), "chosen"))
+    return modality_gap(named, by, "__kind", "chosen", "other", value)
+
+
 def fitted_line(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """By key the least-squares line of y on x; null where x is constant."""
     b = slope(F.col(y), F.col(x))

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import chain
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelattice.functions import text as names
+from cuelattice.functions.vectors import nan_as_zero
 from cuelattice.operators import assoc, embed, evaluate, ratings
 from cuelattice.plans.session import written
 from cuelattice.sources import readers, sinks
 
 #: Key of the human matrix, and the width that all matrices share for comparisons.
 HUMAN, COMMON_DIM = "human_matrix", 300
+#: Matrices that are decomposed at once.
+AT_ONCE = 4
 
 
 def activations(spark: SparkSession, files: dict[str, str], cues: DataFrame, out: str) -> None:
@@ -83,24 +91,49 @@ def behavior(spark: SparkSession, cells: DataFrame, out: str, dims: DataFrame |
     keys = cells.select("embedding_key").distinct().withColumn("model", names.source_model(F.col("embedding_key")))
     known = dims if dims is not None else spark.createDataFrame([], "model string, dim int")
     wanted = {r["embedding_key"]: r["target_dim"] for r in embed.target_dims(keys, known, strategy, fixed, mapping).collect()}  # a row a matrix
-    parts = None
-    for key, dim in sorted(wanted.items()):
+
+    def decomposed(key: str, dim: int) -> list[DataFrame]:
         vectors, _ = embed.truncated_svd(cells.filter(F.col("embedding_key") == key), dim if key == HUMAN else max(dim, COMMON_DIM))
-        for name, width in ((key, dim),) if key == HUMAN else ((key, dim), (f"{key}_300d", COMMON_DIM)):
-            part = vectors.select(F.lit(name).alias("embedding_key"), "cue", F.slice("vec", 1, width).alias("vec"))
-            parts = part if parts is None else parts.unionByName(part)
+        widths = ((key, dim),) if key == HUMAN else ((key, dim), (f"{key}_300d", COMMON_DIM))
+        return [vectors.select(F.lit(name).alias("embedding_key"), "cue", nan_as_zero(F.slice("vec", 1, width)).alias("vec")) for name, width in widths]
+
+    # matrices are independent: several are decomposed at once, so that one's small steps fill the gaps of another's
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        found = list(pool.map(inheritable_thread_target(lambda x: decomposed(*x)), sorted(wanted.items())))
+    parts = reduce(DataFrame.unionByName, chain.from_iterable(found)) if found else None
     if parts is not None:
         sinks.bundle(embed.sanitized(parts), out)
 
 
-def comparison(vectors: DataFrame, norms: DataFrame, preset: str = "compare", k: int = 5, repeats: int = 1, duplicates: str = "mean") -> DataFrame:
-    """(embedding_key, model, embedding_type, norm, n_samples, dimensions, r2_mean, r2_std)."""
+def comparison(vectors: DataFrame, norms: DataFrame, preset: str = "compare", k: int = 5, repeats: int = 1, duplicates: str = "mean", wanted: bool = False, done: DataFrame | None = None) -> DataFrame:
+    """(embedding_key, model, embedding_type, norm, n_samples, dimensions, r2_mean, r2_std).
+
+    ``wanted`` keeps to the types that are compared (``evaluate.wanted_keys``); pairs (embedding_key, norm) in ``done`` are left out.
+    """
+    if wanted:
+        vectors = vectors.join(evaluate.wanted_keys(vectors.select("embedding_key").distinct()), "embedding_key", "left_semi")
     rows = evaluate.aligned(vectors, evaluate.targets(norms, duplicates))
+    if done is not None:
+        rows = rows.join(done.select("embedding_key", "norm").distinct(), ["embedding_key", "norm"], "left_anti")
     scores = evaluate.norm_scores(rows, ["embedding_key", "norm"], preset, k, repeats)
     key = F.col("embedding_key")
     return scores.select("embedding_key", names.key_model(key).alias("model"), names.key_type(key).alias("embedding_type"), "norm", "n_samples", "dimensions", "r2_mean", "r2_std")
 
 
+def human_prediction(vectors: DataFrame, norms: DataFrame) -> DataFrame:
+    """(embedding_source, norm_name, r2_mean, r2_std, n_samples): the human preset, every embedding against every norm."""
+    scores = comparison(vectors, norms, "human")
+    return scores.select(F.col("embedding_key").alias("embedding_source"), F.col("norm").alias("norm_name"), "r2_mean", "r2_std", "n_samples")
+
+
+def saturation_sweep(vectors: DataFrame, norms: DataFrame) -> DataFrame:
+    """(norm, modality, model, dim, r2, n_samples) of every embedding of a model that has both modalities, and of the human one."""
+    key = F.col("embedding_key")
+    kept = vectors.join(evaluate.wanted_keys(vectors.select("embedding_key").distinct()), "embedding_key", "left_semi")
+    scores = evaluate.sweep(evaluate.sweep_rows(kept, norms), ["embedding_key", "norm"])
+    return scores.select("norm", names.key_type(key).alias("modality"), names.key_model(key).alias("model"), "dim", "r2", "n_samples")
+
+
 def bundle_there(spark: SparkSession, path: str) -> DataFrame | None:
     """The vectors of a bundle that was written whole, or None."""
     return spark.read.parquet(path).select("embedding_key", "cue", "vec") if sinks.whole(spark, path) else None

@@ -134,6 +134,11 @@ def _sub(x: str, *pairs: tuple[str, str]) -> str:
 
 
 _PASSIVE = _sub("raw", ("passive_|-instruct|_300d", ""))
+_MODEL = f"""CASE WHEN raw = 'human_matrix' THEN 'Human' WHEN starts_with(raw, 'activation_') THEN {_sub("raw", ("activation_|-instruct", ""))}
+         WHEN starts_with(raw, 'passive_') THEN CASE WHEN contains(raw, '_contrast') THEN replace({_PASSIVE}, '_contrast', '') ELSE replace({_PASSIVE}, '_shuffled', '') END ELSE 'Unknown' END"""
+_TYPE = """CASE WHEN raw = 'human_matrix' THEN 'Baseline' WHEN starts_with(raw, 'activation_') THEN 'Activation'
+         WHEN starts_with(raw, 'passive_') THEN CASE WHEN contains(raw, '_contrast') THEN 'Behavior_Contrastive' WHEN contains(raw, '_shuffled') THEN 'Behavior_Shuffled' ELSE 'Behavior_Standard' END
+              || CASE WHEN contains(raw, '_300d') THEN '_300d' ELSE '' END ELSE 'Unknown' END"""
 _DISPLAY = "regexp_replace(regexp_replace(raw, '-instruct|-base', '', 'g'), '^[-_]+|[-_]+$', '', 'g')"
 
 
@@ -145,11 +150,8 @@ _DISPLAY = "regexp_replace(regexp_replace(raw, '-instruct|-base', '', 'g'), '^[-
     replace({_sub("raw", ("^(passive_|activation_|active_)", ""))}, '-b-', 'b-') AS sweep_key,
     replace({_sub("raw", ("^(passive_|activation_|active_)", ""), ("_contrast|_shuffled|_300d", ""))}, '_', '-') AS bare_key,
     regexp_replace(raw, '-b$', 'b') AS size_key, {_sub("raw", ("-instruct|-base|[-_]", ""))} AS joined_key, {_sub("raw", (r"[^\p{L}\p{N}._-]", "_"))} AS file_name,
-    CASE WHEN raw = 'human_matrix' THEN 'Human' WHEN starts_with(raw, 'activation_') THEN {_sub("raw", ("activation_|-instruct", ""))}
-         WHEN starts_with(raw, 'passive_') THEN CASE WHEN contains(raw, '_contrast') THEN replace({_PASSIVE}, '_contrast', '') ELSE replace({_PASSIVE}, '_shuffled', '') END ELSE 'Unknown' END AS model,
-    CASE WHEN raw = 'human_matrix' THEN 'Baseline' WHEN starts_with(raw, 'activation_') THEN 'Activation'
-         WHEN starts_with(raw, 'passive_') THEN CASE WHEN contains(raw, '_contrast') THEN 'Behavior_Contrastive' WHEN contains(raw, '_shuffled') THEN 'Behavior_Shuffled' ELSE 'Behavior_Standard' END
-              || CASE WHEN contains(raw, '_300d') THEN '_300d' ELSE '' END ELSE 'Unknown' END AS embedding_type,
+    {_MODEL} AS model,
+    {_TYPE} AS embedding_type,
     CASE {_DISPLAY} {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.DISPLAY.items())}
          ELSE array_to_string(list_transform(string_split({_sub(_DISPLAY, ("[-_]", " "))}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS display FROM names""",
 )
@@ -162,6 +164,14 @@ def q09(spark, sf):
     )
 
 
+@query(
+    "q09_wanted_keys",
+    fx.over("names") + f", k AS (SELECT raw, {_MODEL} AS model, {_TYPE} AS kind FROM names) SELECT raw AS embedding_key FROM k WHERE kind IN (" + ", ".join(f"'{t}'" for t in tx.WANTED_TYPES) + ") AND (kind IN ('Activation', 'Baseline') OR model IN (SELECT model FROM k WHERE kind = 'Activation'))",
+)
+def q09_wanted(spark, sf):
+    return evaluate.wanted_keys(fx.names_of_embeddings(spark, sf).select(F.col("raw").alias("embedding_key")))
+
+
 def ppmi_sql(cells: str, row: str, col: str, value: str) -> str:
     return f"greatest(0, log2({value} * (SELECT sum({value}) FROM {cells}) / (sum({value}) OVER (PARTITION BY {row}) * sum({value}) OVER (PARTITION BY {col}) + 1e-10)))"
 
@@ -586,6 +596,12 @@ def q26(spark, sf):
     return out.select("model", "norm", *(r6(c).alias(c) for c in ("first_mean", "second_mean", "delta")))
 
 
+@query("q26_preferred_gap", fx.over("scores", g=_GAP) + "SELECT model, norm, round(o, 6) AS first_mean, round(f, 6) AS second_mean, round(f - o, 6) + 0.0 AS delta FROM g WHERE f IS NOT NULL AND o IS NOT NULL")
+def q26_preferred(spark, sf):
+    out = reports.preferred_gap(fx.scores(spark, sf), ["model", "norm"], "embedding_type", ["X", "O", "P"], "F")
+    return out.select("model", "norm", *(r6(c).alias(c) for c in ("first_mean", "second_mean", "delta")))
+
+
 @query("q26_fitted_lines", f"WITH p AS ({_LINE}) SELECT norm, round(covar_pop(y, x) / var_pop(x), 4) AS slope, round(avg(y) - covar_pop(y, x) / var_pop(x) * avg(x), 3) AS intercept, count(*) AS n_points FROM p GROUP BY norm")
 def q26_lines(spark, sf):
     rows = fx.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("norm"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
