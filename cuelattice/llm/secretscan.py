@@ -111,19 +111,25 @@ class Automaton:
             self.seen[at] += 1
         self.ends[at] += 1
 
-    def _alike(self, k: int, n: int, l: int, m: int) -> bool:
-        return not n or not m or abs(k / n - l / m) < self._bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-
     def _compatible(self, a: int, b: int) -> bool:
+        """Whether no frequency differs by more than its Hoeffding bound, down the tree of b.
+
+        Frequencies never differ by more than 1, so there is nothing to compare from a bound of 1 on; and as counts fall down the tree of b,
+        its bound alone ends the way down.
+        """
         stack = [(a, b)]
         while stack:
             a, b = stack.pop()
-            if not self._alike(self.ends[a], self.seen[a], self.ends[b], self.seen[b]):
-                return False
-            for c in self.count[a].keys() | self.count[b].keys():
-                if not self._alike(self.count[a][c], self.seen[a], self.count[b][c], self.seen[b]):
+            n, m = self.seen[a], self.seen[b]
+            bound = self._bound * (1 / math.sqrt(n) + 1 / math.sqrt(m)) if n and m else 1.0
+            if bound < 1:
+                if abs(self.ends[a] / n - self.ends[b] / m) >= bound:
+                    return False
+                one, other = self.count[a], self.count[b]
+                if any(abs(one[c] / n - other[c] / m) >= bound for c in one.keys() | other.keys()):
                     return False
-            stack += [(self.next[a][c], to) for c, to in self.next[b].items() if c in self.next[a]]
+            if m and self._bound / math.sqrt(m) < 1:
+                stack += [(self.next[a][c], to) for c, to in self.next[b].items() if c in self.next[a]]
         return True
 
     def _fold(self, a: int, b: int) -> set[int]:
