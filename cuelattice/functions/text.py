@@ -91,6 +91,11 @@ def filled(template: Column, word: Column, mark: str = "{word}") -> Column:
     return F.replace(template, F.lit(mark), word)
 
 
+def json_line(*columns: Column | str) -> Column:
+    """A row as a JSON object in the order of its columns; nulls stay, as ``null``."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def csv_cell(c: Column, numeric: bool = False) -> Column:
     """A hand-written CSV cell: texts quoted with doubled quotes, numbers bare, null as NA, whole numbers without a point."""
     if numeric:

@@ -794,3 +794,50 @@ def q33(spark, sf):
 def q33_conflicts(spark, sf):
     before = fx.triplets(spark, sf)
     return sampling.conflicts(before, sampling.derange(before, "id", ["r1", "r2", "r3"]), "id", ["r1", "r2", "r3"])
+
+
+# --- functions by themselves ---------------------------------------------------------------------------------------------
+
+
+@query(
+    "q34_text_rules",
+    r"""WITH s AS (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS spaces)
+SELECT conv_id, turn, md5(trim(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', '', 'g'), spaces)) AS letters, md5(translate(text, ', ' || chr(9) || chr(10) || chr(13), '')) AS joined,
+    regexp_replace(left(text, 20), '[^\p{L}\p{N}._-]', '_', 'g') AS file_name, md5(replace('Say {word}, then {word}.', '{word}', left(text, 9))) AS prompt, to_json({'conv_id': conv_id, 'turn': nullif(turn, 1), 'role': role}) AS line FROM conversations, s""",
+)
+def q34_text(spark, sf):
+    text = F.col("text")
+    return fx.table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.md5(tx.letters_and_spaces(text).cast("binary")).alias("letters"), F.md5(tx.without_separators(text).cast("binary")).alias("joined"), tx.safe_name(F.left(text, F.lit(20))).alias("file_name"),
+        F.md5(tx.filled(F.lit("Say {word}, then {word}."), F.left(text, F.lit(9))).cast("binary")).alias("prompt"), tx.json_line("conv_id", F.nullif("turn", F.lit(1)).alias("turn"), "role").alias("line"),
+    )
+
+
+@query(
+    "q34_prompts",
+    """SELECT DISTINCT norm, c_mktsegment AS word, replace(template, '{word}', c_mktsegment) AS prompt FROM customer, (VALUES ('long', 'How long is "{word}"?'), ('warm', '{word}: warm or cold?')) AS t(norm, template)""",
+)
+def q34_prompts(spark, sf):
+    words = fx.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("word")).distinct()
+    return infer.prompts(words, {"long": 'How long is "{word}"?', "warm": "{word}: warm or cold?"})
+
+
+@query(
+    "q35_vector_rules",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), i AS (SELECT vec_id, v, list_transform(v, lambda x: CAST(floor(x * 10) AS INT)) AS items FROM v)
+SELECT vec_id, round((v[2] + v[6] + v[10]) / 3, 6) + 0.0 AS pooled_mean, round(v[2], 6) + 0.0 AS pooled_first, round(v[10], 6) + 0.0 AS pooled_last, round(list_sum(list_transform(range(1, 65), lambda k: CASE WHEN k % 5 = 1 THEN 0.0 ELSE v[k] END)), 6) + 0.0 AS filled,
+    CAST(coalesce(list_position(items[2:], items[1]), 0) AS INT) AS next_place, round(v[1] + v[2] + v[3], 4) + 0.0 AS parsed, CAST(70 AS INT) AS width, vec_id % 7 < 6 AND 4 < vec_id % 7 + 3 AS overlap, round(log10(pow(10.0, -2 + (vec_id % 12) * 8 / 11.0)), 6) + 0.0 AS exponent FROM i""",
+)
+def q35_vectors(spark, sf):
+    v = vectors_view(spark, sf).select(F.col("cue").alias("vec_id"), "vec")
+    parts = F.array(*(F.slice("vec", k, 4) for k in (1, 5, 9)))
+    holes = F.transform("vec", lambda x, k: F.when(k % 5 == 0, F.lit(float("nan"))).otherwise(x))
+    items = F.transform("vec", lambda x: F.floor(x * 10).cast("int"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda t, x: t + x)
+    at = F.col("vec_id") % 7
+    place = vx.first_from(items, F.get(items, F.lit(0)), 1)
+    return v.select(
+        "vec_id", *(r6(F.get(vx.pooled(parts, how), F.lit(1))).alias(f"pooled_{how}") for how in ("mean", "first", "last")), r6(total(vx.nan_as_zero(holes))).alias("filled"), F.greatest(place, F.lit(0)).cast("int").alias("next_place"),
+        (F.round(total(F.transform(vx.parsed(F.to_json(F.slice("vec", 1, 3))), lambda x: x.cast("double"))), 4) + F.lit(0.0)).alias("parsed"), F.size(vx.padded(F.col("vec"), 70)).alias("width"), vx.spans_overlap(at, at + 3, F.lit(4), F.lit(6)).alias("overlap"),
+        r6(F.log10(F.get(vx.log_grid(-2, 6, 12), (F.col("vec_id") % 12).cast("int")))).alias("exponent"),
+    )
