@@ -1,5 +1,11 @@
 """Every query against its DuckDB statement; those without one against what must hold."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -33,3 +39,13 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
+def test_engine_stands_alone(tmp_path):
+    """Without the training-data folders and their pipeline everything else is there."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "cuelattice", tmp_path / "cuelattice", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; from cuelattice import queries as q; import cuelattice.__main__; assert set(e.queries()) == set(q.QUERIES) and set(e.oracle_sql()) == set(q.ORACLES)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=False)
+    assert done.returncode == 0, done.stderr
