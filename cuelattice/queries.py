@@ -469,7 +469,7 @@ def q20_paired(spark, sf):
     holes = F.when(F.col("cue") % 7 == 0, F.transform("vec", lambda x: F.lit(float("nan")))).otherwise(F.col("vec"))
     behavior, activation = v.select(F.lit("passive_m-8-b-x").alias("embedding_key"), "cue", "vec"), v.select(F.lit("activation_m-8b-x").alias("embedding_key"), "cue", holes.alias("vec"))
     out = evaluate.paired_scores(plane(behavior), plane(activation), evaluate.targets(ratings_view(spark, sf)))
-    return out.filter("delta = 0").select("norm", "n_samples")
+    return out.filter("abs(delta) < 1e-9").select("norm", "n_samples")
 
 
 _LINE = "SELECT l_returnflag AS norm, l_linestatus AS status, l_quantity AS x, l_extendedprice AS y FROM lineitem"
