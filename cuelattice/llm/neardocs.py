@@ -2,8 +2,7 @@
 
 Two texts are linked if their sets of ``SHINGLE``-word shingles reach a Jaccard similarity of ``LEAST`` (a fraction). Such
 sets share one of the ``n - ceil(LEAST * n) + 1`` first shingles of either in any common order, so these shingles are the keys
-of blocks. The order is by rarity in a sample, so that passages shared by many documents come last; the sample changes the
-cost only. Within a block, fingerprints of ``WORDS`` 64-bit words are compared plane by plane (``simhash.near_pairs`` and
+of blocks. The order is by rarity among all texts, so that passages shared by many documents come last. Within a block, fingerprints of ``WORDS`` 64-bit words are compared plane by plane (``simhash.near_pairs`` and
 ``near_block``) and pairs beyond ``RADIUS`` bits are dropped: at the least similarity a bit differs with probability 0.19 or
 less, so that the radius is five and a half standard deviations away. What is left is checked on the texts, exactly.
 
@@ -39,8 +38,8 @@ WORDS, RADIUS = 4, 84
 SMALL, BLOCK = 8, 1024
 #: Shingles up to which a set's codes have 16 bits.
 NARROW = 4096
-#: Documents whose shingles are counted for the order, and the most counts that are broadcast.
-SAMPLE, COMMON = 20_000, 100_000
+#: Shingles of a task among which repeated ones are found at once, and the most counts that are broadcast.
+PIECE, COMMON = 1 << 21, 100_000
 #: Nodes that a task remembers, so as to give the keys of repeated texts once.
 SEEN = 200_000
 #: Rows of a few numbers up to which a table is broadcast; beyond it both sides are shuffled.
@@ -101,14 +100,53 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
     return bottom * both >= top * (len(a) + len(b) - both)
 
 
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """(shingles, counts, part) of the commonest shingles of a sample of one in ``part`` distinct ``texts`` (text), by shingle."""
-    part = max(1, texts.count() // SAMPLE)
-    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
-    found = map_columns(some, lambda t: {"s": [shingles(x) for x in t]}, "s array<long>").select(F.explode("s").alias("s"))
-    rows = found.groupBy("s").count().filter("count > 4").orderBy(F.desc("count"), "s").limit(COMMON).collect()
-    rows.sort()
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), part
+def _batch(found: np.ndarray, counts: np.ndarray):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts.astype(np.int64), pa.int64())], names=["s", "n"])
+
+
+def repeated(batches):
+    """(s, n) of the shingles that are met more than once in a piece of a task's texts, with their number there."""
+    held, size = [], 0
+    for batch in batches:
+        for text in batch.column(0):
+            held.append(shingles(text.as_py()))
+            size += len(held[-1])
+            if size >= PIECE:
+                found, n = np.unique(np.concatenate(held), return_counts=True)
+                yield _batch(found[n > 1], n[n > 1])
+                held, size = [], 0
+    if held:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        yield _batch(found[n > 1], n[n > 1])
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts): the commonest shingles, in order, and the number of all ``texts`` (text) that have each of them.
+
+    A first pass over all texts finds the shingles that are repeated within a piece; those of more texts than there are pieces
+    are always among them. A second pass counts the COMMON most repeated ones exactly.
+    """
+    ship_code(texts.sparkSession)
+    some = texts.mapInArrow(repeated, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(COMMON)
+    known = np.sort(some.select("s").toArrow().column("s").to_numpy())
+    if not len(known):
+        return known, known
+    held = texts.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches):
+        known = held.value
+        total = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                own = shingles(text.as_py())
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                total[at[known[at] == own]] += 1  # a text's shingles are distinct
+        yield _batch(known[total > 0], total[total > 0])
+
+    found = texts.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n > 4").orderBy("s").toArrow()  # at most COMMON rows
+    return found.column("s").to_numpy(), found.column("n").to_numpy()
 
 
 def prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: tuple = ()) -> DataFrame:
@@ -122,7 +160,7 @@ def prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", common
     seen: dict[int, tuple[int, bytes]] = {}
 
     def run(ids, texts, hashes):
-        common, counts, _ = known.value
+        common, counts = known.value
         out: dict[str, list] = {"id": ids, "hash": hashes, "fp": [node_of(t) for t in texts], "n": [], "sig": [], "keys": []}
         for fp, t in zip(out["fp"], texts, strict=True):
             first = None
@@ -325,8 +363,8 @@ def links(df: DataFrame, held: DataFrame, nodes: DataFrame, common: tuple, id_co
     """(u, v) of nodes whose components are those of all near pairs; ``held`` has the prints of ``df``."""
     spark = df.sparkSession
     keyed = held.filter("keys is not null").select("fp", "n", F.explode("keys").alias("key"))
-    # blocks that the sample shows to be large are divided from the start
-    hot = [(int(k), int(-(-c * common[2] // BLOCK))) for k, c in zip(common[0], common[1], strict=True) if c * common[2] > BLOCK]
+    # blocks of shingles that so many texts have are divided from the start
+    hot = [(int(k), int(-(-c // BLOCK))) for k, c in zip(*common, strict=True) if c > BLOCK]
     if hot:
         keyed = keyed.join(F.broadcast(spark.createDataFrame(hot, "key long, parts int")), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     else:

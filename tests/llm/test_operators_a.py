@@ -442,6 +442,15 @@ def test_dropped_copies_against_brute_force_jaccard(spark, monkeypatch, block, s
     assert sorted(r["doc_id"] for r in neardocs.drop_near_duplicates(df).collect()) == sorted(set(jaccard_roots(texts)))
 
 
+def test_common_shingles_are_counted_in_all_texts(spark):
+    texts = spark.range(45_000).selectExpr("concat('w', id, if(id % 1000 = 0, ' a b c d e a b c d e', ' x y z'), if(id % 9000 = 0, ' f g h i j', '')) AS text")
+    found, counts = neardocs.common_shingles(texts)
+    got = dict(zip(found.tolist(), counts.tolist(), strict=True))
+    named = lambda t: int(neardocs.shingles(t)[0])
+    assert got[named("a b c d e")] == got[named("d e a b c")] == 45 and got[named("f g h i j")] == 5 and len(got) == 10
+    assert list(got) == sorted(got)
+
+
 def test_wide_radius_loses_no_near_pair():
     rng = np.random.default_rng(3)
     most = 0
