@@ -6,7 +6,7 @@ row or column that holds a third of all cells is summed before it is shuffled an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelattice.functions.text import response_set, stripped, word_key
@@ -35,14 +35,27 @@ def frequent(words: DataFrame, col: str, least: int = 5) -> DataFrame:
 def dense_index(df: DataFrame, *keys: str, name: str = "idx") -> DataFrame:
     """``df`` with places 0..n-1 in the order of ``keys``, which must be unique together.
 
-    Rows are range-partitioned and written out; a row's place is its place in its range plus the sizes of the ranges
-    before. Only one row a partition is gathered, so there is no single sorted task.
+    Rows are range-partitioned, sorted and written out; a row's place is its place in its range plus the sizes of the ranges
+    before. Only one row a range is gathered, so there is no single sorted task, and the rows are shuffled once.
     """
-    ranged = written(df.repartitionByRange(*map(F.col, keys)).withColumn("__range", F.spark_partition_id()))
-    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    return numbered(written(in_ranges(df, *map(F.col, keys))), name)
+
+
+def in_ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` in ranges of ``order``, each sorted, with ``__m``: the range's number in the upper bits, the place in it in the lower 33.
+
+    The numbers hold for one run only: write the result before it is used twice.
+    """
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+
+
+def numbered(ranged: DataFrame, name: str) -> DataFrame:
+    """The rows of ``in_ranges``, written, with their place over all ranges instead of ``__m``."""
+    span = F.shiftright("__m", 33)
+    sizes = ranged.groupBy(span.alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
-    return ranged.join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + place).cast("long")).drop("__range", "__before")
+    place = F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(before), span == F.col("__range")).withColumn(name, place.cast("long")).drop("__range", "__before", "__m")
 
 
 def in_vocabulary(pairs: DataFrame, vocabulary: DataFrame, *cols: str) -> DataFrame:

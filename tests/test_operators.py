@@ -82,6 +82,29 @@ def test_derangement(spark, values):
     assert all(r["r1"] != values[r["id"]] for r in out)
 
 
+def test_derangement_moves_rows_little(spark):
+    rows = spark.range(40_000).selectExpr("id", "'c' AS cue", "IF(id % 3 = 0, 'hot', concat('w', id % 7000)) AS r1", "concat('x', id % 11) AS r2", "IF(id % 5 = 0, NULL, 'y') AS r3")
+    cols = ["r1", "r2", "r3"]
+    after = sampling.derange(rows, "id", cols)
+    # no md5 travels with the two sides
+    text = after._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in text and "__t" not in text
+    assert sampling.conflicts(rows, after, "id", cols).collect() == [(40_000, 0)]
+    assert rows.select(cols).exceptAll(after.select(cols)).count() == 0
+    same = rows.select("id", "cue", *(F.when(F.col("id") < 7, F.col(c)).otherwise(F.lit("z")).alias(c) for c in cols))
+    assert sampling.conflicts(rows, same, "id", cols).collect() == [(40_000, 7)]
+    assert sampling.conflicts(rows.limit(0), same, "id", cols).collect() == [(0, None)]
+    swapped = spark.createDataFrame([(1, None, "a"), (2, "a", "b")], "id long, p string, q string")
+    other = spark.createDataFrame([(1, "a", None), (2, "a", "b")], "id long, p string, q string")  # nulls are left out of hashes: alike, but not equal
+    assert sampling.conflicts(swapped, other, "id", ["p", "q"]).collect() == [(2, 1)]
+
+
+def test_places_of_many_ranges(spark):
+    rows = spark.range(0, 5000, 1, 8).selectExpr("(id * 7919) % 5000 AS k", "id % 3 AS v")
+    out = assoc.dense_index(rows, "k").collect()
+    assert all(r["idx"] == r["k"] for r in out) and len(out) == 5000 and out[0].__fields__ == ["k", "v", "idx"]
+
+
 def test_alignment_and_sanitation(spark):
     cues = spark.createDataFrame([("a",), ("b",), ("c",)], "cue string")
     vecs = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], "cue string, vec array<float>")
