@@ -7,9 +7,12 @@ scored if it lies over the answer's characters, up to the first end marker behin
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from cuelattice.plans.session import ship_code
 #: Fixed value: the label of a token that is not scored.
 IGNORED = -100
 TOKENS = "array<struct<id:int,a:int,b:int>>"
+#: Characters of the texts whose tokens a task has at once.
+PART = 1 << 18
 Tokenizer = Callable[[str], list[tuple[int, int, int]]]
 
 
@@ -37,15 +42,43 @@ def piecewise(text: str) -> list[tuple[int, int, int]]:
 
 def tokenised(rows: DataFrame, make: Callable[[], Tokenizer], text: str = "text") -> DataFrame:
     """``rows`` with ``tokens`` (id, a, b) of a text, whose characters a to b a token stands for; null texts have no tokens."""
+    from pyspark.sql import types as T
+
     ship_code(rows.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    schema = T.StructType([*rows.schema.fields, T.StructField("tokens", T.DataType.fromDDL(TOKENS))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = make()
-        for pdf in batches:
-            yield pdf.assign(tokens=[[{"id": i, "a": a, "b": b} for i, a, b in split(t)] if isinstance(t, str) else [] for t in pdf[text]])
-
-    return rows.mapInPandas(run, f"{schema}, tokens {TOKENS}")
+        for batch in batches:
+            for part in pieces(batch, text):
+                yield with_tokens(part, text, split)
+
+    return rows.mapInArrow(run, schema)
+
+
+def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch cut so that each part has at most PART characters of text, or one row."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    at, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > at and held + n > PART:
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += n
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
+def with_tokens(part: pa.RecordBatch, text: str, split: Tokenizer) -> pa.RecordBatch:
+    """The rows with their tokens, as flat arrays of numbers: an object a token would take many times the text's memory."""
+    ends, flat = [0], array("i")
+    for t in part.column(text).to_pylist():
+        for token in split(t) if t is not None else ():
+            flat.extend(token)
+        ends.append(len(flat) // 3)
+    places = np.array(flat, np.int32).reshape(-1, 3)
+    fields = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(places[:, k])) for k in range(3)], names=["id", "a", "b"])
+    return pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)], names=[*part.schema.names, "tokens"])
 
 
 def answer_end(tokens: Column, start: Column, end: Column, marker: int | None = None) -> Column:

@@ -148,3 +148,22 @@ def test_null_texts_and_batches_of_near_equal_length(spark):
 
 def test_names_are_made_from_the_table(spark, data):
     assert fx.names_of_embeddings(spark, data).count() > 50
+
+
+def test_tokens_of_few_texts_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["a b, c " * 40] * 4000 + [None, "", "x" * (inputs.PART + 1), "y z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["k", "text"])
+    parts = list(inputs.pieces(batch, "text"))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist() and [p.num_rows for p in parts[-2:]] == [1, 1]
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p["text"].to_pylist()) <= inputs.PART for p in parts)
+    tracemalloc.start()
+    for part in parts:
+        out = inputs.with_tokens(part, "text", inputs.piecewise)
+        assert [[(t["id"], t["a"], t["b"]) for t in x] for x in out["tokens"].slice(0, 3).to_pylist()] == [inputs.piecewise(t or "") for t in part["text"].to_pylist()[:3]]
+    assert tracemalloc.get_traced_memory()[1] < 10_000_000  # 640,000 tokens as objects take over 150 MB
+    tracemalloc.stop()
+    assert out["tokens"].to_pylist() == [[{"id": 121, "a": 0, "b": 1}, {"id": 154, "a": 1, "b": 3}]]
