@@ -13,6 +13,7 @@ What reaches the driver are triangles of (components + OVER)**2 numbers, at most
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +45,23 @@ def _table(rows: list[tuple], ddl: str) -> pa.Table:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells (ib, jb, i, j, x) sorted by block to (ib, jb, ii, jj, xx) of at most PACK cells."""
-    names = ["ib", "jb", "ii", "jj", "xx"]
-    for batch in batches:
-        ib, jb, i, j, x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        new = np.flatnonzero((np.diff(ib, prepend=-1) != 0) | (np.diff(jb, prepend=-1) != 0))
-        for a, end in zip(new, np.append(new[1:], len(ib)), strict=True):
+    """Cells (ib, jb, i, j, x) sorted by block to (ib, jb, ii, jj, xx) of at most PACK cells; all packs of a block but its last are full."""
+    names, kinds = ["ib", "jb", "ii", "jj", "xx"], (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    held = [np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int64, float)]
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
+        ib, jb, i, j, x = held
+        new, done = np.flatnonzero((np.diff(ib, prepend=-1) != 0) | (np.diff(jb, prepend=-1) != 0)), 0
+        for a, end in zip(new, [*new[1:], len(ib)][: len(new)], strict=True):
             for at in range(a, end, PACK):
                 b = min(at + PACK, end)
+                if batch is not None and b == len(ib) and b - at < PACK:
+                    continue  # the next batch may go on with this pack
                 row = [int(ib[a]), int(jb[a]), (i[at:b] - ib[a] * SIDE).astype(np.int32).tobytes(), (j[at:b] - jb[a] * SIDE).astype(np.int32).tobytes(), x[at:b].astype(float).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+                done = b
+        held = [h[done:] for h in held]
 
 
 def packs(cells: DataFrame) -> DataFrame:
