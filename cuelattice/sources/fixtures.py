@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from cuelattice.operators.assoc import long_form
 
 WORDS = r"[^\p{L}\p{N}]+"
-#: Bytes for every core from which a table's own splits are enough.
-SPREAD_BYTES = 64 << 20
+#: Bytes of a table, as the planner estimates them, that a task works on at most.
+TASK_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores if it is small: a small file is often one row group, which one task would read and work on.
+    """``df`` dealt to all cores, and to as many tasks as leave each of them TASK_BYTES at most.
 
-    A table with SPREAD_BYTES for every core has row groups enough, and is not shuffled.
+    A table's own splits are row groups: a small file is often one, and those of a large one hold so many words that a task's
+    counts of different pairs would take gigabytes.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SPREAD_BYTES * cores else df
+    return df.repartition(max(cores, -(-size // TASK_BYTES)))
 
 
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:

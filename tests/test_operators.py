@@ -105,6 +105,32 @@ def test_places_of_many_ranges(spark):
     assert all(r["idx"] == r["k"] for r in out) and len(out) == 5000 and out[0].__fields__ == ["k", "v", "idx"]
 
 
+def test_packs_are_full_whatever_the_batches(monkeypatch):
+    import pyarrow as pa
+
+    from cuelattice.operators import rangefinder
+
+    monkeypatch.setattr(rangefinder, "PACK", 1000)
+    ib = np.repeat([0, 1, 2], [2500, 1000, 30])
+    cells = pa.table({"ib": ib, "jb": 0 * ib, "i": ib * rangefinder.SIDE + 3, "j": np.arange(len(ib)) % 50, "x": np.arange(len(ib)) / 7})
+    for size in (1, 7, 400, 1000, 9999):
+        found = [r for b in rangefinder._packed(iter(cells.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert [(r["ib"], len(r["xx"]) // 8) for r in found] == [(0, 1000), (0, 1000), (0, 500), (1, 1000), (2, 30)]
+        assert b"".join(r["xx"] for r in found) == cells["x"].to_numpy().tobytes() and set(b"".join(r["ii"] for r in found)) == {0, 3}
+    assert list(rangefinder._packed(iter([]))) == []
+
+
+def test_tasks_of_large_tables_are_small(spark, tmp_path, monkeypatch):
+    from cuelattice.sources import fixtures as fx
+
+    spark.range(100_000).selectExpr("id AS doc_id", "sha2(cast(id AS string), 256) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = fx.table(spark, str(tmp_path), "documents")
+    assert fx.spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(fx, "TASK_BYTES", 1 << 18, raising=False)
+    monkeypatch.setattr(fx, "SPREAD_BYTES", 1 << 18, raising=False)
+    assert 20 <= fx.spread(docs).rdd.getNumPartitions() <= 40  # 6.9 MB or so
+
+
 def test_alignment_and_sanitation(spark):
     cues = spark.createDataFrame([("a",), ("b",), ("c",)], "cue string")
     vecs = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], "cue string, vec array<float>")
