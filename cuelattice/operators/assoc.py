@@ -58,10 +58,22 @@ def numbered(ranged: DataFrame, name: str) -> DataFrame:
     return ranged.join(F.broadcast(before), span == F.col("__range")).withColumn(name, place.cast("long")).drop("__range", "__before", "__m")
 
 
-def in_vocabulary(pairs: DataFrame, vocabulary: DataFrame, *cols: str) -> DataFrame:
-    """The rows whose ``cols`` are all words of ``vocabulary`` (word, ...)."""
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", tasks: int = 0) -> DataFrame:
+    """``left`` joined with ``right`` by ``keys``; if ``tasks`` is given, in so many partitions, whatever the session's number is.
+
+    A task sorts its share of both sides, so ``tasks`` is to grow with them. Both sides are dealt: the planner would else take
+    the number of a side that is grouped already. It does not split the partition of a frequent key then, so such a key's
+    rows should be few beside all rows, as the different responses of a cue are.
+    """
+    if tasks:
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+    return left.join(right, keys, how)
+
+
+def in_vocabulary(pairs: DataFrame, vocabulary: DataFrame, *cols: str, tasks: int = 0) -> DataFrame:
+    """The rows whose ``cols`` are all words of ``vocabulary`` (word, ...); ``tasks`` as in ``joined``."""
     for c in cols:
-        pairs = pairs.join(vocabulary.select(F.col("word").alias(c)), c, "left_semi")
+        pairs = joined(pairs, vocabulary.select(F.col("word").alias(c)), [c], "left_semi", tasks)
     return pairs
 
 

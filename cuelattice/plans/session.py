@@ -52,10 +52,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def written(df):
+def written(df, tasks: int = 0):
     """``df`` written to spark.checkpoint.dir: lineage ends there, and a lost executor costs a read.
 
-    Under SETTINGS the files go once nothing refers to them.
+    Under SETTINGS the files go once nothing refers to them. Where ``df`` is shuffled, it is so to ``tasks`` partitions at
+    least, however few the session asks for; the adaptive planner still merges small ones.
     """
+    conf, key = df.sparkSession.conf, "spark.sql.shuffle.partitions"
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    usual = conf.get(key)
+    if int(usual) >= tasks:
+        return df.checkpoint(eager=True)
+    conf.set(key, str(tasks))
+    try:
+        return df.select("*").checkpoint(eager=True)  # planned anew: a frame keeps its first plan
+    finally:
+        conf.set(key, usual)

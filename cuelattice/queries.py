@@ -66,7 +66,7 @@ def q02(spark, sf):
     + """SELECT cue, trim(part) AS response, count(*) AS n FROM (SELECT lower(cue) AS cue, unnest(string_split(concat_ws(', ', lower(r1), lower(r2), lower(r3)), ',')) AS part FROM triplets) GROUP BY ALL""",
 )
 def q03(spark, sf):
-    return assoc.pair_counts(assoc.exploded_sets(fx.triplets(spark, sf)))
+    return written(assoc.pair_counts(assoc.exploded_sets(fx.triplets(spark, sf))), fx.tasks_for(fx.texts(spark, sf)))
 
 
 @query("q04_rating_coercion", fx.over("rated") + "SELECT row_id, model, norm, word, rating FROM rated")
@@ -80,9 +80,10 @@ _COUNTS = "SELECT cue, response, count(*) AS n FROM pairs WHERE cue IN (SELECT w
 
 def counts_view(spark, sf) -> DataFrame:
     # pairs are counted first: the vocabulary and the filter then work on counts, which are fewer
-    counts = written(assoc.pair_counts(fx.pairs(spark, sf)))
+    tasks = fx.tasks_for(fx.texts(spark, sf))
+    counts = written(assoc.pair_counts(fx.pairs(spark, sf)), tasks)
     vocabulary = counts.groupBy(F.col("response").alias("word")).agg(F.sum("n").alias("n")).filter("n >= 5")
-    return assoc.in_vocabulary(counts, vocabulary, "cue", "response")
+    return assoc.in_vocabulary(counts, vocabulary, "cue", "response", tasks=tasks)
 
 
 @query("q05_vocab_semi_filter", fx.over("pairs", vocabulary=_VOCABULARY) + _COUNTS)

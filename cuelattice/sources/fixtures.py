@@ -16,21 +16,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks_for(df: DataFrame) -> int:
+    """As many tasks as there are cores, and as leave each of them TASK_BYTES of ``df`` at most."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(cores, -(-size // TASK_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores, and to as many tasks as leave each of them TASK_BYTES at most.
 
     A table's own splits are row groups: a small file is often one, and those of a large one hold so many words that a task's
     counts of different pairs would take gigabytes.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(max(cores, -(-size // TASK_BYTES)))
+    return df.repartition(tasks_for(df))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, cue, r1, r2, r3): the words of whole documents in runs of four; a last short run has null responses."""
     words = F.filter(F.split("text", WORDS), lambda w: w != "")
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words.alias("w"))
+    docs = spread(texts(spark, sf_dir)).select("doc_id", words.alias("w"))
     run = lambda at: F.struct(F.floor(at / 4).alias("at"), *(F.get("w", at + k).alias(n) for k, n in enumerate(("cue", "r1", "r2", "r3"))))
     # runs are made before they are exploded: rows that carried the words of the whole text would be quadratic in its length
     runs = docs.select("doc_id", F.explode(F.when(F.size("w") > 0, F.transform(F.expr("sequence(0, greatest(size(w) - 1, 0), 4)"), run))).alias("run"))

@@ -131,6 +131,40 @@ def test_tasks_of_large_tables_are_small(spark, tmp_path, monkeypatch):
     assert 20 <= fx.spread(docs).rdd.getNumPartitions() <= 40  # 6.9 MB or so
 
 
+@pytest.mark.parametrize("name", ["q03_response_set_explode", "q05_vocab_semi_filter"])
+def test_counts_of_pairs_are_dealt_by_size(name, spark, data, monkeypatch):
+    from cuelattice.queries import QUERIES
+    from cuelattice.sources import fixtures as fx
+
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    few = QUERIES[name](spark, data).collect()
+    monkeypatch.setattr(fx, "TASK_BYTES", 1 << 13)
+    tasks = -(-int(str(fx.texts(spark, data)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // (1 << 13))
+    spark.conf.set(key, "false")
+    try:
+        many = QUERIES[name](spark, data)
+        assert many.rdd.getNumPartitions() == tasks > 4
+        assert sorted(many.collect()) == sorted(few)
+    finally:
+        spark.conf.unset(key)
+
+
+def test_written_in_more_tasks(spark):
+    from cuelattice.plans.session import written
+
+    keys = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
+    spark.conf.set(keys[0], "false")
+    try:
+        counts = spark.range(100).selectExpr("id % 10 AS k").groupBy("k").count()
+        assert [written(counts, n).rdd.getNumPartitions() for n in (23, 3)] == [23, 4]
+        assert sorted(map(tuple, written(counts, 23).collect())) == [(k, 10) for k in range(10)]
+        with pytest.raises(Exception, match="(?i)divi"):
+            written(spark.range(9).selectExpr("1 / (id - 5) AS x").groupBy("x").count(), 23)
+        assert spark.conf.get(keys[1]) == "4"
+    finally:
+        spark.conf.unset(keys[0])
+
+
 def test_alignment_and_sanitation(spark):
     cues = spark.createDataFrame([("a",), ("b",), ("c",)], "cue string")
     vecs = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], "cue string, vec array<float>")
