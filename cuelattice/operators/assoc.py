@@ -81,22 +81,22 @@ def pair_counts(pairs: DataFrame, row: str = "cue", col: str = "response") -> Da
     return pairs.groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ppmi(cells: DataFrame, rows: list[str], cols: list[str], value: str = "n", smooth: float = 1e-10, name: str = "ppmi", by: tuple[str, ...] = ()) -> DataFrame:
+def ppmi(cells: DataFrame, rows: list[str], cols: list[str], value: str = "n", smooth: float = 1e-10, name: str = "ppmi", by: tuple[str, ...] = (), tasks: int = 0) -> DataFrame:
     """``cells`` with positive pointwise mutual information; cells that are not above zero are left out.
 
     max(0, log2(v * total / (row total * column total + smooth))), for each matrix that ``by`` tells apart. Cells whose
     score is 0 stay. Row, column and matrix totals are summed before they are shuffled and joined back. The cells are needed
-    for each total and once more, so they are written out first: counting them is dearer than reading them.
+    for each total and once more, so they are written out first: counting them is dearer than reading them. ``tasks`` as in ``joined``.
     """
     v, by = F.col(value), list(by)
     cells = written(cells.filter(v > 0))
     by_row = cells.groupBy(*by, *rows).agg(F.sum(v).alias("__r"))
     by_col = cells.groupBy(*by, *cols).agg(F.sum(v).alias("__c"))
     total = cells.groupBy(*by).agg(F.sum(v).alias("__t"))
-    joined = cells.join(by_row, [*by, *rows]).join(by_col, [*by, *cols])
-    joined = joined.join(total, by) if by else joined.join(F.broadcast(total))  # without groups: one row
+    out = joined(joined(cells, by_row, [*by, *rows], tasks=tasks), by_col, [*by, *cols], tasks=tasks)
+    out = out.join(total, by) if by else out.join(F.broadcast(total))  # without groups: one row
     score = F.greatest(F.lit(0.0), F.log2(v * F.col("__t") / (F.col("__r") * F.col("__c") + F.lit(smooth))))
-    return joined.withColumn(name, score).drop("__r", "__c", "__t")
+    return out.withColumn(name, score).drop("__r", "__c", "__t")
 
 
 def row_distribution(scores: DataFrame, rows: list[str], col: str, log_prob: str = "lp") -> DataFrame:

@@ -179,7 +179,7 @@ def ppmi_sql(cells: str, row: str, col: str, value: str) -> str:
 
 @query("q10_ppmi_counts", fx.over("pairs", vocabulary=_VOCABULARY, counts=_COUNTS) + f"SELECT cue, response, n, round({ppmi_sql('counts', 'cue', 'response', 'n')}, 6) + 0.0 AS ppmi FROM counts")
 def q10(spark, sf):
-    return assoc.ppmi(counts_view(spark, sf), ["cue"], ["response"]).select("cue", "response", "n", r6("ppmi").alias("ppmi"))
+    return assoc.ppmi(counts_view(spark, sf), ["cue"], ["response"], tasks=fx.tasks_for(fx.texts(spark, sf))).select("cue", "response", "n", r6("ppmi").alias("ppmi"))
 
 
 def _distribution_sql(source: str) -> str:

@@ -131,7 +131,7 @@ def test_tasks_of_large_tables_are_small(spark, tmp_path, monkeypatch):
     assert 20 <= fx.spread(docs).rdd.getNumPartitions() <= 40  # 6.9 MB or so
 
 
-@pytest.mark.parametrize("name", ["q03_response_set_explode", "q05_vocab_semi_filter"])
+@pytest.mark.parametrize("name", ["q03_response_set_explode", "q05_vocab_semi_filter", "q10_ppmi_counts"])
 def test_counts_of_pairs_are_dealt_by_size(name, spark, data, monkeypatch):
     from cuelattice.queries import QUERIES
     from cuelattice.sources import fixtures as fx
