@@ -14,6 +14,8 @@ from cuelattice.plans.session import checkpoint_dir, ship_code, written
 
 #: Rows handed to a row function at once; bounds the Python-side memory of a batch of long texts.
 CHUNK_BYTES = 8 << 20
+#: Rows of a few numbers that are worth a task.
+TASK_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,22 @@ def map_columns(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str)
 saved = written
 
 
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows of a few numbers, in tasks of TASK_ROWS, but as many as the cluster has cores at least.
+
+    Partitions beyond that are merged without a shuffle, so rows of one key stay together. Rounds over small tables then do not take
+    the session's number of shuffle partitions in tasks, and as many files, each time, where the planner does not merge them itself.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
+def settled(df: DataFrame, width: int = 1) -> tuple[DataFrame, int]:
+    """``df`` written, in few tasks, and its number of rows; one is as wide as ``width`` rows of a few numbers."""
+    held = saved(df)
+    rows = in_few(held, 0).count()
+    return in_few(held, rows * width), rows
+
+
 class Scratch:
     """Parquet tables below spark.checkpoint.dir for loops: they are removed on leaving, or sooner by ``keep_only``.
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import map_columns, saved, ship_code, text_or_empty
+from cuelattice.llm.common import in_few, map_columns, saved, settled, ship_code, text_or_empty
 from cuelattice.llm.components import components
 from cuelattice.llm.simhash import bits_of, join_labels, near_block, near_pairs
 
@@ -44,11 +44,13 @@ PIECE, COMMON = 1 << 21, 100_000
 SEEN = 200_000
 #: Rows of a few numbers up to which a table is broadcast; beyond it both sides are shuffled.
 FEW = 500_000
+#: Rows of a few numbers that one with a text, or with the codes of a set, is as wide as.
+WIDE = 16
 
 
-def broadcast_if_few(rows: DataFrame, most: int = FEW) -> DataFrame:
-    """``rows`` (written, so that counting is cheap) with a broadcast hint if there are at most ``most``."""
-    return F.broadcast(rows) if rows.count() <= most else rows
+def broadcast_if_few(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, ``n`` in number, with a broadcast hint if these are at most FEW."""
+    return F.broadcast(rows) if n <= FEW else rows
 
 
 def shingles(text: str) -> np.ndarray:
@@ -145,8 +147,10 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 total[at[known[at] == own]] += 1  # a text's shingles are distinct
         yield _batch(known[total > 0], total[total > 0])
 
-    found = texts.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n > 4").orderBy("s").toArrow()  # at most COMMON rows
-    return found.column("s").to_numpy(), found.column("n").to_numpy()
+    found = texts.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n > 4").toArrow()  # at most COMMON rows
+    common, counts = (found.column(c).to_numpy() for c in "sn")
+    order = np.argsort(common)
+    return common[order], counts[order]
 
 
 def prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: tuple = ()) -> DataFrame:
@@ -183,15 +187,16 @@ def prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", common
     return map_columns(rows, run, f"id {kind}, hash long, fp long, n int, sig binary, keys array<long>")
 
 
-def in_blocks(rows: DataFrame, columns: dict[str, str], compare: Callable, schema: str) -> DataFrame:
+def in_blocks(rows: DataFrame, columns: dict[str, str], compare: Callable, schema: str, size: int | None = None) -> DataFrame:
     """What ``compare(key, columns of a block)`` gives, as rows of arrays, for each (key, x, y) of ``rows``.
 
-    ``columns`` has the columns with their types, long or binary; a block is in the order of n, then fp.
+    If the number of rows is known, blocks go to tasks by it (``size``: that number, times the width of a row). ``columns`` has the columns with their types, long or binary; a block is in the order of n, then fp.
     """
     import pyarrow as pa
 
     ship_code(rows.sparkSession)
-    dealt = rows.select("key", "x", "y", *(F.col(c).cast(k).alias(c) for c, k in columns.items())).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n", "fp")
+    dealt = rows.select("key", "x", "y", *(F.col(c).cast(k).alias(c) for c, k in columns.items())).repartition("key", "x", "y")
+    dealt = (dealt if size is None else in_few(dealt, size)).sortWithinPartitions("key", "x", "y", "n", "fp")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def plain(batch):
@@ -219,7 +224,8 @@ def in_blocks(rows: DataFrame, columns: dict[str, str], compare: Callable, schem
         if held is not None and len(held[0]):
             yield out(held)
 
-    return dealt.mapInArrow(run, schema).distinct()
+    out = dealt.mapInArrow(run, schema).distinct()
+    return out if size is None else in_few(out, size)
 
 
 def _fitting(n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -325,10 +331,11 @@ def other_pairs(key: int, own: dict[str, np.ndarray], take: str) -> list[np.ndar
     return out
 
 
-def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those ``pairs`` (a, b) whose wide fingerprints in ``nodes`` (fp, sig) are within the radius."""
+def compared(pairs: DataFrame, size: int, nodes: DataFrame) -> DataFrame:
+    """Those ``pairs`` (a, b), ``size`` at most, whose wide fingerprints in ``nodes`` (fp, sig) are within the radius."""
     sigs = nodes.select("fp", "sig")
-    both = pairs.join(sigs.select(F.col("fp").alias("a"), F.col("sig").alias("s")), "a").join(sigs.select(F.col("fp").alias("b"), F.col("sig").alias("t")), "b")
+    both = in_few(pairs.join(sigs.select(F.col("fp").alias("a"), F.col("sig").alias("s")), "a"), 4 * size)
+    both = in_few(both.join(sigs.select(F.col("fp").alias("b"), F.col("sig").alias("t")), "b"), 4 * size)
 
     def run(a, b, s, t):
         s, t = (np.frombuffer(b"".join(x), np.uint64).reshape(len(a), -1) for x in (s, t))
@@ -338,29 +345,33 @@ def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_columns(both.select("a", "b", "s", "t"), run, "a long, b long")
 
 
-def distinct_sets(rows: DataFrame) -> DataFrame:
-    """(key, fp) ``rows`` without the keys whose members are just those of another key: comparing them again finds nothing more."""
-    once = rows.groupBy("key").agg(F.count("fp").alias("n"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("x"))
-    kept = saved(once.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key"))
-    return rows.join(broadcast_if_few(kept), "key", "left_semi")
+def distinct_sets(rows: DataFrame, size: int) -> DataFrame:
+    """(key, fp) ``rows``, ``size`` at most, without the keys whose members are just those of another key: comparing them again finds nothing more."""
+    once = in_few(rows.groupBy("key").agg(F.count("fp").alias("n"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("x")), size)
+    kept = settled(in_few(once.groupBy("n", "s", "x").agg(F.min("key").alias("key")), size).select("key"))
+    return in_few(rows.join(broadcast_if_few(*kept), "key", "left_semi"), size)
 
 
-def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v) of those ``pairs`` (a, b), which are written, whose texts in ``texts`` (fp, text) are near."""
-    wanted = broadcast_if_few(pairs)
-    first = texts.join(wanted, F.col("fp") == F.col("a")).select("a", "b", F.col("text").alias("s"))
-    second = texts.join(wanted, F.col("fp") == F.col("b")).select("a", "b", F.col("text").alias("t"))
+def checked(pairs: DataFrame, size: int, texts: DataFrame) -> tuple[DataFrame, int]:
+    """(u, v) of those ``pairs`` (a, b), ``size`` in number and written, whose texts in ``texts`` (fp, text) are near; their number."""
+    wanted = broadcast_if_few(pairs, size)
+    first = in_few(texts.join(wanted, F.col("fp") == F.col("a")), WIDE * size).select("a", "b", F.col("text").alias("s"))
+    second = in_few(texts.join(wanted, F.col("fp") == F.col("b")), WIDE * size).select("a", "b", F.col("text").alias("t"))
 
     def run(a, b, s, t):
         kept = lru_cache(maxsize=64)(shingles)
         fine = [near(kept(x), kept(y)) for x, y in zip(s, t, strict=True)]
         return {"u": [x for x, ok in zip(a, fine, strict=True) if ok], "v": [x for x, ok in zip(b, fine, strict=True) if ok]}
 
-    return saved(map_columns(first.join(second, ["a", "b"]).select("a", "b", "s", "t"), run, "u long, v long"))
+    both = in_few(first.join(second, ["a", "b"]), WIDE * size).select("a", "b", "s", "t")
+    return settled(map_columns(both, run, "u long, v long"))
 
 
 def links(df: DataFrame, held: DataFrame, nodes: DataFrame, common: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(u, v) of nodes whose components are those of all near pairs; ``held`` has the prints of ``df``."""
+    """(u, v) of nodes whose components are those of all near pairs; ``held`` has the prints of ``df``.
+
+    What is written is counted, and goes on in as many tasks as its rows are worth.
+    """
     spark = df.sparkSession
     keyed = held.filter("keys is not null").select("fp", "n", F.explode("keys").alias("key"))
     # blocks of shingles that so many texts have are divided from the start
@@ -370,70 +381,77 @@ def links(df: DataFrame, held: DataFrame, nodes: DataFrame, common: tuple, id_co
     else:
         keyed = keyed.withColumn("parts", F.lit(1))
     keyed = keyed.withColumn("x", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("y", F.col("x"))
-    first = saved(in_blocks(keyed, {"fp": "long", "n": "long", "parts": "long"}, first_pairs, "a long, b long, kind long"))
-    pairs = saved(compared(first.filter("kind = 0").select("a", "b"), nodes))
-    large = saved(distinct_sets(first.filter("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("key"))))
+    first, n_first = settled(in_blocks(keyed, {"fp": "long", "n": "long", "parts": "long"}, first_pairs, "a long, b long, kind long"))
+    pairs, n_pairs = settled(compared(first.filter("kind = 0").select("a", "b"), n_first, nodes))
+    large, n_large = settled(distinct_sets(first.filter("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("key")), n_first))
     size = F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")
     own, every = F.pmod(F.xxhash64("fp"), "parts").cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
 
-    def in_parts(rows, parts):  # each row with all sub-blocks of its key: (x, y) are the lower and the higher of two; before wide columns are joined
-        split = rows.join(parts, "key").withColumn("own", own).withColumn("other", every)
+    def in_parts(rows, parts, n):  # each row with all sub-blocks of its key: (x, y) are the lower and the higher of two; before wide columns are joined
+        split = in_few(rows.join(parts, "key"), n).withColumn("own", own).withColumn("other", every)
         return split.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
 
-    if large.limit(1).count():  # texts that only share a passage end here
-        sizes = large.groupBy("key").agg(F.count("fp").alias("size")).select("key", size)
-        split = in_parts(large, sizes).join(nodes.select("fp", "n", "sig"), "fp")
-        large = saved(in_blocks(split, {"fp": "long", "n": "long", "side": "long", "sig": "binary"}, active, "fp long, key long"))
+    if n_large:  # texts that only share a passage end here
+        sizes = in_few(large.groupBy("key").agg(F.count("fp").alias("size")), n_large).select("key", size)
+        split = in_few(in_parts(large, sizes, n_large).join(nodes.select("fp", "n", "sig"), "fp"), 4 * n_large)
+        large, n_large = settled(in_blocks(split, {"fp": "long", "n": "long", "side": "long", "sig": "binary"}, active, "fp long, key long", 4 * n_large))
     # the text of one row of each node that is compared, found by the id and the hash of its text
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(large.select("fp")).distinct()
-    wanted = broadcast_if_few(saved(wanted.join(nodes, "fp").select("fp", "rep.h", "rep.i")))
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(large.select("fp"))
+    n_wanted = 2 * n_pairs + n_large
+    wanted, n_wanted = settled(in_few(in_few(wanted.distinct(), n_wanted).join(nodes, "fp"), n_wanted).select("fp", "rep.h", "rep.i"))
+    wanted = broadcast_if_few(wanted, n_wanted)
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
-    texts = saved(rows.join(wanted, (F.col("hash") == F.col("h")) & F.col("id").eqNullSafe(F.col("i"))).select("fp", "text").dropDuplicates(["fp"]))
-    found = checked(pairs, texts)
-    if not large.limit(1).count():
+    texts = rows.join(wanted, (F.col("hash") == F.col("h")) & F.col("id").eqNullSafe(F.col("i"))).select("fp", "text").dropDuplicates(["fp"])
+    texts = saved(in_few(texts, WIDE * n_wanted))
+    found, n_found = checked(pairs, n_pairs, texts)
+    if not n_large:
         return found
     kinds = {"fp": "long", "n": "long", "root": "long", "side": "long", "sig": "binary", "codes": "binary"}
-    coded = map_columns(texts.join(large.select("fp").distinct(), "fp", "left_semi").select("fp", "text"), lambda fp, t: {"fp": fp, "codes": [codes_of(shingles(x)) for x in t]}, "fp long, codes binary")
-    members = saved(coded.join(nodes.select("fp", "n", "sig"), "fp"))
+    coded = in_few(texts.join(in_few(large.select("fp").distinct(), n_large), "fp", "left_semi"), WIDE * n_wanted).select("fp", "text")
+    coded = map_columns(coded, lambda fp, t: {"fp": fp, "codes": [codes_of(shingles(x)) for x in t]}, "fp long, codes binary")
+    members, n_members = settled(in_few(coded.join(nodes.select("fp", "n", "sig"), "fp"), WIDE * n_wanted), WIDE)
     columns = ("key", "x", "y", "side", "fp", "n", "root", "sig", "codes")
-    def joined(targets, take):
-        return in_blocks(targets, kinds, partial(other_pairs, take=take), "a long, b long")
+    def joined(targets, take, n):
+        return in_blocks(targets, kinds, partial(other_pairs, take=take), "a long, b long", WIDE * n)
 
     def check(more):
-        nonlocal found, pairs
-        more = saved(more.distinct().join(pairs, ["a", "b"], "left_anti"))
-        if not more.limit(1).count():
-            return None
-        good = checked(more, texts)
-        found, pairs = saved(found.unionByName(good)), saved(pairs.unionByName(more))
-        return more.join(good, (F.col("a") == F.col("u")) & (F.col("b") == F.col("v")), "left_anti")
+        nonlocal found, n_found, pairs, n_pairs
+        more, n = settled(more)
+        more, n = settled(in_few(in_few(more.distinct(), n).join(pairs, ["a", "b"], "left_anti"), n + n_pairs))
+        if not n:
+            return None, 0
+        good, n_good = checked(more, n, texts)
+        found, n_found = settled(in_few(found.unionByName(good), n_found + n_good))
+        pairs, n_pairs = settled(in_few(pairs.unionByName(more), n_pairs + n))
+        return settled(in_few(more.join(good, (F.col("a") == F.col("u")) & (F.col("b") == F.col("v")), "left_anti"), n))
 
     for last in (False, True):
         roots = components(found)
-        rooted = large.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-        shares = rooted.groupBy("key", "root").agg(F.count("fp").alias("size"))
-        most = shares.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.count("root").alias("groups")).filter("groups > 1").select("key", F.col("most.root").alias("most"))
-        rest = saved(rooted.join(most, "key").filter("root <> most").select("key", "fp", "root", "most"))  # of each open block what is outside its largest group
+        rooted = in_few(large.join(roots, F.col("fp") == F.col("node"), "left"), n_large).select("key", "fp", F.coalesce("root", "fp").alias("root"))
+        shares = in_few(rooted.groupBy("key", "root").agg(F.count("fp").alias("size")), n_large)
+        most = in_few(shares.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.count("root").alias("groups")), n_large).filter("groups > 1").select("key", F.col("most.root").alias("most"))
+        rest, n_rest = settled(in_few(rooted.join(most, "key"), n_large).filter("root <> most").select("key", "fp", "root", "most"))  # of each open block what is outside its largest group
         # these against the whole of that group, which is met once whatever the number of its blocks
-        asked = rest.select("most", "fp", "root").distinct()
-        whole = members.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-        whole = whole.join(asked.select("most").distinct(), F.col("root") == F.col("most"))
-        parts = saved(whole.groupBy("most").agg(F.count("fp").alias("size")).select("most", size))
-        targets = whole.join(parts, "most").join(members, "fp").select(F.col("most").alias("key"), own.alias("x"), own.alias("y"), F.lit(1).alias("side"), "fp", "n", "root", "sig", "codes")
-        queries = asked.join(parts, "most").withColumn("x", every).join(members, "fp").select(F.col("most").alias("key"), "x", F.col("x").alias("y"), F.lit(0).alias("side"), "fp", "n", "root", "sig", "codes")
-        more = joined(targets.unionByName(queries), "all" if last else "one")
+        asked = in_few(rest.select("most", "fp", "root").distinct(), n_rest)
+        whole = in_few(members.select("fp").join(roots, F.col("fp") == F.col("node"), "left"), n_members).select("fp", F.coalesce("root", "fp").alias("root"))
+        whole, n_whole = settled(in_few(whole.join(in_few(asked.select("most").distinct(), n_rest), F.col("root") == F.col("most")), n_members))
+        parts = broadcast_if_few(*settled(in_few(whole.groupBy("most").agg(F.count("fp").alias("size")), n_whole).select("most", size)))
+        targets = in_few(in_few(whole.join(parts, "most"), n_whole).join(members, "fp"), WIDE * n_whole).select(F.col("most").alias("key"), own.alias("x"), own.alias("y"), F.lit(1).alias("side"), "fp", "n", "root", "sig", "codes")
+        queries = in_few(in_few(asked.join(parts, "most"), n_rest).withColumn("x", every).join(members, "fp"), WIDE * n_rest).select(F.col("most").alias("key"), "x", F.col("x").alias("y"), F.lit(0).alias("side"), "fp", "n", "root", "sig", "codes")
+        more = joined(targets.unionByName(queries), "all" if last else "one", n_whole + n_rest)
         if not last:
             check(more)
             continue
         # and these among themselves, block by block: so many pairs as would join the groups if all of them hold
-        rest = saved(distinct_sets(rest))
-        parts = saved(rest.groupBy("key").agg(F.count("fp").alias("size"), F.count_distinct("root").alias("groups")).filter("groups > 1").select("key", size))
-        within = lambda keys: in_parts(rest, keys).join(members, "fp").select(*columns)
-        failed = check(more.unionByName(joined(within(parts), "forest")))
-        if failed is not None and failed.limit(1).count():  # where one does not hold, all pairs are looked at
+        rest, n_rest = settled(distinct_sets(rest, n_rest))
+        parts, n_parts = settled(in_few(rest.groupBy("key").agg(F.count("fp").alias("size"), F.count_distinct("root").alias("groups")), n_rest).filter("groups > 1").select("key", size))
+        within = lambda keys: in_few(in_parts(rest, keys, n_rest).join(members, "fp"), WIDE * n_rest).select(*columns)
+        failed, n_failed = check(more.unionByName(joined(within(broadcast_if_few(parts, n_parts)), "forest", n_rest)))
+        if n_failed:  # where one does not hold, all pairs are looked at
             sides = [rest.select("key", F.col("fp").alias(c)) for c in "ab"]
-            keys = failed.join(sides[0], "a").join(sides[1], ["b", "key"]).select("key").distinct()
-            check(joined(within(parts.join(keys, "key", "left_semi")), "all"))
+            keys = in_few(in_few(failed.join(sides[0], "a"), n_rest).join(sides[1], ["b", "key"]), n_rest).select("key")
+            keys = in_few(parts.join(in_few(keys.distinct(), n_rest), "key", "left_semi"), n_rest)
+            check(joined(within(keys), "all", n_rest))
     return found
 
 
@@ -442,9 +460,11 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts = df.select(text_or_empty(text_col).alias("text"))
     common = common_shingles(texts)
     held = saved(prints(df, id_col, text_col, common))
-    nodes = saved(held.groupBy("fp").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct(F.col("hash").alias("h"), F.col("id").alias("i"))).alias("rep")))
+    size = held.count()
+    nodes = held.groupBy("fp").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct(F.col("hash").alias("h"), F.col("id").alias("i"))).alias("rep"))
+    nodes, _ = settled(in_few(nodes, 4 * size), 4)
     roots = components(links(df, held, nodes, common, id_col, text_col))
-    return held.select("id", "hash", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("id", "hash", F.coalesce("root", "fp").alias("root"))
+    return in_few(held.select("id", "hash", "fp").join(roots, F.col("fp") == F.col("node"), "left"), size).select("id", "hash", F.coalesce("root", "fp").alias("root"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -454,12 +474,12 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     bit-sliced comparison of wide fingerprints. Rows without an id come after all others of their group. Of rows that agree in
     id and text one stays; two different texts of one id are judged each for itself.
     """
-    rows = judged(df, id_col, text_col)
-    least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("best"))
-    told = saved(rows.join(least, "root").select("id", "hash", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("hash") == F.col("best.hash"))).alias("stays")))
+    rows, size = settled(judged(df, id_col, text_col))
+    least = in_few(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("best")), size)
+    told, _ = settled(in_few(rows.join(least, "root"), size).select("id", "hash", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("hash") == F.col("best.hash"))).alias("stays")))
     gone = told.filter("not stays").select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct()
-    gone = broadcast_if_few(saved(gone))
+    gone = broadcast_if_few(*settled(in_few(gone, size)))
     out = df.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("__hash")), "left_anti")
-    if told.filter("stays").groupBy("id", "hash").count().filter("count > 1").limit(1).count():
+    if in_few(told.filter("stays").groupBy("id", "hash").count(), size).filter("count > 1").limit(1).count():
         out = out.withColumn("__hash", F.xxhash64(text_or_empty(text_col))).dropDuplicates([id_col, "__hash"])
     return out.select(df.columns)

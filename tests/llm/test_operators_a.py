@@ -451,6 +451,36 @@ def test_common_shingles_are_counted_in_all_texts(spark):
     assert list(got) == sorted(got)
 
 
+def tasks_of(spark, run):
+    """Tasks of all stages that ``run()`` starts, without a planner that merges small partitions of 32."""
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup(group := f"tasks-{random.random()}", "")
+    try:
+        run()
+        told = spark.sparkContext.statusTracker()
+        stages = {s for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds}
+        return sum(info.numCompletedTasks for s in stages if (info := told.getStageInfo(s)))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+
+
+def test_rounds_over_small_tables_take_few_tasks(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(100)], "u long, v long").coalesce(1)
+    assert tasks_of(spark, lambda: components.components(edges).count()) < 500
+    monkeypatch.setattr(neardocs, "BLOCK", 5)
+    monkeypatch.setattr(neardocs, "SMALL", 2)
+    chance = random.Random(9)
+    texts = [" ".join([*(f"w{chance.randrange(99)}" for _ in range(60)), *(f"s{j}" for j in range(300))]) for _ in range(40)]
+    texts += [" ".join([*(f"g{j}" for j in range(100)), f"odd{k % 30}"]) for k in range(60)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(2)
+    kept = []
+    assert tasks_of(spark, lambda: kept.extend(r["doc_id"] for r in neardocs.drop_near_duplicates(df).collect())) < 2000
+
+
 def test_wide_radius_loses_no_near_pair():
     rng = np.random.default_rng(3)
     most = 0
