@@ -187,10 +187,11 @@ def prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", common
     return map_columns(rows, run, f"id {kind}, hash long, fp long, n int, sig binary, keys array<long>")
 
 
-def in_blocks(rows: DataFrame, columns: dict[str, str], compare: Callable, schema: str, size: int | None = None) -> DataFrame:
+def in_blocks(rows: DataFrame, columns: dict[str, str], compare: Callable, schema: str, size: int | None = None, alone: str | None = None) -> DataFrame:
     """What ``compare(key, columns of a block)`` gives, as rows of arrays, for each (key, x, y) of ``rows``.
 
-    If the number of rows is known, blocks go to tasks by it (``size``: that number, times the width of a row). ``columns`` has the columns with their types, long or binary; a block is in the order of n, then fp.
+    If the number of rows is known, blocks go to tasks by it (``size``: that number, times the width of a row). Blocks of
+    one row are left out, except where the column ``alone`` is over 1. ``columns`` has the columns with their types, long or binary; a block is in the order of n, then fp.
     """
     import pyarrow as pa
 
@@ -207,6 +208,8 @@ def in_blocks(rows: DataFrame, columns: dict[str, str], compare: Callable, schem
             change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
             starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(held[0])]])
             some = ends - starts > 1
+            if alone:
+                some |= held[3 + list(columns).index(alone)][starts] > 1
             found = [np.zeros((len(names), 0), np.int64)]
             for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
                 found += compare(int(held[0][a]), {c: x[a:b] for c, x in zip(columns, held[3:], strict=True)})
@@ -381,7 +384,7 @@ def links(df: DataFrame, held: DataFrame, nodes: DataFrame, common: tuple, id_co
     else:
         keyed = keyed.withColumn("parts", F.lit(1))
     keyed = keyed.withColumn("x", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("y", F.col("x"))
-    first, n_first = settled(in_blocks(keyed, {"fp": "long", "n": "long", "parts": "long"}, first_pairs, "a long, b long, kind long"))
+    first, n_first = settled(in_blocks(keyed, {"fp": "long", "n": "long", "parts": "long"}, first_pairs, "a long, b long, kind long", alone="parts"))
     pairs, n_pairs = settled(compared(first.filter("kind = 0").select("a", "b"), n_first, nodes))
     large, n_large = settled(distinct_sets(first.filter("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("key")), n_first))
     size = F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")

@@ -479,6 +479,7 @@ def test_rounds_over_small_tables_take_few_tasks(spark, monkeypatch):
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(2)
     kept = []
     assert tasks_of(spark, lambda: kept.extend(r["doc_id"] for r in neardocs.drop_near_duplicates(df).collect())) < 2000
+    assert sorted(kept) == sorted(set(jaccard_roots(texts)))
 
 
 def test_wide_radius_loses_no_near_pair():
